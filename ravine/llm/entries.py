@@ -5,22 +5,39 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ravine.llm import simhash
+from ravine.llm import line_dedup, mixing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line and chunk counts of every document, and the MD5 of the text that is kept."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).withColumn("kept_md5", F.md5("text")).drop("text")
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    return mixing.mix(_table(spark, sf_dir, "documents")).drop("source")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and component."""
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op4_mix_sources": op4_mix_sources,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
 
 #: DuckDB SQL for the queries that it can express; the others are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": line_dedup.ORACLE_SQL,
+    "op4_mix_sources": mixing.ORACLE_SQL,
+}
