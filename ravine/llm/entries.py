@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravine.llm import language_id, line_dedup, mixing, simhash, token_counts
+from ravine.llm import language_id, line_dedup, lm_scoring, mixing, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,13 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("source")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's scores under models of the documents that are not held out."""
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(_remainder(5) == 1, F.lit(False)))
+    model = lm_scoring.train(docs.where(~F.col("held_out")))
+    return lm_scoring.score(docs.select("doc_id", "held_out", "text"), model)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's number of tokens."""
     return token_counts.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -50,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
     "op4_mix_sources": op4_mix_sources,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_token_counts": op6_token_counts,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
