@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravine.llm import decontaminate, embedding_dedup, language_id, line_dedup, lm_scoring, mixing, simhash, token_counts
+from ravine.llm import decontaminate, embedding_dedup, language_id, line_dedup, lm_scoring, mixing, simhash, suffix_array, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,12 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is removed of every document, and the SHA-256 of what is kept."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_array.remove_repeats(docs).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 #: DuckDB SQL for the queries that it can express; the others are tested against brute force in tests/llm.
