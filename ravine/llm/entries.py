@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravine.llm import decontaminate, embedding_dedup, language_id, line_dedup, lm_scoring, mixing, simhash, suffix_array, token_counts
+from ravine.llm import decontaminate, embedding_dedup, language_id, line_dedup, lm_scoring, mixing, simhash, substring_dedup, suffix_array, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every repeated paragraph that goes, with the one that stays for it."""
+    return substring_dedup.repeated_paragraphs(_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and component."""
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix_sources": op4_mix_sources,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_token_counts": op6_token_counts,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
