@@ -61,6 +61,16 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def packed(df: DataFrame, *without: str) -> Column:
+    """All columns of df in one struct, so that names beside it cannot clash with them."""
+    return F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in df.columns if c not in without))
+
+
+def unpacked(df: DataFrame, row: str, *without: str) -> list[Column]:
+    """The columns of a packed() struct, by their names."""
+    return [F.col(f"{row}.`{c}`").alias(c) for c in df.schema[row].dataType.names[1:] if c not in without]
+
+
 def word_count(text: Column) -> Column:
     """Number of [^\\x20\\x09-\\x0D]+ in text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravine.llm.common import discard, stored
+from ravine.llm.common import discard, packed, stored, unpacked
 from ravine.llm.pieces import SPACE, Vocabulary, load
 
 UNDETERMINED = "und"
@@ -204,15 +204,14 @@ def fit(
     return Model(tuple(languages), vocabulary.pieces, table)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = False) -> DataFrame:
+def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs' other columns than text, lang_pred and score (the best language's posterior, 0 to 1).
 
-    keep_text keeps the text's column too.
     All languages are equally likely beforehand. A null text, a text without a letter, and every
     text under a model without languages gives `und` and score 0. Columns named lang_pred and
     score are replaced. Each row stands for itself, so repeated rows get equal results.
     """
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score") and (keep_text or c != text)]
+    rest = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     out = T.StructType([docs.schema[c] for c in rest] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
@@ -243,14 +242,13 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep_text: bool =
             columns = [b.column(b.schema.get_field_index(c)) for c in rest]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*rest, "lang_pred", "score"])
 
-    return docs.select(*dict.fromkeys([*rest, text])).mapInArrow(run, out)
+    return docs.select(*rest, text).mapInArrow(run, out)
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """docs without those whose language is undetermined or under `least` likely; all columns are kept."""
-    own = docs.withColumnsRenamed({"lang_pred": "_lang_pred", "score": "_score"})
-    good = predict(own, model, keep_text=True).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
-    return good.drop("lang_pred", "score").select(*own.columns).toDF(*docs.columns)
+    told = predict(docs.select(packed(docs).alias("_row"), "text"), model)
+    return told.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*unpacked(told, "_row"))
 
 
 def _grown(table: np.ndarray, rows: int, new: np.ndarray) -> np.ndarray:

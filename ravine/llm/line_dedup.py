@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ravine.llm.common import packed, unpacked
+
 #: The polynomial rolling hash of three line hashes, each the first 28 bits of the line's MD5.
 _PRIME = 2147483647
 _WEIGHTS = (1, 131071, 1048583)
@@ -72,7 +74,8 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     document and get the same result. A text all of whose chunks are removed becomes empty.
     """
     added = ["n_lines", "n_chunks", "removed_chunks", "removed_lines"]
-    keyed = docs.drop(*added).withColumns({"_id": F.col("doc_id"), "_text": F.col("text"), "_hash": F.xxhash64("text")})
+    row = packed(docs, *added)
+    keyed = docs.select(row.alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.xxhash64("text").alias("_hash"))
     lost = removable(keyed, min_lines).withColumnsRenamed({"_id": "_lost_id", "_hash": "_lost_hash"})
     both = keyed.join(lost, keyed._id.eqNullSafe(lost._lost_id) & (keyed._hash == lost._lost_hash), "left")
     out = _chunks(both).withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
@@ -89,8 +92,10 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
         "removed_chunks": count(F.size("_gone")),
         "removed_lines": count(lost_lines),
     }
-    text = F.when(F.size("_gone") > 0, texts).otherwise(F.col("_text")).alias("text")
-    return out.select(*(text if c == "text" else out[c] for c in docs.columns if c not in added), *(c.alias(n) for n, c in new.items()))
+    text = F.when(F.size("_gone") > 0, texts).otherwise(F.col("_text"))
+    told = out.select("_row", F.struct(text.alias("text"), *(c.alias(n) for n, c in new.items())).alias("_new"))
+    named = told.select(*unpacked(told, "_row", "text"), "_new.*")
+    return named.select(*(f"`{c}`" for c in [*(c for c in docs.columns if c not in added), *added]))
 
 
 #: The same in DuckDB, with the digest of the kept text.

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravine.llm.common import local_roots, lowered_words, popcount, slabs, stored
+from ravine.llm.common import local_roots, lowered_words, packed, popcount, slabs, stored, unpacked
 from ravine.llm.components import components
 
 #: Most fingerprints of a tree, and of the queries that meet it in one step.
@@ -190,4 +190,6 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, see
     """
     found = simhash_components(docs, radius, shingle, seed)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(keep, docs.doc_id.eqNullSafe(keep._kept_id)).dropDuplicates(["_kept_id"]).select(*docs.columns)
+    rows = docs.select(packed(docs).alias("_row"), F.col("doc_id").alias("_id"))
+    kept = rows.join(keep, rows._id.eqNullSafe(keep._kept_id)).dropDuplicates(["_kept_id"])
+    return kept.select(*unpacked(kept, "_row"))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravine.llm.common import discard, lowered_words, slabs, stored
+from ravine.llm.common import discard, lowered_words, packed, slabs, stored, unpacked
 from ravine.llm.components import components
 
 BANDS, ROWS = 12, 4
@@ -221,10 +221,12 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 25, shingle: int = 5,
 
 def remove_paragraphs(docs: DataFrame, min_words: int = 25, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """docs with `text` rid of the paragraphs to remove; all columns are kept, and rows that lose nothing are as they were."""
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
+    keyed = docs.select(packed(docs).alias("_row"), "doc_id", "text", F.xxhash64("text").alias("_hash"))
     gone = removable(keyed.select("doc_id", "text", F.col("_hash").alias("hash")), min_words, shingle, threshold)
     lists = gone.groupBy(F.col("doc_id").alias("_i"), F.col("hash").alias("_h")).agg(F.collect_set("paragraph").alias("_gone"))
     both = keyed.join(lists, keyed.doc_id.eqNullSafe(lists._i) & (keyed._hash == lists._h), "left")
     lines = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    return both.withColumn("text", text).select(*docs.columns)
+    told = both.select("_row", text.alias("_new"))
+    named = told.select(*unpacked(told, "_row", "text"), F.col("_new").alias("text"))
+    return named.select(*(f"`{c}`" for c in docs.columns))

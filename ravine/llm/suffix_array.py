@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravine.llm.common import discard, slabs, stored
+from ravine.llm.common import discard, packed, slabs, stored
 
 #: Bytes of a k-mer, and the modulus of the difference cover.
 K, V = 8, 32
@@ -371,8 +371,8 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     lists = spans.groupBy("doc_id", "hash").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
     lists = lists.withColumnsRenamed({"doc_id": "_i", "hash": "_h"})
     rest = [c for c in docs.columns if c != "text" and c not in dict(added)]
-    hashed = docs.withColumn("_hash", F.xxhash64("text"))
-    both = hashed.join(lists, hashed.doc_id.eqNullSafe(lists._i) & (hashed._hash == lists._h), "left").select(*rest, "text", "_spans")
+    hashed = docs.select(packed(docs, "text", *dict(added)).alias("_row"), "doc_id", "text", F.xxhash64("text").alias("_hash"))
+    both = hashed.join(lists, hashed.doc_id.eqNullSafe(lists._i) & (hashed._hash == lists._h), "left").select("_row", "text", "_spans")
     out = T.StructType([docs.schema[c] for c in rest])
     for n, kind in added:
         out = out.add(n, kind)
@@ -389,7 +389,8 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
                 kept.append(data[at:])
                 counts.append((len(data), removed, stretches))
                 texts.append(b"".join(kept))
-            own = [b.column(b.schema.get_field_index(c)) for c in rest]
+            row = b.column(b.schema.get_field_index("_row"))
+            own = [row.field(i) for i in range(1, len(rest) + 1)]
             numbers = np.array(counts, np.int64).reshape(-1, 3).T
             yield pa.RecordBatch.from_arrays([*own, *(pa.array(c) for c in numbers), pa.array(texts, pa.binary())], names=[*rest, *dict(added)])
 
