@@ -108,6 +108,15 @@ def slabs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def each_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each key, one key at a time, of batches that are sorted by key."""
+    for slab in slabs(batches, key):
+        k = slab.column(key).to_numpy()
+        cuts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        for s, e in zip(cuts, [*cuts[1:], len(k)]):
+            yield slab.slice(s, e - s)
+
+
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest index reachable from each of 0..n-1 over the links (a, b)."""
     root = np.arange(n)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravine.llm.common import discard, lowered_words, shared_dir, slabs, stored
+from ravine.llm.common import discard, each_key, lowered_words, shared_dir, stored
 
 #: Hashes of the end of a text and of the place before its first word; no word holds white space.
 _END = xxhash.xxh3_64_intdigest(b"\n")
@@ -181,7 +181,7 @@ def train(docs: DataFrame, text: str = "text", folder: str | None = None) -> Mod
     before = {k: sum(n for j, n in sizes.items() if j < k) for k in sizes}
 
     def word_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for slab in slabs(batches, "part"):
+        for slab in each_key(batches, "part"):
             k = slab.column("part")[0].as_py()
             key = slab.column("key").to_numpy().view(np.uint64)
             order = np.argsort(key)
@@ -234,7 +234,7 @@ def train(docs: DataFrame, text: str = "text", folder: str | None = None) -> Mod
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part)], names=[*b.schema.names, "part"])
 
     def context_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for slab in slabs(batches, "part"):
+        for slab in each_key(batches, "part"):
             k = slab.column("part")[0].as_py()
             place = slab.column("id").to_numpy() - starts[k]
             for f, kind in (("seen_after", np.int64), ("total", np.int64), ("rest", np.float64)):
@@ -244,7 +244,7 @@ def train(docs: DataFrame, text: str = "text", folder: str | None = None) -> Mod
             yield pa.RecordBatch.from_arrays([pa.array([k])], names=["part"])
 
     def pair_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for slab in slabs(batches, "part"):
+        for slab in each_key(batches, "part"):
             k = slab.column("part")[0].as_py()
             key = slab.column("key").to_numpy().view(np.uint64)
             order = np.argsort(key)
