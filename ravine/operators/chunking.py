@@ -132,7 +132,9 @@ def _nested(docs: DataFrame, parent: int, parent_overlap: int, child: int, child
 
 def heading_at(text: Column, position: Column) -> Column:
     """The last Markdown heading that begins at or before a place of the text, else null."""
-    before = F.regexp_extract_all(F.substring(text, F.lit(1), position + 1), F.lit("(?m)^#{1,6}[ \\t]+(.+)$"), 1)
+    line = F.regexp_extract(F.substring(text, position + 1, F.length(text)), "^[^\\n]*", 0)
+    upto = F.concat(F.substring(text, F.lit(1), position), line)
+    before = F.regexp_extract_all(upto, F.lit("(?m)^#{1,6}[ \\t]+(.+)$"), 1)
     return F.trim(F.try_element_at(before, F.lit(-1)))
 
 
