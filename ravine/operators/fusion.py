@@ -1,7 +1,8 @@
 """Fusion of ranked channels, and what follows it: filters, normalisation, reranking, parents, formatting.
 
 A channel is (query_id, child_id, rank, score). Channels are fused by union and one grouped sum,
-so any number of them costs one shuffle.
+so any number of them costs one shuffle; what follows is by windows over a query's candidates,
+whose number the channels' limits bound.
 """
 
 from __future__ import annotations
@@ -48,14 +49,15 @@ def safe(rows: DataFrame, least: float, *scores: str) -> DataFrame:
 
 def conformal(rows: DataFrame, score: str = "rrf_score", alpha: float = 0.6, least_rows: int = 3) -> DataFrame:
     """By query, rows at or above the (1 - alpha) percentile; queries of fewer rows keep all."""
-    cut = rows.groupBy("query_id").agg(F.percentile(score, F.lit(1 - alpha)).alias("_cut"), F.count("*").alias("_n"))
-    return rows.join(cut, "query_id").where((F.col("_n") < least_rows) | (F.col(score) >= F.col("_cut"))).drop("_cut", "_n")
+    own = Window.partitionBy("query_id")
+    cut = rows.withColumns({"_cut": F.percentile(score, F.lit(1 - alpha)).over(own), "_n": F.count("*").over(own)})
+    return cut.where((F.col("_n") < least_rows) | (F.col(score) >= F.col("_cut"))).drop("_cut", "_n")
 
 
 def relative(rows: DataFrame, score: str = "score", refuse_under: float = 0.6, alpha: float = 0.6, k: int = 5) -> DataFrame:
     """Queries whose best score is under refuse_under keep nothing; others keep rows of alpha times the best, k at most."""
-    best = rows.groupBy("query_id").agg(F.max(score).alias("max_score")).where(F.col("max_score") >= refuse_under)
-    return top(rows.join(best, "query_id").where(F.col(score) >= alpha * F.col("max_score")), score, k)
+    best = rows.withColumn("max_score", F.max(score).over(Window.partitionBy("query_id"))).where(F.col("max_score") >= refuse_under)
+    return top(best.where(F.col(score) >= alpha * F.col("max_score")), score, k)
 
 
 def refusals(queries: DataFrame, rows: DataFrame, score: str = "score", refuse_under: float = 0.6) -> DataFrame:
@@ -67,9 +69,10 @@ def refusals(queries: DataFrame, rows: DataFrame, score: str = "score", refuse_u
 
 def min_max(rows: DataFrame, score: str, by: str = "query_id") -> DataFrame:
     """`normalized` from 0 to 1 by query; 1 if all scores are equal."""
-    ends = rows.groupBy(by).agg(F.min(score).alias("_low"), F.max(score).alias("_high"))
+    own = Window.partitionBy(by)
+    ends = rows.withColumns({"_low": F.min(score).over(own), "_high": F.max(score).over(own)})
     value = F.when(F.col("_high") > F.col("_low"), (F.col(score) - F.col("_low")) / (F.col("_high") - F.col("_low"))).otherwise(1.0)
-    return rows.join(ends, by).withColumn("normalized", value).drop("_low", "_high")
+    return ends.withColumn("normalized", value).drop("_low", "_high")
 
 
 def lightweight_score(question: Column, content: Column, rrf: Column, similarity: Column, table: Column) -> Column:

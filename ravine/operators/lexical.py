@@ -50,7 +50,7 @@ def bm25(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75
     Robertson and Zaragoza (2009), with the idf that is never negative.
     """
     posted = postings(chunks)
-    lengths = posted.groupBy("child_id").agg(F.sum("tf").alias("length"))
+    lengths = chunks.select("child_id", F.size(tx.terms(F.col("text"))).alias("length")).where("length > 0")
     corpus = lengths.agg(F.count("*").alias("chunks"), F.avg("length").alias("mean"))
     wanted = query_terms(queries)
     terms = wanted.select("term").distinct()
