@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 Q = 8
 #: Bytes of a segment, and of the benchmark text that one block ships.
 SEGMENT, BLOCK_BYTES = 120, 8_000_000
-#: Bytes of a document that are looked up together.
-_STEP = 1 << 22
+#: Bytes of texts that are looked up together, and what makes diagonals positive.
+_STEP, _SHIFT = 1 << 20, 1 << 33
 
 
 def normal(text: str | None) -> bytes:
@@ -81,74 +81,89 @@ class Index:
         owner = np.repeat(np.arange(len(parts)), [len(g) for g in grams]).astype(np.int64)
         place = np.concatenate([*(np.arange(len(g)) for g in grams), np.empty(0, np.int64)]).astype(np.int64)
         order = np.argsort(key, kind="stable")
-        self.key, self.owner, self.place = key[order], owner[order], place[order]
+        self.owner, self.place = owner[order], place[order]
+        self.key, self.first, self.many = np.unique(key[order], return_index=True, return_counts=True)
         self.bits = max(12, min(26, int(len(key)).bit_length() + 4))
         self.table = np.zeros(1 << self.bits, bool)
         self.table[self._slot(self.key)] = True
         self.budget = np.array([p.budget for p in parts], np.int64)
+        self.width = np.maximum(self.budget, 1)
         self.least = np.array([p.least for p in parts], np.int64)
 
     def _slot(self, grams: np.ndarray) -> np.ndarray:
         return (grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
 
-    def bands(self, data: bytes) -> list[tuple[int, int, int]]:
-        """(segment, first diagonal, text position of the first shared q-gram) of bands that reach the bound."""
-        found = []
-        longest = SEGMENT + 2 * int(self.budget.max(initial=0)) + Q
-        for s in range(0, max(1, len(data) - Q + 1), _STEP):
-            grams = _grams(data[s : s + _STEP + longest])
-            at = np.flatnonzero(self.table[self._slot(grams)])
-            low = np.searchsorted(self.key, grams[at])
-            many = np.searchsorted(self.key, grams[at], side="right") - low
-            if not many.sum():
-                continue
-            text = np.repeat(at, many)
-            row = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            owner, place = self.owner[row], self.place[row]
-            width = np.maximum(self.budget[owner], 1)
-            # every diagonal lies in two bands of width 2k: the one that starts at its multiple of k, and the one before
-            band = (text - place + (1 << 40)) // width
-            owner, text, band, place = np.tile(owner, 2), np.tile(text, 2), np.concatenate([band, band - 1]), np.tile(place, 2)
-            order = np.lexsort((text, band, owner))
-            owner, text, band, place = owner[order], text[order], band[order], place[order]
-            cut = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (band[1:] != band[:-1]))))
-            for a, b in zip(cut, [*cut[1:], len(owner)]):
-                p = int(owner[a])
-                if b - a >= self.least[p] and len(np.unique(text[a:b])) >= self.least[p]:
-                    found.append((p, int(band[a]) * max(int(self.budget[p]), 1) - (1 << 40) + s, int(text[a]) + s))
-        return found
-
-
-def banded_match(piece: bytes, text: bytes, first: int, width: int, budget: int) -> tuple[int, int, int] | None:
-    """(edits, start, end) of piece's best place in text on diagonals first .. first + width, within the budget.
-
-    Semi-global alignment by columns of diagonals; text before and after the match is free.
-    Ties go to the earliest end. None if every place takes more edits.
+    def bands(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(segment, first diagonal) of the bands whose shared q-grams reach the segment's bound.
+
+        Preserved q-grams are different ones of the segment and of the text, so both are counted.
+        """
+        none = np.empty(0, np.int64)
+        grams = _grams(data)
+        at = np.flatnonzero(self.table[self._slot(grams)])
+        key = np.searchsorted(self.key, grams[at])
+        there = self.key[np.minimum(key, len(self.key) - 1)] == grams[at] if len(self.key) else np.zeros(len(at), bool)
+        at, key = at[there], key[there]
+        many = self.many[key]
+        if not len(at):
+            return none, none
+        text = np.repeat(at, many)
+        row = np.repeat(self.first[key] - (np.cumsum(many) - many), many) + np.arange(len(text))
+        owner, place = self.owner[row], self.place[row]
+        # every diagonal lies in two bands of width 2k: the one that starts at its multiple of k, and the one before
+        band = (text - place + _SHIFT) // self.width[owner]
+        owner, text, place = np.tile(owner, 2), np.tile(text, 2), np.tile(place, 2)
+        group = owner << 42 | np.concatenate([band, band - 1])
+        # rows whose bucket holds too few for any bound go before the sort
+        bucket = (group.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(43)).astype(np.int64)
+        full = np.bincount(bucket, minlength=1 << 21)[bucket] >= self.least[owner]
+        group, text, place = group[full], text[full], place[full]
+        for by_place in (False, True):
+            order = np.lexsort((place if by_place else text, group))
+            group, text, place = group[order], text[order], place[order]
+            value = place if by_place else text
+            first = np.concatenate(([True], group[1:] != group[:-1]))[: len(group)]
+            different = first | np.concatenate(([True], value[1:] != value[:-1]))[: len(group)]
+            number = np.cumsum(first) - 1
+            enough = np.bincount(number, weights=different)[number] >= self.least[group >> 42] if len(group) else first
+            group, text, place = group[enough], text[enough], place[enough]
+        found = np.unique(group)
+        owner = found >> 42
+        return owner, (found & (1 << 42) - 1) * self.width[owner] - _SHIFT
+
+
+def banded_matches(
+    pieces: np.ndarray, text: np.ndarray, first: np.ndarray, width: int, budget: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(edits, start, end) of the best place of each of the pieces in text, on diagonals first .. first + width.
+
+    pieces has a row of bytes for each candidate. Semi-global alignment, all candidates side by
+    side, by columns of diagonals; text before and after a match is free, and ties go to the
+    earliest end. Edits over the budget are given as budget + 1.
     """
     n, far = width + 1, budget + 1
     diagonals = np.arange(n)
-    cost = np.where((first + diagonals >= 0) & (first + diagonals <= len(text)), 0, far)
-    start = first + diagonals
-    body = np.frombuffer(text, np.uint8)
-    for i, c in enumerate(piece):
-        at = first + diagonals + i
+    start = first[:, None] + diagonals
+    cost = np.where((start >= 0) & (start <= len(text)), 0, far)
+    padded = np.append(text, np.zeros(1, np.uint8))
+    for i in range(pieces.shape[1]):
+        at = first[:, None] + diagonals + i
         inside = (at >= 0) & (at < len(text))
-        equal = np.zeros(n, bool)
-        equal[inside] = body[at[inside]] == c
-        step = np.where(inside, cost + ~equal, far)
-        origin = start
-        down = np.append(cost[1:], far) + 1  # the piece's byte has no partner: from the next diagonal
+        equal = padded[np.where(inside, at, len(text))] == pieces[:, i : i + 1]
+        step, origin = np.where(inside, cost + ~equal, far), start
+        # the piece's byte has no partner: from the next diagonal
+        down = np.full_like(cost, far + 1)
+        down[:, :-1] = cost[:, 1:] + 1
         lower = down < step
-        step, origin = np.where(lower, down, step), np.where(lower, np.append(start[1:], 0), origin)
+        step, origin = np.where(lower, down, step), np.where(lower, np.roll(start, -1, axis=1), origin)
         # a text byte has no partner: one step along the diagonals, costs plus distance
         run = step - diagonals
-        best = np.minimum.accumulate(run)
-        source = np.maximum.accumulate(np.where(run == best, diagonals, 0))
-        cost, start = np.minimum(best + diagonals, far), origin[source]
-        if cost.min() > budget:
-            return None
-    k = int(cost.argmin())
-    return int(cost[k]), int(start[k]), int(first + k + len(piece))
+        best = np.minimum.accumulate(run, axis=1)
+        source = np.maximum.accumulate(np.where(run == best, diagonals, 0), axis=1)
+        cost, start = np.minimum(best + diagonals, far), np.take_along_axis(origin, source, axis=1)
+    k = cost.argmin(axis=1)
+    row = np.arange(len(pieces))
+    return cost[row, k], start[row, k], first + k + pieces.shape[1]
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, error: float = 0.1) -> DataFrame:
@@ -170,9 +185,15 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, error: float = 0.1) ->
             ids, block = shipped.value
             index = Index(block)
             for b in batches:
-                rows = []
-                for doc, x in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                    rows += [(doc, ids[i], *rest) for i, *rest in places(normal(x.as_py()), index)]
+                rows, held, ids_held, size = [], [], [], 0
+                docs_ = b.column("doc_id").to_pylist()
+                for i, x in enumerate(b.column("text")):
+                    held.append(normal(x.as_py()))
+                    ids_held.append(docs_[i])
+                    size += len(held[-1])
+                    if size > _STEP or i == len(docs_) - 1:
+                        rows += [(ids_held[t], ids[item], *rest) for t, item, *rest in places(held, index)]
+                        held, ids_held, size = [], [], 0
                 columns = list(zip(*rows)) or [()] * 5
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema
@@ -205,29 +226,38 @@ def _blocks(benchmark: DataFrame, error: float) -> Iterator[tuple[list, list[Seg
         yield ids, block
 
 
-def places(data: bytes, index: Index) -> list[tuple[int, int, int, int]]:
-    """(item, start, end, edits) of every item that data holds, overlapping places merged."""
-    hits: dict[int, list[tuple[int, int, int]]] = {}
-    for p, first, _ in index.bands(data):
-        part = index.parts[p]
-        low = max(0, first)
-        window = data[low : first + 2 * max(part.budget, 1) + len(part.data)]
-        at = window.find(part.data)
-        match = (0, at, at + len(part.data)) if at >= 0 else banded_match(part.data, window, first - low, 2 * max(part.budget, 1), part.budget)
-        if match:
-            edits, s, e = match
-            hits.setdefault(part.item, []).append((s + low, e + low, edits))
+def places(texts: list[bytes], index: Index) -> list[tuple[int, int, int, int, int]]:
+    """(text, item, start, end, edits) of every item that a normalised text holds, overlapping places merged.
+
+    Texts are searched together, apart by more bytes than any budget bridges.
+    """
+    gap = b"\n" * (4 * int(index.budget.max(initial=0)) + Q + 1)
+    begin = np.cumsum([0, *(len(t) + len(gap) for t in texts)])[:-1]
+    data = gap.join(texts)
+    part, first = index.bands(data)
+    body = np.frombuffer(data, np.uint8)
+    hits: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    kinds = np.array([len(p.data) << 32 | p.budget for p in index.parts], np.int64)[part]
+    for kind in np.unique(kinds):
+        budget = int(kind & 0xFFFFFFFF)
+        for own in np.array_split(np.flatnonzero(kinds == kind), max(1, (kinds == kind).sum() // 4096)):
+            pieces = np.stack([np.frombuffer(index.parts[p].data, np.uint8) for p in part[own]])
+            edits, start, end = banded_matches(pieces, body, first[own], 2 * max(budget, 1), budget)
+            for i in np.flatnonzero(edits <= budget):
+                text = int(np.searchsorted(begin, start[i], side="right")) - 1
+                base = int(begin[text])
+                hits.setdefault((text, index.parts[part[own[i]]].item), []).append((int(start[i]) - base, int(end[i]) - base, int(edits[i])))
     out = []
-    for item, found in sorted(hits.items()):
+    for (text, item), found in sorted(hits.items()):
         found.sort()
         start, end, edits = found[0]
         for s, e, d in found[1:]:
             if s <= end:
                 end, edits = max(end, e), min(edits, d)
             else:
-                out.append((item, start, end, edits))
+                out.append((text, item, start, end, edits))
                 start, end, edits = s, e, d
-        out.append((item, start, end, edits))
+        out.append((text, item, start, end, edits))
     return out
 
 
