@@ -10,10 +10,18 @@ paragraph is visited once and compared with those not yet reached, so a cluster
 copies costs little more than its size; a cluster of more than CLUSTER classes is met in
 parts, every two parts in a task of their own. Components of the verified links are the groups;
 the first paragraph of a group, by (doc_id, paragraph), stays and the others are removed.
+
+A passage can also be repeated inside longer paragraphs, where it says little of their
+similarity. So word shingles of PASSAGE words, the least by hash of every WINDOW neighbours, are
+looked up in the whole corpus: where some that occur before follow each other within GAP words
+and span min_passage words, that stretch is a repeated passage and is removed as well. The
+samples (winnowing; Schleimer, Wilkerson and Aiken 2003) depend on content alone and leave no
+gap of more than WINDOW words, so every passage of over 50 words is found.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ravine.llm.common import discard, lowered_words, packed, slabs, stored, unpacked
 from ravine.llm.components import components
@@ -28,6 +37,8 @@ from ravine.llm.components import components
 BANDS, ROWS = 12, 4
 #: Classes of a part of a cluster.
 CLUSTER = 1024
+#: Words of a shingle that samples passages, shingles of which the least is taken, and words between samples of one passage.
+PASSAGE, WINDOW, GAP = 12, 16, 24
 #: Shingles whose minima are taken together.
 _STEP = 1 << 17
 
@@ -208,25 +219,123 @@ def removable(docs: DataFrame, min_words: int = 25, shingle: int = 5, threshold:
     )
 
 
-def repeated_paragraphs(docs: DataFrame, min_words: int = 25, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
-    """doc_id, paragraph (line number from 0), words, kept_doc_id, kept_paragraph for every paragraph to remove.
+def passage_samples(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of the sampled shingles of PASSAGE words."""
+    if len(words) < PASSAGE:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    one = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    n = len(words) - PASSAGE + 1
+    total = np.zeros(n, np.uint64)
+    for k in range(PASSAGE):
+        total = total * np.uint64(0x9E3779B97F4A7C15) + one[k : k + n]
+    total ^= total >> np.uint64(32)
+    total *= np.uint64(0xD6E8FEB86659FD93)
+    total ^= total >> np.uint64(29)
+    near = np.lib.stride_tricks.sliding_window_view(total, min(WINDOW, n))
+    at = np.unique(near.argmin(axis=1) + np.arange(len(near)))
+    return at, total[at]
+
+
+def passages(docs: DataFrame, min_passage: int = 20) -> DataFrame:
+    """(doc_id, hash, start_word, words, kept_doc_id): repeated passages to remove, by places among a text's words."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, places, keys = [], [], []
+            for i, x in enumerate(b.column("text")):
+                at, key = passage_samples(lowered_words(x.as_py()))
+                rows.append(np.full(len(at), i))
+                places.append(at)
+                keys.append(key)
+            own = b.select(["doc_id", "hash"]).take(pa.array(np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)))
+            at, key = np.concatenate([*places, np.empty(0, np.int64)]), np.concatenate([*keys, np.empty(0, np.uint64)])
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(at.astype(np.int32)), pa.array(key.view(np.int64))], names=["doc_id", "hash", "at", "key"])
+
+    samples = stored(docs.select("doc_id", "hash", "text").mapInArrow(sample, f"doc_id {kind}, hash long, at int, key long"), "samples")
+    several = stored(samples.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
+    found = stored(samples.join(several, "key", "left_semi"), "found")
+    discard(samples, several)
+    place = F.struct("doc_id", "hash", "at")
+    first = stored(found.groupBy("key").agg(F.min(place).alias("first")), "first")
+    later = found.join(first, "key").where(~place.eqNullSafe(F.col("first")))
+    lists = later.groupBy("doc_id", "hash").agg(F.array_sort(F.collect_list(F.struct("at", F.col("first.doc_id").alias("kept")))).alias("hits"))
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, starts, lengths, kept = [], [], [], []
+            for i, hits in enumerate(b.column("hits").to_pylist()):
+                begin = last = hits[0]["at"]
+                holder = hits[0]["kept"]
+                for h in [*hits[1:], None]:
+                    if h is not None and h["at"] - last <= GAP:
+                        last = h["at"]
+                        continue
+                    if last + PASSAGE - begin >= min_passage:
+                        rows.append(i)
+                        starts.append(begin)
+                        lengths.append(last + PASSAGE - begin)
+                        kept.append(holder)
+                    if h is not None:
+                        begin = last = h["at"]
+                        holder = h["kept"]
+            own = b.select(["doc_id", "hash"]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*own.columns, pa.array(starts, pa.int32()), pa.array(lengths, pa.int32()), pa.array(kept, own.column(0).type)],
+                names=["doc_id", "hash", "start_word", "words", "kept_doc_id"],
+            )
+
+    return lists.mapInArrow(runs, f"doc_id {kind}, hash long, start_word int, words int, kept_doc_id {kind}")
+
 
+def repeated_paragraphs(docs: DataFrame, min_words: int = 25, shingle: int = 5, threshold: float = 0.8, min_passage: int = 20) -> DataFrame:
+    """What is to be removed: doc_id, paragraph, start_word, words, kept_doc_id, kept_paragraph.
+
+    A repeated paragraph has its line number from 0 in paragraph, a repeated passage the place of
+    its first word in start_word (the other one is null); a passage may lie in such a paragraph.
     docs needs doc_id and text; other columns are not read. Rows that agree in doc_id and text
     count as one document, reported once. Null and empty texts have no paragraphs; an empty
     table gives an empty table.
     """
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
-    return removable(keyed, min_words, shingle, threshold).distinct().drop("hash")
+    lines = removable(keyed, min_words, shingle, threshold).withColumn("start_word", F.lit(None).cast("int"))
+    inside = passages(keyed, min_passage).withColumns({"paragraph": F.lit(None).cast("int"), "kept_paragraph": F.lit(None).cast("int")})
+    return lines.unionByName(inside).distinct().drop("hash")
 
 
-def remove_paragraphs(docs: DataFrame, min_words: int = 25, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
-    """docs with `text` rid of the paragraphs to remove; all columns are kept, and rows that lose nothing are as they were."""
+def remove_paragraphs(docs: DataFrame, min_words: int = 25, shingle: int = 5, threshold: float = 0.8, min_passage: int = 20) -> DataFrame:
+    """docs with `text` rid of the paragraphs and passages to remove; all columns are kept, and rows that lose nothing are as they were."""
     keyed = docs.select(packed(docs).alias("_row"), "doc_id", "text", F.xxhash64("text").alias("_hash"))
-    gone = removable(keyed.select("doc_id", "text", F.col("_hash").alias("hash")), min_words, shingle, threshold)
-    lists = gone.groupBy(F.col("doc_id").alias("_i"), F.col("hash").alias("_h")).agg(F.collect_set("paragraph").alias("_gone"))
-    both = keyed.join(lists, keyed.doc_id.eqNullSafe(lists._i) & (keyed._hash == lists._h), "left")
-    lines = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    told = both.select("_row", text.alias("_new"))
+    slim = keyed.select("doc_id", "text", F.col("_hash").alias("hash"))
+    lines = removable(slim, min_words, shingle, threshold).select("doc_id", "hash", F.struct("paragraph", F.lit(None).cast("int").alias("start"), "words").alias("cut"))
+    inside = passages(slim, min_passage).select("doc_id", "hash", F.struct(F.lit(None).cast("int").alias("paragraph"), F.col("start_word").alias("start"), "words").alias("cut"))
+    lists = lines.union(inside).groupBy(F.col("doc_id").alias("_i"), F.col("hash").alias("_h")).agg(F.collect_set("cut").alias("_gone"))
+    both = keyed.join(lists, keyed.doc_id.eqNullSafe(lists._i) & (keyed._hash == lists._h), "left").select("_row", "text", "_gone")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gone = b.column("_gone").to_pylist()
+            texts = [without(x.as_py(), g) if g else x.as_py() for x, g in zip(b.column("text"), gone)]
+            yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(texts, pa.string())], names=["_row", "_new"])
+
+    told = both.mapInArrow(cut, T.StructType([both.schema["_row"], T.StructField("_new", T.StringType())]))
     named = told.select(*unpacked(told, "_row", "text"), F.col("_new").alias("text"))
     return named.select(*(f"`{c}`" for c in docs.columns))
+
+
+def without(text: str, cuts: list[dict]) -> str:
+    """text without whole lines (paragraph) and stretches of words (start, words)."""
+    data = text.encode("utf-8")
+    lines, out = {c["paragraph"] for c in cuts if c["start"] is None}, bytearray(len(data))
+    spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+    for c in cuts:
+        if c["start"] is not None:
+            s, e = spans[c["start"]][0], spans[c["start"] + c["words"] - 1][1]
+            out[s:e] = b"\1" * (e - s)
+    kept, at = [], 0
+    for n, line in enumerate(data.split(b"\n")):
+        marks = out[at : at + len(line)]
+        if n not in lines and not (line and marks.count(1) == len(line)):
+            kept.append(bytes(c for c, m in zip(line, marks) if not m) if any(marks) else line)
+        at += len(line) + 1
+    return b"\n".join(kept).decode("utf-8")
