@@ -330,7 +330,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     ids = _id(docs)
     span = lambda df: df.select("doc_id", "hash", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
     anchors = stored(_anchors(docs, length).withColumnRenamed("context", "bucket"), "anchors")
-    several = anchors.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    several = stored(anchors.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "several")
     live = stored(anchors.join(several, "bucket", "left_semi"), "live")
     discard(anchors)
     whole, opened = _examples(live)
