@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ravine.llm.common import packed, unpacked
+from ravine.llm.common import packed, stored, unpacked
 
 #: The polynomial rolling hash of three line hashes, each the first 28 bits of the line's MD5.
 _PRIME = 2147483647
@@ -58,10 +58,10 @@ def removable(docs: DataFrame, min_lines: int = 2) -> DataFrame:
         .select("_id", "_hash", F.explode(F.filter("_chunks", lambda c: c["lines"] >= min_lines)).alias("c"))
         .select("_id", "_hash", F.col("c.j").alias("j"), F.col("c.text").alias("piece"), F.xxhash64("c.text").alias("key"))
     )
-    several = pieces.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    found = pieces.join(several, "key", "left_semi")
+    several = stored(pieces.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
+    found = stored(pieces.join(several, "key", "left_semi"), "pieces")
     place = F.struct("_id", "_hash", "j")
-    first = found.groupBy("key", "piece").agg(F.min(place).alias("first"))
+    first = stored(found.groupBy("key", "piece").agg(F.min(place).alias("first")), "first")
     gone = found.join(first, ["key", "piece"]).where(~place.eqNullSafe(F.col("first")))
     return gone.groupBy("_id", "_hash").agg(F.collect_set("j").alias("_gone"))
 
