@@ -178,7 +178,7 @@ def simhash_components(docs: DataFrame, radius: int = 4, shingle: int = 4, seed:
     final = least.join(joined, "fingerprint", "left").select(
         "fingerprint", F.coalesce("component_id", "least_id").alias("component_id")
     )
-    return prints.join(final, "fingerprint").select(
+    return prints.join(stored(final, "components"), "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
