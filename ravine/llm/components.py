@@ -2,7 +2,8 @@
 
 Kiveris et al., "Connected Components in MapReduce and Beyond" (2014). Every step is a
 grouped minimum, which Spark combines before the shuffle, and an equi-join, whose hot keys
-adaptive execution splits; no node's links are ever gathered in one place.
+adaptive execution splits, since both of its sides are tables; no node's links are ever
+gathered in one place.
 """
 
 from __future__ import annotations
@@ -17,16 +18,18 @@ def _state(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each node's larger neighbours linked to the smallest of its neighbours and itself; and the table to discard."""
     both = links.union(links.select("lo", "hi")).toDF("u", "v")
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+    least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), least
 
 
-def _small_star(links: DataFrame) -> DataFrame:
-    least = links.groupBy("hi").agg(F.min("lo").alias("m"))
+def _small_star(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each node and its smaller neighbours linked to the smallest of these; and the table to discard."""
+    least = stored(links.groupBy("hi").agg(F.min("lo").alias("m")), "least")
     rest = links.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-    return rest.union(least.select("hi", F.col("m").alias("lo"))).distinct()
+    return rest.union(least.select("hi", F.col("m").alias("lo"))).distinct(), least
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -41,8 +44,11 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     )
     before, state = None, _state(now)
     while state[0] and state != before:
-        step = stored(_small_star(_large_star(now)), "links")
-        discard(now)
+        large, first = _large_star(now)
+        large = stored(large, "links")
+        small, second = _small_star(large)
+        step = stored(small, "links")
+        discard(now, first, second, large)
         now, before, state = step, state, _state(step)
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(
         now.select("lo", "lo").distinct()
