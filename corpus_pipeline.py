@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravine.llm import decontaminate, language_id, line_dedup, mixing, simhash
+from ravine.llm import decontaminate, language_id, line_dedup, mixing, near_dedup
 from ravine.llm.common import discard, stored
 
 
@@ -26,8 +26,8 @@ def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates."""
-    return simhash.drop_near_duplicates(docs)
+    """Keep one document of each group of near-duplicates: five-word shingles, Jaccard similarity of 0.8 or more."""
+    return near_dedup.drop_near_duplicates(docs)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language ID", identify_languages),
     ("line dedup", deduplicate_lines),
-    ("SimHash near-dedup", drop_near_duplicates),
+    ("near-dedup", drop_near_duplicates),
     ("benchmark decontamination", drop_benchmark_passages),
     ("mixing", mix_sources),
 ]

@@ -1,0 +1,104 @@
+"""Near-duplicate documents by MinHash banding and exact Jaccard similarity of their word shingles.
+
+Documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked.
+SimHash needs about 14 differing bits of 64 to find these, and blocks of a fingerprint that is
+searched so far are 4 bits long, which leaves nearly all pairs. So candidates are classes of
+equal texts (words in lower case) that share a MinHash band, as for the paragraphs of
+substring_dedup: a pair at 0.8 does so with probability 0.998. Candidates are gathered by
+components, and the exact similarity decides; a cluster of more than CLUSTER texts or
+PART_BYTES bytes is met in parts, every two parts in a task of their own.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ravine.llm.common import discard, lowered_words, packed, stored, unpacked
+from ravine.llm.components import components
+from ravine.llm.substring_dedup import BANDS, CLUSTER, _cluster_links, band_keys, shingle_hashes
+
+#: Bytes of the texts of a part of a cluster.
+PART_BYTES = 8_000_000
+
+
+def _signed(docs: DataFrame, shingle: int) -> DataFrame:
+    """docs (doc_id, hash, text) with 128 bits of the words' hash and the band keys (none without words) for text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 512):
+                part = b.slice(k, 512)
+                halves, hashes, some = [], [], []
+                for i, x in enumerate(part.column("text")):
+                    words = lowered_words(x.as_py())
+                    digest = xxhash.xxh3_128_intdigest(b" ".join(words))
+                    halves.append((digest >> 64, digest & (2**64 - 1)))
+                    if words:
+                        some.append(i)
+                        hashes.append(shingle_hashes(words, shingle))
+                high, low = np.array(halves, np.uint64).T.copy().view(np.int64)
+                offsets = np.zeros(part.num_rows + 1, np.int32)
+                offsets[np.array(some, np.int64) + 1] = BANDS
+                keys = band_keys(hashes).view(np.int64).ravel() if hashes else np.empty(0, np.int64)
+                bands = pa.ListArray.from_arrays(pa.array(np.cumsum(offsets, dtype=np.int32)), pa.array(keys))
+                yield pa.RecordBatch.from_arrays(
+                    [*part.select(["doc_id", "hash"]).columns, pa.array(high), pa.array(low), bands], names=["doc_id", "hash", "high", "low", "bands"]
+                )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "hash", "text").mapInArrow(run, f"doc_id {kind}, hash long, high long, low long, bands array<long>")
+
+
+def kept_documents(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+    """(doc_id, hash): the first document, by doc_id, of each group of near-duplicates; null ids come last.
+
+    docs has doc_id, text and hash, the 64-bit hash of text. Null and wordless texts are equal.
+    """
+    found = stored(_signed(docs, shingle), "signed")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    classes = stored(found.groupBy("high", "low").agg(F.min(place).alias("first")), "classes")
+    banded = found.select(F.col("high").alias("node"), F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
+    shared = stored(shared.select("band", "least"), "bands")
+    together = banded.join(shared, "band").where("node > least").select("node", "least").distinct()
+    clusters = components(together, "node", "least").withColumnRenamed("root", "cluster")
+    name = F.concat(*(F.lpad(F.hex(c), 16, "0") for c in ("high", "low"))).alias("node")
+    wanted = classes.join(clusters, F.col("high") == F.col("node")).select(
+        F.col("first.doc_id").alias("_i"), F.col("first.hash").alias("_h"), name, "cluster"
+    )
+    members = docs.join(wanted, docs.doc_id.eqNullSafe(wanted._i) & (docs.hash == wanted._h)).select("cluster", "node", "text")
+    members = stored(members.dropDuplicates(["node"]), "members")
+    discard(found, shared)
+    need = F.greatest(F.count("*") / CLUSTER, F.sum(F.octet_length("text")) / PART_BYTES)
+    large = members.groupBy("cluster").agg(F.ceil(need).cast("long").alias("parts")).where("parts > 1")
+    parted = members.join(large, "cluster", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
+    units = parted.select("cluster", "node", "text", F.pmod(F.xxhash64("node"), F.col("parts")).alias("own"), other)
+    units = units.select(F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), "node", "text")
+    dealt = units.repartition("unit").sortWithinPartitions("unit")
+    groups = components(dealt.mapInArrow(_cluster_links(shingle, threshold), "a string, b string"), "a", "b")
+    discard(members)
+    groups = groups.withColumnRenamed("node", "_node")
+    rooted = classes.select(name, "first").join(groups, F.col("node") == F.col("_node"), "left")
+    kept = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    kept = stored(kept.select("first.doc_id", "first.hash"), "kept")
+    discard(classes)
+    return kept
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+    """docs without the near-duplicates: the document with the smallest doc_id of each group stays.
+
+    Of equal rows one stays. All columns are kept.
+    """
+    keep = kept_documents(docs.select("doc_id", "text", F.xxhash64("text").alias("hash")), shingle, threshold)
+    keep = keep.select(F.col("doc_id").alias("_kept_id"), F.col("hash").alias("_kept_hash"))
+    rows = docs.select(packed(docs).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
+    kept = rows.join(keep, rows._id.eqNullSafe(keep._kept_id) & (rows._hash == keep._kept_hash)).dropDuplicates(["_kept_id", "_kept_hash"])
+    return kept.select(*unpacked(kept, "_row"))
