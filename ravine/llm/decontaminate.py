@@ -244,9 +244,11 @@ def places(texts: list[bytes], index: Index) -> list[tuple[int, int, int, int, i
             pieces = np.stack([np.frombuffer(index.parts[p].data, np.uint8) for p in part[own]])
             edits, start, end = banded_matches(pieces, body, first[own], 2 * max(budget, 1), budget)
             for i in np.flatnonzero(edits <= budget):
-                text = int(np.searchsorted(begin, start[i], side="right")) - 1
+                # a text cut at the front may be aligned with bytes of the gap before it, so the end tells the text
+                text = int(np.searchsorted(begin, end[i] - 1, side="right")) - 1
                 base = int(begin[text])
-                hits.setdefault((text, index.parts[part[own[i]]].item), []).append((int(start[i]) - base, int(end[i]) - base, int(edits[i])))
+                s, e = max(int(start[i]) - base, 0), min(int(end[i]) - base, len(texts[text]))
+                hits.setdefault((text, index.parts[part[own[i]]].item), []).append((s, e, int(edits[i])))
     out = []
     for (text, item), found in sorted(hits.items()):
         found.sort()
