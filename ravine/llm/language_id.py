@@ -26,12 +26,12 @@ from ravine.llm.common import discard, packed, stored, unpacked
 from ravine.llm.pieces import SPACE, Vocabulary, load
 
 UNDETERMINED = "und"
-#: Scored words that a task keeps, and letters of the longest word that it keeps.
-MOST_WORDS, KEPT_LETTERS = 300_000, 48
+#: Scored words that a task keeps.
+MOST_WORDS = 300_000
 #: A run of letters: word characters other than digits and the underscore.
 _LETTERS = re.compile(r"[^\W\d_]+")
-#: Values below are scaled up, so that a long word's probability does not vanish.
-_TINY = 1e-150
+#: Words with a probability below are computed again by logarithms, so that it does not vanish.
+_TINY = 1e-250
 
 
 class Lattice:
@@ -68,48 +68,63 @@ class Lattice:
                     out[i, j] = rows
         return out
 
-    def forward(self, words: list[str], at: dict[tuple[int, int], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """alpha (position, word, language) and the logarithms of the words' probabilities."""
-        n = len(words[0])
-        alpha = np.zeros((n + 1, len(words), self.table.shape[1]))
+    def forward(self, n: int, at: dict[tuple[int, int], np.ndarray]) -> np.ndarray:
+        """alpha (position, word, language) of words of n letters; at goes by the pieces' starts."""
+        alpha = np.zeros((n + 1, len(at[0, 1]), self.table.shape[1]))
         alpha[0] = 1.0
-        log = np.zeros(alpha.shape[1:])
-        into: dict[int, list[int]] = {}
-        for i, j in at:
-            into.setdefault(j, []).append(i)
-        for j in range(1, n + 1):
-            for i in into[j]:
-                alpha[j] += alpha[i] * self.table[at[i, j]]
-            if n > KEPT_LETTERS and (low := alpha[j] < _TINY).any():
-                window = alpha[max(0, j - self.longest) : j + 1]
-                window[:, low] /= _TINY
-                log[low] += np.log(_TINY)
-        return alpha, log + np.log(alpha[n])
+        for (i, j), rows in at.items():
+            alpha[j] += alpha[i] * self.table[rows]
+        return alpha
+
+    def logs(self, rows: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore"):
+            return np.log(self.table[rows])
+
+    def log_forward(self, n: int, at: dict[tuple[int, int], np.ndarray]) -> np.ndarray:
+        """The logarithms of alpha, for words whose alpha would vanish."""
+        alpha = np.full((n + 1, len(at[0, 1]), self.table.shape[1]), -np.inf)
+        alpha[0] = 0.0
+        for (i, j), rows in at.items():
+            alpha[j] = np.logaddexp(alpha[j], alpha[i] + self.logs(rows))
+        return alpha
 
     def scores(self, words: list[str]) -> np.ndarray:
         """log P(word) by language, (words, languages)."""
         out = np.empty((len(words), self.table.shape[1]))
         for n, at in _by_length(words):
-            group = [words[k] for k in at]
-            out[at] = self.forward(group, self.matches(group))[1]
+            spans = self.matches([words[k] for k in at])
+            last = self.forward(n, spans)[n]
+            low = (last < _TINY).any(axis=1)
+            out[at[~low]] = np.log(last[~low])
+            if low.any():
+                out[at[low]] = self.log_forward(n, {k: rows[low] for k, rows in spans.items()})[n]
         return out
 
     def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
         """Expected uses of each piece and byte piece by language, for counts (words, languages)."""
         total = np.zeros((self.none, self.table.shape[1]))
         for n, of in _by_length(words):
-            if n > KEPT_LETTERS:
-                continue
             group = [words[k] for k in of]
             at = self.matches(group)
-            alpha, _ = self.forward(group, at)
+            alpha = self.forward(n, at)
+            low = (alpha[n] < _TINY).any(axis=1)
             beta = np.zeros_like(alpha)
             beta[n] = 1.0
             for i, j in sorted(at, reverse=True):
                 beta[i] += self.table[at[i, j]] * beta[j]
             weight = counts[of] / np.maximum(alpha[n], 1e-300)
+            if low.any():
+                at_low = {k: rows[low] for k, rows in at.items()}
+                log_alpha = self.log_forward(n, at_low)
+                log_beta = np.full_like(log_alpha, -np.inf)
+                log_beta[n] = 0.0
+                for i, j in sorted(at_low, reverse=True):
+                    log_beta[i] = np.logaddexp(log_beta[i], self.logs(at_low[i, j]) + log_beta[j])
+                log_word = np.where(np.isneginf(log_alpha[n]), 0.0, log_alpha[n])
             for (i, j), rows in at.items():
                 use = alpha[i] * self.table[rows] * beta[j] * weight
+                if low.any():
+                    use[low] = np.exp(log_alpha[i] + self.logs(rows[low]) + log_beta[j] - log_word) * counts[of[low]]
                 own = rows < self.none
                 np.add.at(total, rows[own], use[own])
                 for k in np.flatnonzero(rows > self.none):
