@@ -1,15 +1,17 @@
 """Removal of repeated byte strings by blockwise suffix sorting with a difference cover.
 
-Every byte that lies in a string of `length` bytes that also starts elsewhere is removed. All
-of it is exact; Spark only has to bring together the suffixes that could be equal:
+Every byte that lies in a string of `length` bytes that also starts elsewhere is removed. Spark
+brings together the suffixes that could be equal:
 
 1. Each string's anchor is the least of its first WINDOW k-mers by a hash (leftmost among
    equals), so equal strings have their anchors at the same place, and the bytes from the
    anchor to the first string's possible end, the context, are equal too. Strings that start
    in a run of places share an anchor; there is one row for each run, not for each byte.
-2. Contexts that occur once hold no repeated string. Runs that occur whole more than once are
-   repeated whole. What is left are runs with a repeated context that occur once, at the edges
-   of repeated passages, and one example of each repeated run that such a run can meet.
+2. Contexts that occur once hold no repeated string. Copies of a whole run are folded into one
+   class by 128 bits of hash over their bytes and the anchor's place: hashing alone, not the
+   sort, decides that the runs of such a class are repeated whole, as most bytes of long copies
+   are. What is left are runs with a repeated context that occur once, at the edges of repeated
+   passages, and one example of each repeated run that such a run can meet; the sort decides them.
 3. These runs' suffixes are sorted, a bucket (all runs with one context) at a time. A block of
    buckets holds the names of all `length` - 48-byte strings at the places of a difference cover
    modulo V (Burkhardt and Kärkkäinen 2003), got by doubling on the cover alone; suffixes
@@ -117,7 +119,7 @@ def _pieces(batch: pa.RecordBatch, length: int) -> Iterator[tuple[list[tuple[int
         yield out()
 
 
-_ANCHORS = "doc_id {id}, hash long, anchor long, first long, last long, context long, run long"
+_ANCHORS = "doc_id {id}, hash long, anchor long, first long, last long, context long, run long, run_low long"
 
 
 def _anchors(docs: DataFrame, length: int) -> DataFrame:
@@ -125,20 +127,20 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
     reach = length - window_of(length) + 1
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
+        digest, digest_128, half = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_intdigest, 2**64 - 1
         for b in batches:
             for rows, data, starts, ends in _pieces(b, length):
                 anchor, first, last = runs_of(np.frombuffer(data, np.uint8), starts, ends, length)
                 places = zip(anchor.tolist(), first.tolist(), last.tolist())
-                hashes = [(digest(data[a : a + reach]), digest(data[f : e + length], a - f)) for a, f, e in places]
-                context, run = np.array(hashes, np.uint64).reshape(-1, 2).T.copy().view(np.int64)
+                whole = [(digest(data[a : a + reach]), digest_128(data[f : e + length], a - f)) for a, f, e in places]
+                hashes = np.array([(c, r >> 64, r & half) for c, r in whole], np.uint64).reshape(-1, 3).T.copy().view(np.int64)
                 piece = np.searchsorted(ends, first, side="right")
                 row, base = (np.array(c, np.int64)[piece] for c in zip(*rows))
                 shift = base - starts[piece]
                 own = b.select(["doc_id", "hash"]).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
-                    [*own.columns, *(pa.array(x) for x in (anchor + shift, first + shift, last + shift, context, run))],
-                    names=["doc_id", "hash", "anchor", "first", "last", "context", "run"],
+                    [*own.columns, *(pa.array(x) for x in (anchor + shift, first + shift, last + shift, *hashes))],
+                    names=["doc_id", "hash", "anchor", "first", "last", "context", "run", "run_low"],
                 )
 
     return docs.select("doc_id", "hash", "text").mapInArrow(scan, _ANCHORS.format(id=_id(docs)))
@@ -278,9 +280,9 @@ def _parted(grain: int, length: int):
     """A task that cuts runs of large buckets by distance from the anchor, grain by grain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
+        digest, digest_128, half = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_intdigest, 2**64 - 1
         for b in batches:
-            rows, keys, firsts, lasts, runs, data = [], [], [], [], [], []
+            rows, keys, firsts, lasts, runs, lows, data = [], [], [], [], [], [], []
             lists = (b.column(c).to_pylist() for c in ("bucket", "anchor", "first", "last", "data"))
             for i, (bucket, anchor, first, last, body) in enumerate(zip(*lists)):
                 for j in range((anchor - last) // grain, (anchor - first) // grain + 1):
@@ -290,34 +292,36 @@ def _parted(grain: int, length: int):
                     part = body[low - first : high + length - first]
                     rows.append(i)
                     keys.append(digest(core, (bucket ^ (j * 0x9E3779B97F4A7C15)) & (2**64 - 1)))
-                    runs.append(digest(part, low - bottom))
+                    whole = digest_128(part, low - bottom)
+                    runs.append(whole >> 64)
+                    lows.append(whole & half)
                     firsts.append(low)
                     lasts.append(high)
                     data.append(part)
             own = b.select(["doc_id", "hash", "anchor"]).take(pa.array(rows, pa.int64()))
-            whole = [np.array(x, np.uint64).view(np.int64) for x in (keys, runs)]
+            hashes = [np.array(x, np.uint64).view(np.int64) for x in (keys, runs, lows)]
             yield pa.RecordBatch.from_arrays(
-                [*own.columns, pa.array(firsts, pa.int64()), pa.array(lasts, pa.int64()), *map(pa.array, whole), pa.array(data, pa.binary())],
-                names=["doc_id", "hash", "anchor", "first", "last", "bucket", "run", "data"],
+                [*own.columns, pa.array(firsts, pa.int64()), pa.array(lasts, pa.int64()), *map(pa.array, hashes), pa.array(data, pa.binary())],
+                names=["doc_id", "hash", "anchor", "first", "last", "bucket", "run", "run_low", "data"],
             )
 
     return run
 
 
-def _examples(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(repeated, open): all rows of runs that occur whole more than once, and the rows that have to be sorted.
+def _examples(runs: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(repeated, open, tables): all rows of runs that occur whole more than once, the rows that have to be sorted, and what to discard.
 
-    runs has bucket and run; open has every run that occurs once in a bucket of several rows, and
-    one row of each repeated run of such a bucket.
+    runs has bucket, run and run_low; open has every run that occurs once in a bucket of several
+    rows, and one row of each repeated run of such a bucket.
     """
-    place = F.xxhash64("doc_id", "hash", "first")
-    sums = runs.groupBy("bucket", "run").agg(F.count("*").alias("n"), F.min(place).alias("pick"))
-    sums = stored(sums, "runs")
-    rows = runs.join(sums, ["bucket", "run"])
+    place, run = F.xxhash64("doc_id", "hash", "first"), ["bucket", "run", "run_low"]
+    sums = stored(runs.groupBy(*run).agg(F.count("*").alias("n"), F.min(place).alias("pick")), "runs")
+    rows = runs.join(sums, run)
     bucket = sums.groupBy("bucket").agg(F.min("n").alias("least"), F.sum("n").alias("rows"))
-    opened = bucket.where("least = 1 and rows > 1").select("bucket")
+    # a table, so that adaptive execution can split the join's hot buckets
+    opened = stored(bucket.where("least = 1 and rows > 1").select("bucket"), "opened")
     picked = rows.where(place == F.col("pick")).join(opened, "bucket", "left_semi")
-    return rows.where("n > 1"), picked.drop("n", "pick")
+    return rows.where("n > 1"), picked.drop("n", "pick"), [sums, opened]
 
 
 def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
@@ -332,26 +336,29 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     anchors = stored(_anchors(docs, length).withColumnRenamed("context", "bucket"), "anchors")
     several = stored(anchors.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "several")
     live = stored(anchors.join(several, "bucket", "left_semi"), "live")
-    discard(anchors)
-    whole, opened = _examples(live)
+    discard(anchors, several)
+    whole, opened, tables = _examples(live)
     out = stored(span(whole), "spans")
     regions = stored(_cut(_regions(docs, opened), length), "regions")
-    discard(live)
+    discard(live, *tables)
     schema = f"doc_id {ids}, hash long, start long, end long"
     for grain in (*_GRAINS, None):
         large = stored(regions.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select("bucket"), "large")
-        hot = large.count() > 0
+        hot = grain is not None and large.count() > 0
         ready = regions.join(large, "bucket", "left_anti") if hot else regions
         dealt = ready.repartition("bucket").sortWithinPartitions("bucket")
         out = out.union(stored(dealt.mapInArrow(_sorted_spans(length, ids), schema), "spans"))
-        if not hot or grain is None:
+        if not hot:
+            discard(regions, large)
             break
         cut = regions.join(large, "bucket", "left_semi").select("doc_id", "hash", "bucket", "anchor", "first", "last", "data")
-        parts = f"doc_id {ids}, hash long, anchor long, first long, last long, bucket long, run long, data binary"
+        parts = f"doc_id {ids}, hash long, anchor long, first long, last long, bucket long, run long, run_low long, data binary"
         parted = stored(cut.mapInArrow(_parted(grain, length), parts), "parts")
-        whole, opened = _examples(parted)
+        discard(regions, large)
+        whole, opened, tables = _examples(parted)
         out = out.union(stored(span(whole), "spans"))
         regions = stored(opened, "regions")
+        discard(parted, *tables)
     return out
 
 

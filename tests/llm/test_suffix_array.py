@@ -69,3 +69,25 @@ def test_a_text_in_several_pieces(monkeypatch):
             k = np.searchsorted(ends, f, side="right")
             seen[rows[k][1] + f - starts[k] : rows[k][1] + e - starts[k] + 1] += 1
     assert (seen[: 5000 - 127] == 1).all() and (seen[5000 - 127 :] == 0).all()
+
+
+def test_the_query_over_a_whole_table(spark):
+    from ravine.llm.entries import op10_suffix_array_dedup
+
+    sf_dir = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    got = op10_suffix_array_dedup(spark, sf_dir).collect()
+    expected = brute(docs, 400)
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == expected
+    assert any(r[2] for r in expected)
+
+
+def test_a_passage_across_the_pieces_of_a_long_text(spark):
+    rng = random.Random(3)
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnop", k=n))
+    passage, cut = letters(900), sa._STEP - 300
+    long = letters(cut) + passage + letters(70_000)
+    df = spark.createDataFrame([(1, long), (2, "é" + passage[:500]), (3, None), (4, "")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans, bytes(r.kept)) for r in sa.remove_repeats(df).collect()}
+    assert got[1] == (500, 1, (long[:cut] + long[cut + 500 :]).encode())
+    assert got[2] == (500, 1, "é".encode()) and got[3] == got[4] == (0, 0, b"")
