@@ -4,17 +4,20 @@ Texts are compared as UTF-8 bytes with A-Z lowered and white space collapsed. A
 is matched whole if it is short, else by segments of SEGMENT bytes, so a document that holds
 part of an item is found too. If a segment of m bytes occurs with at most k edits, it shares
 at least m + 1 - q (k + 1) of its q-grams with the text, on diagonals that differ by at most k
-(the q-gram lemma; Rasmussen, Stoye and Myers 2006). Shared q-grams are counted in diagonal
-bands of width 2k that overlap by k, so that every such match lies whole in one band; bands
-that reach the bound are verified by an alignment restricted to their diagonals.
+(the q-gram lemma; Rasmussen, Stoye and Myers 2006). q is Q, or less for short items, so that
+the bound is never below one. Windows of the text that share too few q-grams, counted by kind,
+go first. In what is left, shared q-grams are counted in diagonal bands of width 2k that overlap
+by k, so that every such match lies whole in one band; bands that reach the bound are verified
+by an alignment restricted to their diagonals.
 
 The benchmark is a stated query set. It is shipped to tasks in blocks of a bounded number of
-bytes; documents are read once for each block.
+bytes; documents are read once for each block. Texts are searched in pieces of some _STEP bytes
+that overlap by more than a match, and q-grams are expanded _ROWS at a time, so memory follows
+neither the length of a text nor its repetitions.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,112 +27,196 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of a q-gram; a q-gram is looked up as one 64-bit number.
+from ravine.llm.common import packed, unpacked
+
+#: Most bytes of a q-gram; a q-gram is looked up as one 64-bit number.
 Q = 8
 #: Bytes of a segment, and of the benchmark text that one block ships.
 SEGMENT, BLOCK_BYTES = 120, 8_000_000
-#: Bytes of texts that are looked up together, and what makes diagonals positive.
-_STEP, _SHIFT = 1 << 20, 1 << 33
+#: Bytes of texts that are looked up together, rows of an expansion, and what makes diagonals positive.
+_STEP, _ROWS, _SHIFT = 1 << 20, 1 << 19, 1 << 33
+#: Shared places of a segment and a window from which on aligning them whole is cheaper than counting bands.
+_DENSE = 4096
 
 
 def normal(text: str | None) -> bytes:
     return b" ".join(text.encode("utf-8").lower().split()) if text else b""
 
 
-def _grams(data: bytes) -> np.ndarray:
+def _grams(data: bytes, q: int = Q) -> np.ndarray:
     """All q-grams of data as numbers, in order."""
     padded = np.frombuffer(data + b"\0" * 8, np.uint8)
-    return np.ndarray((max(0, len(data) - Q + 1),), "<u8", padded, strides=(1,)).copy() if len(data) >= Q else np.empty(0, "<u8")
+    out = np.ndarray((max(0, len(data) - q + 1),), "<u8", padded, strides=(1,)).copy()
+    return out & np.uint64((1 << 8 * q) - 1) if q < 8 else out
 
 
 @dataclass(frozen=True)
 class Segment:
-    """A piece of an item: its bytes, its edit budget, and the shared q-grams that the budget asks for."""
+    """A piece of an item: its bytes and its edit budget."""
 
     item: int
-    start: int
     data: bytes
     budget: int
-    least: int
+
+    @property
+    def q(self) -> int:
+        return min(Q, len(self.data) // (self.budget + 1))
+
+    @property
+    def least(self) -> int:
+        """The shared q-grams that the lemma asks for, at least one."""
+        return len(self.data) + 1 - self.q * (self.budget + 1)
 
 
 def segments(item: int, text: str | None, error: float) -> list[Segment]:
     """The whole of a short item, else pieces of SEGMENT bytes at every half of that, the last one at the end.
 
-    The budget is error * length edits, less where the lemma would then ask for no q-gram at
-    all. Items under Q bytes have no segment: they would match anywhere.
+    The budget is error * length edits. An empty item has no segment.
     """
     data = normal(text)
-    if len(data) < Q:
+    if not data:
         return []
     starts = [0] if len(data) <= SEGMENT else sorted({*range(0, len(data) - SEGMENT, SEGMENT // 2), len(data) - SEGMENT})
-    out = []
-    for s in starts:
-        piece = data[s : s + SEGMENT]
-        budget = max(0, min(int(error * len(piece)), math.ceil((len(piece) + 1) / Q) - 2))
-        out.append(Segment(item, s, piece, budget, max(1, len(piece) + 1 - Q * (budget + 1))))
-    return out
+    pieces = (data[s : s + SEGMENT] for s in starts)
+    return [Segment(item, x, min(int(error * len(x)), len(x) - 1)) for x in pieces]
 
 
 class Index:
-    """The q-grams of a block of segments: a small table that turns most q-grams away, and sorted arrays."""
+    """A block's segments: equal ones are one, those of one q share a table, and short ones are looked up as words."""
 
     def __init__(self, parts: list[Segment]):
-        self.parts = parts
-        grams = [_grams(p.data) for p in parts]
-        key = np.concatenate([*grams, np.empty(0, "<u8")])
+        items: dict[tuple[bytes, int], list[int]] = {}
+        for p in parts:
+            items.setdefault((p.data, p.budget), []).append(p.item)
+        self.items = {k: sorted(set(v)) for k, v in items.items()}
+        self.words = {d: v for (d, _), v in self.items.items() if len(d) < Q}
+        long = [Segment(v[0], d, k) for (d, k), v in self.items.items() if len(d) >= Q]
+        self.tables = [Grams([p for p in long if p.q == q], q) for q in sorted({p.q for p in long})]
+        self.gap = b"\n" * (4 * max((p.budget for p in parts), default=0) + Q + 1)
+        self.reach = max((len(p.data) + p.budget for p in parts), default=0)
+
+
+class Grams:
+    """The q-grams of segments: a small table that turns most q-grams away, and sorted arrays."""
+
+    def __init__(self, parts: list[Segment], q: int):
+        self.parts, self.q = parts, q
+        grams = [_grams(p.data, q) for p in parts]
+        key = np.concatenate(grams)
         owner = np.repeat(np.arange(len(parts)), [len(g) for g in grams]).astype(np.int64)
-        place = np.concatenate([*(np.arange(len(g)) for g in grams), np.empty(0, np.int64)]).astype(np.int64)
+        place = np.concatenate([np.arange(len(g)) for g in grams]).astype(np.int64)
         order = np.argsort(key, kind="stable")
-        self.owner, self.place = owner[order], place[order]
-        self.key, self.first, self.many = np.unique(key[order], return_index=True, return_counts=True)
+        self.place, sorted_owner = place[order], owner[order]
+        self.key, number = np.unique(key[order], return_inverse=True)
+        # kinds: the different (q-gram, segment), each with its places
+        new = np.concatenate(([True], (number[1:] != number[:-1]) | (sorted_owner[1:] != sorted_owner[:-1])))
+        self.kind_first = np.flatnonzero(new)
+        self.kind_many = np.diff(np.append(self.kind_first, len(key)))
+        self.kind_owner = sorted_owner[new]
+        self.first = np.searchsorted(number[new], np.arange(len(self.key)))
+        self.many = np.bincount(number[new], minlength=len(self.key))
         self.bits = max(12, min(26, int(len(key)).bit_length() + 4))
         self.table = np.zeros(1 << self.bits, bool)
         self.table[self._slot(self.key)] = True
         self.budget = np.array([p.budget for p in parts], np.int64)
         self.width = np.maximum(self.budget, 1)
         self.least = np.array([p.least for p in parts], np.int64)
+        self.window = max(len(p.data) + p.budget for p in parts)
 
     def _slot(self, grams: np.ndarray) -> np.ndarray:
         return (grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
 
-    def bands(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """(segment, first diagonal) of the bands whose shared q-grams reach the segment's bound.
+    def bands(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(segment, first diagonal, width) of the bands whose shared q-grams reach the segment's bound.
 
-        Preserved q-grams are different ones of the segment and of the text, so both are counted.
+        A window that shares very many places with a segment, as repetitive texts do, is one wide band.
         """
-        none = np.empty(0, np.int64)
-        grams = _grams(data)
+        found = [(np.empty(0, np.int64),) * 3]
+        grams = _grams(data, self.q)
         at = np.flatnonzero(self.table[self._slot(grams)])
-        key = np.searchsorted(self.key, grams[at])
-        there = self.key[np.minimum(key, len(self.key) - 1)] == grams[at] if len(self.key) else np.zeros(len(at), bool)
+        key = np.minimum(np.searchsorted(self.key, grams[at]), len(self.key) - 1)
+        there = self.key[key] == grams[at]
         at, key = at[there], key[there]
-        many = self.many[key]
-        if not len(at):
-            return none, none
-        text = np.repeat(at, many)
-        row = np.repeat(self.first[key] - (np.cumsum(many) - many), many) + np.arange(len(text))
-        owner, place = self.owner[row], self.place[row]
+        # a match lies whole in one of the windows, which overlap by half
+        window = at // self.window
+        many = np.bincount(window, minlength=len(data) // self.window + 2)
+        full = many + np.append(many[1:], 0) >= self.least.min()
+        at, key, window = np.tile(at, 2), np.tile(key, 2), np.concatenate([window, window - 1])
+        inside = (window >= 0) & full[window]
+        at, key, window = at[inside], key[inside], window[inside]
+        order = np.argsort(window * len(self.key) + key, kind="stable")
+        at, key, window = at[order], key[order], window[order]
+        first = np.flatnonzero(_changes(window, key))
+        many = np.diff(np.append(first, len(at)))
+        for part in _bounded(window[first], self.many[key[first]]):
+            found += self._candidates(at, window[first[part]], key[first[part]], first[part], many[part])
+        owner, start, width = np.unique(np.stack([np.concatenate(x) for x in zip(*found)]), axis=1)
+        return owner, start, width
+
+    def _candidates(self, at: np.ndarray, window: np.ndarray, key: np.ndarray, first: np.ndarray, many: np.ndarray) -> list:
+        """The bands of some windows; rows are their different q-grams, which have `many` places in `at` from first on."""
+        row, kind = _spread(self.first[key], self.many[key])
+        owner, times = self.kind_owner[kind], self.kind_many[kind]
+        order = np.argsort(window[row] * len(self.parts) + owner, kind="stable")
+        row, kind, owner, times = row[order], kind[order], owner[order], times[order]
+        pair = np.cumsum(_changes(window[row], owner)) - 1
+        shared = np.bincount(pair, weights=np.minimum(times, many[row])) if len(pair) else np.empty(0)
+        enough = shared[pair] >= self.least[owner] if len(pair) else np.empty(0, bool)
+        row, kind, owner, times, pair = row[enough], kind[enough], owner[enough], times[enough], pair[enough]
+        if not len(pair):
+            return []
+        work = many[row] * times
+        dense = np.bincount(pair, weights=work)[pair] > _DENSE
+        one = np.flatnonzero(_changes(pair) & dense)
+        start = window[row[one]] * self.window - self.budget[owner[one]]
+        wide = [(owner[one], start, 2 * (self.window + self.budget[owner[one]]))]
+        row, kind, owner, pair, work = row[~dense], kind[~dense], owner[~dense], pair[~dense], work[~dense]
+        return wide + [self._banded(at, first[row[p]], many[row[p]], kind[p], owner[p], pair[p]) for p in _bounded(pair, work)]
+
+    def _banded(self, at: np.ndarray, first: np.ndarray, many: np.ndarray, kind: np.ndarray, owner: np.ndarray, pair: np.ndarray) -> tuple:
+        """Preserved q-grams are different ones of the segment and of the text, so both are counted."""
+        row, text = _spread(first, many)
+        again, place = _spread(self.kind_first[kind[row]], self.kind_many[kind[row]])
+        text, place, row = at[text[again]], self.place[place], row[again]
         # every diagonal lies in two bands of width 2k: the one that starts at its multiple of k, and the one before
-        band = (text - place + _SHIFT) // self.width[owner]
-        owner, text, place = np.tile(owner, 2), np.tile(text, 2), np.tile(place, 2)
-        group = owner << 42 | np.concatenate([band, band - 1])
-        # rows whose bucket holds too few for any bound go before the sort
-        bucket = (group.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(43)).astype(np.int64)
-        full = np.bincount(bucket, minlength=1 << 21)[bucket] >= self.least[owner]
-        group, text, place = group[full], text[full], place[full]
+        band = (text - place + _SHIFT) // self.width[owner[row]]
+        pair, owner, text, place = np.tile(pair[row], 2), np.tile(owner[row], 2), np.tile(text, 2), np.tile(place, 2)
+        band = np.concatenate([band, band - 1])
         for by_place in (False, True):
-            order = np.lexsort((place if by_place else text, group))
-            group, text, place = group[order], text[order], place[order]
-            value = place if by_place else text
-            first = np.concatenate(([True], group[1:] != group[:-1]))[: len(group)]
-            different = first | np.concatenate(([True], value[1:] != value[:-1]))[: len(group)]
-            number = np.cumsum(first) - 1
-            enough = np.bincount(number, weights=different)[number] >= self.least[group >> 42] if len(group) else first
-            group, text, place = group[enough], text[enough], place[enough]
-        found = np.unique(group)
-        owner = found >> 42
-        return owner, (found & (1 << 42) - 1) * self.width[owner] - _SHIFT
+            order = np.lexsort((place if by_place else text, band, pair))
+            pair, owner, band, text, place = pair[order], owner[order], band[order], text[order], place[order]
+            new = _changes(pair, band)
+            different = new | _changes(place if by_place else text)
+            number = np.cumsum(new) - 1
+            enough = np.bincount(number, weights=different)[number] >= self.least[owner] if len(pair) else new
+            pair, owner, band, text, place = pair[enough], owner[enough], band[enough], text[enough], place[enough]
+        return owner, band * self.width[owner] - _SHIFT, 2 * self.width[owner]
+
+
+def _changes(*keys: np.ndarray) -> np.ndarray:
+    """Where a key differs from the one before."""
+    out = np.zeros(len(keys[0]), bool)
+    out[:1] = True
+    for k in keys:
+        out[1:] |= k[1:] != k[:-1]
+    return out
+
+
+def _spread(first: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place): for each row the places first .. first + many - 1."""
+    row = np.repeat(np.arange(len(first)), many)
+    return row, np.arange(len(row)) + (first - np.cumsum(many) + many)[row]
+
+
+def _bounded(group: np.ndarray, sizes: np.ndarray) -> Iterator[slice]:
+    """Slices of rows, sorted by group, that keep groups whole and have some _ROWS in sizes each."""
+    if not len(group):
+        return
+    start = np.flatnonzero(_changes(group))
+    before = np.concatenate(([0], np.cumsum(sizes)))[start]
+    cuts = start[_changes(before // _ROWS)]
+    for s, e in zip(cuts, [*cuts[1:], len(group)]):
+        yield slice(int(s), int(e))
 
 
 def banded_matches(
@@ -170,39 +257,28 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, error: float = 0.1) ->
     """(doc_id, item_id, start, end, edits): where docs (doc_id, text) hold segments of benchmark (item_id, text).
 
     start and end are byte places in the normalised text. Overlapping places of an item are one,
-    with the fewest edits of a segment. Null and empty texts match nothing; an item whose text
-    occurs under two ids is found under both; repeated rows of docs each give their matches.
+    with the fewest edits of a segment. Items under Q bytes are found exactly and as whole words,
+    since within words they would be in nearly every text. Null and empty texts match nothing; an
+    item whose text occurs under two ids is found under both; repeated rows of docs each give
+    their matches. Of equally good places of a segment in one band the one that ends first counts.
     """
-    spark = docs.sparkSession
     out = T.StructType(
         [docs.schema["doc_id"], benchmark.schema["item_id"], T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("edits", T.LongType())]
     )
-    found = None
+    schema = pa.schema([("doc_id", _arrow(out[0])), ("item_id", _arrow(out[1])), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int64())])
+    found = docs.sparkSession.createDataFrame([], out)
     for ids, block in _blocks(benchmark, error):
-        shipped = spark.sparkContext.broadcast((ids, block))
+        shipped = docs.sparkSession.sparkContext.broadcast((ids, block))
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            ids, block = shipped.value
-            index = Index(block)
+            ids, index = shipped.value[0], Index(shipped.value[1])
             for b in batches:
-                rows, held, ids_held, size = [], [], [], 0
-                docs_ = b.column("doc_id").to_pylist()
-                for i, x in enumerate(b.column("text")):
-                    held.append(normal(x.as_py()))
-                    ids_held.append(docs_[i])
-                    size += len(held[-1])
-                    if size > _STEP or i == len(docs_) - 1:
-                        rows += [(ids_held[t], ids[item], *rest) for t, item, *rest in places(held, index)]
-                        held, ids_held, size = [], [], 0
+                rows = [(b.column("doc_id")[t].as_py(), ids[item], *rest) for t, item, *rest in places(map(normal, b.column("text").to_pylist()), index)]
                 columns = list(zip(*rows)) or [()] * 5
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-        schema = pa.schema([("doc_id", _arrow(out[0])), ("item_id", _arrow(out[1])), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int64())])
-        part = docs.select("doc_id", "text").mapInArrow(run, out)
-        found = part if found is None else found.union(part)
-    return spark.createDataFrame([], out) if found is None else found
+        found = found.union(docs.select("doc_id", "text").mapInArrow(run, out))
+    return found
 
 
 def _arrow(field: T.StructField) -> pa.DataType:
@@ -226,45 +302,77 @@ def _blocks(benchmark: DataFrame, error: float) -> Iterator[tuple[list, list[Seg
         yield ids, block
 
 
-def places(texts: list[bytes], index: Index) -> list[tuple[int, int, int, int, int]]:
+def places(texts: Iterator[bytes] | list[bytes], index: Index) -> Iterator[tuple[int, int, int, int, int]]:
     """(text, item, start, end, edits) of every item that a normalised text holds, overlapping places merged.
 
-    Texts are searched together, apart by more bytes than any budget bridges.
+    Texts are searched together, apart by more bytes than any budget bridges; long ones in pieces.
     """
-    gap = b"\n" * (4 * int(index.budget.max(initial=0)) + Q + 1)
-    begin = np.cumsum([0, *(len(t) + len(gap) for t in texts)])[:-1]
-    data = gap.join(texts)
-    part, first = index.bands(data)
-    body = np.frombuffer(data, np.uint8)
-    hits: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-    kinds = np.array([len(p.data) << 32 | p.budget for p in index.parts], np.int64)[part]
-    for kind in np.unique(kinds):
-        budget = int(kind & 0xFFFFFFFF)
-        for own in np.array_split(np.flatnonzero(kinds == kind), max(1, (kinds == kind).sum() // 4096)):
-            pieces = np.stack([np.frombuffer(index.parts[p].data, np.uint8) for p in part[own]])
-            edits, start, end = banded_matches(pieces, body, first[own], 2 * max(budget, 1), budget)
-            for i in np.flatnonzero(edits <= budget):
-                # a text cut at the front may be aligned with bytes of the gap before it, so the end tells the text
-                text = int(np.searchsorted(begin, end[i] - 1, side="right")) - 1
-                base = int(begin[text])
-                s, e = max(int(start[i]) - base, 0), min(int(end[i]) - base, len(texts[text]))
-                hits.setdefault((text, index.parts[part[own[i]]].item), []).append((s, e, int(edits[i])))
-    out = []
-    for (text, item), found in sorted(hits.items()):
+    held: list[tuple[int, int, bytes]] = []
+    size, hits = 0, {}
+    for t, text in enumerate(texts):
+        for item, s, e in _as_words(text, index.words):
+            hits.setdefault((t, item), []).append((s, e, 0))
+        for base in range(0, max(len(text) - index.reach, 0) + 1, _STEP):
+            held.append((t, base, text[base : base + _STEP + index.reach]))
+            size += len(held[-1][2])
+            if size > _STEP:
+                _search(held, index, hits)
+                held, size = [], 0
+    _search(held, index, hits)
+    for (t, item), found in sorted(hits.items()):
         found.sort()
         start, end, edits = found[0]
         for s, e, d in found[1:]:
             if s <= end:
                 end, edits = max(end, e), min(edits, d)
             else:
-                out.append((text, item, start, end, edits))
+                yield t, item, start, end, edits
                 start, end, edits = s, e, d
-        out.append((text, item, start, end, edits))
-    return out
+        yield t, item, start, end, edits
+
+
+def _as_words(text: bytes, short: dict[bytes, list[int]]) -> Iterator[tuple[int, int, int]]:
+    """(item, start, end) of the items under Q bytes that stand in text as whole words."""
+    if not short:
+        return
+    cuts = [-1, *(i for i, c in enumerate(text) if c == 32), len(text)]
+    for i, cut in enumerate(cuts[:-1]):
+        for end in cuts[i + 1 : i + 1 + Q]:
+            if end - cut > Q:
+                break
+            for item in short.get(text[cut + 1 : end], ()):
+                yield item, cut + 1, end
+
+
+def _search(held: list[tuple[int, int, bytes]], index: Index, hits: dict) -> None:
+    """Add to hits what the pieces (text, place in it, bytes) hold."""
+    if not held:
+        return
+    begin = np.cumsum([0, *(len(x) + len(index.gap) for _, _, x in held)])[:-1]
+    data = index.gap.join(x for _, _, x in held)
+    body = np.frombuffer(data, np.uint8)
+    for table in index.tables:
+        part, first, width = table.bands(data)
+        kinds = np.array([len(p.data) << 32 | p.budget for p in table.parts], np.int64)[part]
+        for kind, wide in sorted(set(zip(kinds.tolist(), width.tolist()))):
+            budget, same = kind & 0xFFFFFFFF, np.flatnonzero((kinds == kind) & (width == wide))
+            for own in np.array_split(same, len(same) * wide // 100_000 + 1):
+                pieces = np.stack([np.frombuffer(table.parts[p].data, np.uint8) for p in part[own]])
+                edits, start, end = banded_matches(pieces, body, first[own], wide, budget)
+                for i in np.flatnonzero(edits <= budget):
+                    # a text cut at the front may be aligned with bytes of the gap before it, so the end tells the text
+                    k = int(np.searchsorted(begin, end[i] - 1, side="right")) - 1
+                    text, base, piece = held[k]
+                    s, e = max(int(start[i] - begin[k]), 0), min(int(end[i] - begin[k]), len(piece))
+                    for item in index.items[table.parts[part[own[i]]].data, budget]:
+                        hits.setdefault((text, item), []).append((base + s, base + e, int(edits[i])))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, error: float = 0.1) -> DataFrame:
-    """One row for each document (doc_id) that holds a passage: n_items, n_bytes covered, fewest edits."""
+    """One row for each document (doc_id) that holds a passage: n_items, n_bytes covered, fewest edits.
+
+    Rows that share a doc_id, or have none, are judged each by itself and reported as one.
+    """
     found = find_passages(docs, benchmark, error).distinct()
     return found.groupBy("doc_id").agg(
         F.countDistinct("item_id").alias("n_items"),
@@ -274,9 +382,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error: float = 0.1) -> D
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, error: float = 0.1) -> DataFrame:
-    """docs without the documents that hold a benchmark passage; all columns are kept.
+    """docs without the rows that hold a benchmark passage; all columns are kept.
 
-    Rows with a null doc_id are judged as one document.
+    Every row is judged by its own text, whatever its doc_id, in place: nothing is shuffled.
     """
-    bad = contaminated(docs, benchmark, error).select(F.col("doc_id").alias("_bad_id"))
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad._bad_id), "left_anti")
+    for ids, block in _blocks(benchmark, error):
+        shipped = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            index = Index(shipped.value)
+            for b in batches:
+                texts = b.column(b.schema.get_field_index("_text")).to_pylist()
+                clean = np.ones(b.num_rows, bool)
+                clean[[t for t, *_ in places(map(normal, texts), index)]] = False
+                yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("_row")).filter(pa.array(clean))], names=["_row"])
+
+        rows = docs.select(packed(docs).alias("_row"), F.col("text").alias("_text"))
+        told = rows.mapInArrow(run, T.StructType([rows.schema["_row"]]))
+        docs = told.select(*unpacked(told, "_row"))
+    return docs

@@ -121,11 +121,11 @@ def test_passages_with_edits_are_found_and_others_left():
     for k in range(60):
         body = [" ".join(word() for _ in range(80)) for _ in range(2)]
         clean = decontaminate.normal(" ".join(body))
-        assert decontaminate.places([clean], index) == []
+        assert list(decontaminate.places([clean], index)) == []
         text = bytearray(items[k % 30].encode())
         for _ in range(len(text) // 25):
             text[rng.randrange(len(text))] = ord("z")
         dirty = decontaminate.normal(body[0] + "  " + text.decode().upper() + "\n" + body[1])
-        found = decontaminate.places([clean, b"", dirty, clean], index)
+        found = list(decontaminate.places([clean, b"", dirty, clean], index))
         assert [f[:2] for f in found] == [(2, k % 30)] * len(found) and found
         assert found[0][2] - len(body[0]) <= 40 and sum(f[3] - f[2] for f in found) > 0.5 * len(text)
