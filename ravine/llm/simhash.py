@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravine.llm.common import local_roots, lowered_words, packed, popcount, slabs, stored, unpacked
+from ravine.llm.buckets import BANDS, band_keys, digest, name, shingle_hashes, units, word_hashes
+from ravine.llm.common import discard, local_roots, lowered_words, packed, popcount, slabs, stored, unpacked
 from ravine.llm.components import components
 
 #: Most fingerprints of a tree, and of the queries that meet it in one step.
@@ -183,13 +184,123 @@ def simhash_components(docs: DataFrame, radius: int = 4, shingle: int = 4, seed:
     )
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """docs without the near-duplicates: the document with the smallest doc_id of each component stays.
+def _signed(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """docs (doc_id, hash, text) with class (high, low), words, fingerprint and band keys (none without words) for text."""
 
-    Of rows that share that doc_id one stays. All columns are kept.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                numbers, hashes, some = [], [], []
+                for i, x in enumerate(part.column("text")):
+                    words = lowered_words(x.as_py())
+                    numbers.append((*digest(words), len(words), fingerprint(x.as_py(), shingle, seed)))
+                    if words:
+                        some.append(i)
+                        hashes.append(shingle_hashes(word_hashes(words), shingle))
+                columns = np.array(numbers, np.uint64).T.copy().view(np.int64)
+                offsets = np.zeros(part.num_rows + 1, np.int32)
+                offsets[np.array(some, np.int64) + 1] = BANDS
+                keys = band_keys(hashes).view(np.int64).ravel() if hashes else np.empty(0, np.int64)
+                bands = pa.ListArray.from_arrays(pa.array(np.cumsum(offsets, dtype=np.int32)), pa.array(keys))
+                yield pa.RecordBatch.from_arrays(
+                    [*part.select(["doc_id", "hash"]).columns, *map(pa.array, columns), bands],
+                    names=["doc_id", "hash", "high", "low", "words", "fingerprint", "bands"],
+                )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, hash long, high long, low long, words long, fingerprint long, bands array<long>"
+    return docs.select("doc_id", "hash", "text").mapInArrow(run, schema)
+
+
+def verified_links(value: np.ndarray, sets: list[np.ndarray], radius: int, threshold: float) -> list[tuple[int, int]]:
+    """Links that join whatever pairs join that are at most radius bits and at least threshold similar.
+
+    A BK-tree over the fingerprints gives each text's neighbours; the Jaccard similarity of the
+    sets decides among those that are not reached yet.
+    """
+    different, node = np.unique(value, return_inverse=True)
+    group = np.zeros(len(different), np.int64)
+    a, b = bk_links(group, different, np.ones(len(different), bool), radius)
+    a, b = np.concatenate([a, np.arange(len(different))]), np.concatenate([b, np.arange(len(different))])
+    order = np.argsort(a, kind="stable")
+    near, cuts = b[order], np.searchsorted(a[order], np.arange(len(different) + 1))
+    holders = np.argsort(node, kind="stable")
+    begin = np.searchsorted(node[holders], np.arange(len(different) + 1))
+    open_, links = np.ones(len(value), bool), []
+    for first in range(len(value)):
+        queue = [first] if open_[first] else []
+        open_[first] = False
+        while queue:
+            me = queue.pop()
+            nodes = near[cuts[node[me]] : cuts[node[me] + 1]]
+            others = np.concatenate([holders[begin[k] : begin[k + 1]] for k in nodes])
+            for other in others[open_[others]].tolist():
+                shared = len(np.intersect1d(sets[me], sets[other], assume_unique=True))
+                if shared >= threshold * (len(sets[me]) + len(sets[other]) - shared):
+                    links.append((me, other))
+                    open_[other] = False
+                    queue.append(other)
+    return links
+
+
+def _text_links(radius: int, shingle: int, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for slab in slabs(batches, "unit"):
+            unit, value = slab.column("unit").to_numpy(), slab.column("fingerprint").to_numpy().view("<u8")
+            names, texts = slab.column("node").to_pylist(), slab.column("text")
+            cuts = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
+            for s, e in zip(cuts, [*cuts[1:], len(unit)]):
+                if e - s > 1:
+                    sets = [np.unique(shingle_hashes(word_hashes(lowered_words(x.as_py())), shingle)) for x in texts[s:e]]
+                    links = [(names[s + a], names[s + b]) for a, b in verified_links(value[s:e], sets, radius, threshold)]
+                    a, b = zip(*links) if links else ((), ())
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
+
+    return run
+
+
+def kept_documents(docs: DataFrame, radius: int = 22, shingle: int = 5, threshold: float = 0.8, seed: int = 42) -> DataFrame:
+    """(doc_id, hash): the first document, by doc_id, of each group of near-duplicates; null ids come last.
+
+    docs has doc_id, text and hash, the 64-bit hash of text. Two texts are linked if their
+    fingerprints differ in at most radius bits and their sets of word shingles have a Jaccard
+    similarity of threshold or more. At that radius one fingerprint finds nearly all, so the
+    shards of the BK-trees cannot be blocks of its bits, as those of simhash_components: the
+    bits of a block short enough would be shared by nearly all texts. They are the buckets of
+    MinHash bands of the same shingles. At 0.8 fingerprints of unlike shingles differ in some
+    10 of 64 bits with a deviation of 3, so a radius of 22 loses one pair in 10,000, and the
+    bands lose two in 1000.
+    """
+    found = stored(_signed(docs, shingle, seed), "signed")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    first = F.min(F.struct(place.alias("first"), "words", "fingerprint", "bands")).alias("c")
+    classes = stored(found.groupBy("high", "low").agg(first).select("high", "low", "c.*"), "classes")
+    met = units(classes)
+    wanted = classes.join(met.select("high", "low").distinct(), ["high", "low"], "left_semi")
+    wanted = wanted.select(F.col("first.doc_id").alias("_i"), F.col("first.hash").alias("_h"), "high", "low", "fingerprint")
+    texts = docs.join(wanted, docs.doc_id.eqNullSafe(wanted._i) & (docs.hash == wanted._h)).select("high", "low", "fingerprint", "text")
+    texts = stored(texts.dropDuplicates(["high", "low"]), "texts")
+    dealt = met.join(texts, ["high", "low"]).select("unit", name(), "fingerprint", "text").repartition("unit").sortWithinPartitions("unit")
+    groups = components(dealt.mapInArrow(_text_links(radius, shingle, threshold), "a string, b string"), "a", "b")
+    discard(found, met, texts)
+    groups = groups.withColumnRenamed("node", "_node")
+    rooted = classes.select(name(), "first").join(groups, F.col("node") == F.col("_node"), "left")
+    kept = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    kept = stored(kept.select("first.doc_id", "first.hash"), "kept")
+    discard(classes)
+    return kept
+
+
+def drop_near_duplicates(docs: DataFrame, radius: int = 22, shingle: int = 5, threshold: float = 0.8, seed: int = 42) -> DataFrame:
+    """docs without the near-duplicates: the document with the smallest doc_id of each group stays.
+
+    Rows are told apart by doc_id and text: those that share both, or all null and wordless
+    texts, are copies of each other, while texts that are not alike all stay whatever their ids.
+    All columns are kept.
     """
-    found = simhash_components(docs, radius, shingle, seed)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    rows = docs.select(packed(docs).alias("_row"), F.col("doc_id").alias("_id"))
-    kept = rows.join(keep, rows._id.eqNullSafe(keep._kept_id)).dropDuplicates(["_kept_id"])
+    keep = kept_documents(docs.select("doc_id", "text", F.xxhash64("text").alias("hash")), radius, shingle, threshold, seed)
+    keep = keep.select(F.col("doc_id").alias("_kept_id"), F.col("hash").alias("_kept_hash"))
+    rows = docs.select(packed(docs).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
+    kept = rows.join(keep, rows._id.eqNullSafe(keep._kept_id) & (rows._hash == keep._kept_hash)).dropDuplicates(["_kept_id", "_kept_hash"])
     return kept.select(*unpacked(kept, "_row"))

@@ -1,22 +1,21 @@
-"""Removal of repeated passages: paragraphs compared by MinHash banding and exact Jaccard similarity.
-
-A paragraph is a line of at least `min_words` words. Equal paragraphs (words in lower case) are
-one class from the start, so copies are never expanded. Each class has a MinHash signature over
-its word shingles (Broder 1997), cut into BANDS bands of ROWS minima: classes whose Jaccard
-similarity is 0.8 share a band with probability 1 - (1 - 0.8^ROWS)^BANDS = 0.998, more similar
-ones nearly always. Classes that share a band are gathered, by components, into candidate
-clusters; within a cluster the exact Jaccard similarity of the shingle sets decides. A
-paragraph is visited once and compared with those not yet reached, so a cluster of near
-copies costs little more than its size; a cluster of more than CLUSTER classes is met in
-parts, every two parts in a task of their own. Components of the verified links are the groups;
-the first paragraph of a group, by (doc_id, paragraph), stays and the others are removed.
+"""Removal of repeated passages: paragraphs by MinHash banding and exact Jaccard similarity, passages word by word.
+
+A paragraph is a line of at least `min_words` words. Paragraphs that share a MinHash band (see
+buckets) are compared by the exact Jaccard similarity of their word shingles, bucket by bucket.
+Components of the verified links alone are the groups; the first paragraph of a group, by
+(doc_id, paragraph), stays and the others are removed.
 
 A passage can also be repeated inside longer paragraphs, where it says little of their
-similarity. So word shingles of PASSAGE words, the least by hash of every WINDOW neighbours, are
-looked up in the whole corpus: where some that occur before follow each other within GAP words
-and span min_passage words, that stretch is a repeated passage and is removed as well. The
-samples (winnowing; Schleimer, Wilkerson and Aiken 2003) depend on content alone and leave no
-gap of more than WINDOW words, so every passage of over 50 words is found.
+similarity, or run over shorter lines. So word shingles of PASSAGE words, the least by hash of
+every WINDOW neighbours (winnowing; Schleimer, Wilkerson and Aiken 2003), are looked up in the
+text that is left of the first step. A sample that occurs before is only a candidate: the words
+around its first occurrence are fetched and compared one by one, and what is removed is the
+stretch that equals them. The samples depend on content alone, and every PASSAGE + WINDOW - 1
+= 50 words hold one, so every repeat of 50 words is met.
+
+So nothing is removed but whole paragraphs similar to one of their group, and words that stand
+in the same order at an earlier place of the text that the first step leaves; followed back,
+these places end at one that stays.
 """
 
 from __future__ import annotations
@@ -26,58 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ravine.llm.buckets import band_keys, digest, name, shingle_hashes, similar_links, units, word_hashes
 from ravine.llm.common import discard, lowered_words, packed, slabs, stored, unpacked
 from ravine.llm.components import components
 
-BANDS, ROWS = 12, 4
-#: Classes of a part of a cluster.
-CLUSTER = 1024
-#: Words of a shingle that samples passages, shingles of which the least is taken, and words between samples of one passage.
-PASSAGE, WINDOW, GAP = 12, 16, 24
-#: Shingles whose minima are taken together.
-_STEP = 1 << 17
-
-
-def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
-    """64-bit hashes of the word shingles, in order; fewer words than a shingle make one."""
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    width = min(shingle, len(words))
-    spans = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())
-    digest = xxhash.xxh3_64_intdigest
-    return np.array([digest(joined[s:e]) for s, e in spans], np.uint64)
-
-
-def _coefficients() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(7)
-    a = rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return a, rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
-
-
-def band_keys(hashes: list[np.ndarray]) -> np.ndarray:
-    """(paragraphs, BANDS) 64-bit keys of the bands of each paragraph's signature."""
-    a, b = _coefficients()
-    out = np.empty((len(hashes), BANDS), np.uint64)
-    sizes = np.array([len(h) for h in hashes])
-    group = np.cumsum(sizes) // _STEP
-    for g in np.unique(group):
-        part = np.flatnonzero(group == g)
-        flat = np.concatenate([hashes[i] for i in part])
-        at = np.cumsum(sizes[part]) - sizes[part]
-        for band in range(BANDS):
-            key = np.full(len(part), band, np.uint64)
-            for r in range(band * ROWS, band * ROWS + ROWS):
-                least = np.minimum.reduceat(flat * a[r] + b[r], at)
-                key = (key ^ least) * np.uint64(0x9E3779B97F4A7C15)
-                key ^= key >> np.uint64(32)
-            out[part, band] = key
-    return out
+#: Words of a shingle that samples passages, and shingles of which the least is taken.
+PASSAGE, WINDOW = 32, 19
+#: Words of a block in which the surroundings of a first occurrence are fetched.
+_BLOCK = 64
 
 
 def paragraphs(text: str | None, min_words: int) -> list[tuple[int, list[bytes]]]:
@@ -86,67 +45,59 @@ def paragraphs(text: str | None, min_words: int) -> list[tuple[int, list[bytes]]
     return [(i, w) for i, w in lines if len(w) >= min_words]
 
 
-def _signed(docs: DataFrame, min_words: int, shingle: int) -> DataFrame:
-    """One row for each paragraph of docs (doc_id, hash, text): 128 bits of its words' hash, and its band keys."""
+def passage_samples(one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of the sampled shingles of PASSAGE words, from the words' hashes."""
+    if len(one) < PASSAGE:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    total = shingle_hashes(one, PASSAGE)
+    near = np.lib.stride_tricks.sliding_window_view(total, min(WINDOW, len(total)))
+    at = np.unique(near.argmin(axis=1) + np.arange(len(near)))
+    return at, total[at]
+
+
+def _scanned(docs: DataFrame, min_words: int, shingle: int) -> DataFrame:
+    """docs (doc_id, hash, text) read once: a row for each paragraph, and one (at, key) for each sample."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, hash long, paragraph int, start int, words int, high long, low long, bands array<long>, at int, key long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 512):
-                part = b.slice(k, 512)
-                rows, numbers, halves, hashes, words = [], [], [], [], []
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                found, halves, hashes, places, keys, many = [], [], [], [], [], []
                 for i, x in enumerate(part.column("text")):
-                    for n, w in paragraphs(x.as_py(), min_words):
-                        digest = xxhash.xxh3_128_intdigest(b" ".join(w))
-                        rows.append(i)
-                        numbers.append(n)
-                        words.append(len(w))
-                        halves.append((digest >> 64, digest & (2**64 - 1)))
-                        hashes.append(shingle_hashes(w, shingle))
-                if not rows:
-                    continue
-                own = part.select(["doc_id", "hash"]).take(pa.array(rows))
-                high, low = np.array(halves, np.uint64).T.copy().view(np.int64)
-                bands = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(hashes).view(np.int64).ravel()), BANDS)
-                yield pa.RecordBatch.from_arrays(
-                    [*own.columns, pa.array(numbers, pa.int32()), pa.array(words, pa.int32()), pa.array(high), pa.array(low), bands.cast(pa.list_(pa.int64()))],
-                    names=["doc_id", "hash", "paragraph", "words", "high", "low", "bands"],
-                )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, hash long, paragraph int, words int, high long, low long, bands array<long>")
-
-
-def similar_links(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
-    """Links (of pairs whose sets' Jaccard similarity is at least threshold) that join whatever such pairs join."""
-    sizes = np.array([len(s) for s in sets])
-    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    seen, rest, queue, links = np.zeros(len(values), bool), np.arange(len(sets)), [], []
-    begin = np.cumsum(sizes) - sizes
-    while len(rest) or queue:
-        if not queue:
-            queue.append(int(rest[0]))
-            rest = rest[1:]
-        if not len(rest):
-            break
-        if len(owner) > 2 * sizes[rest].sum():
-            still = np.isin(owner, rest)
-            flat_rest, owner_rest = flat[still], owner[still]
-        else:
-            flat_rest, owner_rest = flat, owner
-        me = queue.pop()
-        mine = flat[begin[me] : begin[me] + sizes[me]]
-        seen[mine] = True
-        shared = np.bincount(owner_rest, weights=seen[flat_rest], minlength=len(sets))[rest]
-        seen[mine] = False
-        near = shared / (sizes[rest] + sizes[me] - shared) >= threshold
-        links += [(me, int(x)) for x in rest[near]]
-        queue += rest[near].tolist()
-        rest = rest[~near]
-    return links
-
-
-def _cluster_links(shingle: int, threshold: float):
+                    lines = [lowered_words(y) for y in (x.as_py() or "").split("\n")]
+                    one, start = word_hashes([w for y in lines for w in y]), 0
+                    for n, w in enumerate(lines):
+                        if len(w) >= min_words:
+                            found.append((i, n, start, len(w)))
+                            halves.append(digest(w))
+                            hashes.append(shingle_hashes(one[start : start + len(w)], shingle))
+                        start += len(w)
+                    at, key = passage_samples(one)
+                    places.append(at)
+                    keys.append(key)
+                    many.append(len(at))
+                rows, numbers, starts, words = np.array(found, np.int32).reshape(-1, 4).T
+                high, low = np.array(halves, np.uint64).reshape(-1, 2).T.copy().view(np.int64)
+                bands = band_keys(hashes) if hashes else np.empty((0, 1), np.uint64)
+                offsets = np.arange(len(found) + 1, dtype=np.int32) * bands.shape[1]
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.view(np.int64).ravel()))
+                at, key = np.concatenate(places).astype(np.int32), np.concatenate(keys).astype(np.uint64).view(np.int64)
+                yield rows_of(part, rows, [numbers, starts, words, high, low, lists, None, None])
+                yield rows_of(part, np.repeat(np.arange(part.num_rows), many), [None] * 6 + [at, key])
+
+    types = [pa.int32()] * 3 + [pa.int64()] * 2 + [pa.list_(pa.int64()), pa.int32(), pa.int64()]
+
+    def rows_of(part: pa.RecordBatch, rows: np.ndarray, columns: list) -> pa.RecordBatch:
+        own = part.select(["doc_id", "hash"]).take(pa.array(rows))
+        arrays = [pa.nulls(len(rows), t) if c is None else c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types)]
+        return pa.RecordBatch.from_arrays([*own.columns, *arrays], names=["doc_id", "hash", "paragraph", "start", "words", "high", "low", "bands", "at", "key"])
+
+    return docs.select("doc_id", "hash", "text").mapInArrow(run, schema)
+
+
+def _unit_links(shingle: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for slab in slabs(batches, "unit"):
             unit = slab.column("unit").to_numpy()
@@ -154,7 +105,7 @@ def _cluster_links(shingle: int, threshold: float):
             cuts = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
             for s, e in zip(cuts, [*cuts[1:], len(unit)]):
                 if e - s > 1:
-                    sets = [np.unique(shingle_hashes(lowered_words(x), shingle)) for x in texts[s:e]]
+                    sets = [np.unique(shingle_hashes(word_hashes(lowered_words(x)), shingle)) for x in texts[s:e]]
                     links = [(names[s + a], names[s + b]) for a, b in similar_links(sets, threshold)]
                     a, b = zip(*links) if links else ((), ())
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
@@ -162,153 +113,193 @@ def _cluster_links(shingle: int, threshold: float):
     return run
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
-    """wanted (first, node, cluster) with the paragraphs' words as text, through one join with docs."""
-    lists = wanted.groupBy(F.col("first.doc_id").alias("_i"), F.col("first.hash").alias("_h")).agg(
-        F.collect_list(F.struct(F.col("first.paragraph").alias("paragraph"), "node", "cluster")).alias("wanted")
+def _with_texts(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """lists' rows by (doc_id, hash), beside the document's text."""
+    lists = lists.withColumnsRenamed({"doc_id": "_i", "hash": "_h"})
+    return docs.join(lists, docs.doc_id.eqNullSafe(lists._i) & (docs.hash == lists._h)).drop("_i", "_h")
+
+
+def _paragraph_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (first, high, low): each class with the text of its first paragraph, through one join with docs."""
+    lists = wanted.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.hash").alias("hash")).agg(
+        F.collect_list(F.struct(F.col("first.paragraph").alias("paragraph"), "high", "low")).alias("wanted")
     )
-    both = docs.join(lists, docs.doc_id.eqNullSafe(lists._i) & (docs.hash == lists._h)).select("text", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for x, wanted in zip(b.column("text"), b.column("wanted").to_pylist()):
                 lines = x.as_py().split("\n")
-                rows += [(w["cluster"], w["node"], lines[w["paragraph"]]) for w in wanted]
-            clusters, nodes, texts = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(clusters, pa.int64()), pa.array(nodes, pa.string()), pa.array(texts, pa.string())], names=["cluster", "node", "text"]
-            )
+                rows += [(w["high"], w["low"], lines[w["paragraph"]]) for w in wanted]
+            high, low, texts = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(texts, pa.string())], names=["high", "low", "text"])
 
-    return both.mapInArrow(run, "cluster long, node string, text string").dropDuplicates(["node"])
+    both = _with_texts(docs, lists).select("text", "wanted")
+    return both.mapInArrow(run, "high long, low long, text string").dropDuplicates(["high", "low"])
 
 
-def removable(docs: DataFrame, min_words: int = 25, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, hash, paragraph, words, kept_doc_id, kept_paragraph): paragraphs to remove, and which one stays for each.
+def removable(docs: DataFrame, scanned: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+    """(doc_id, hash, paragraph, start, words, kept_doc_id, kept_paragraph): paragraphs to remove, and which one stays for each.
 
-    docs has doc_id, text and hash, the 64-bit hash of text.
+    docs has doc_id, text and hash, the 64-bit hash of text; scanned is what _scanned() makes of it.
     """
-    found = stored(_signed(docs.select("doc_id", "hash", "text"), min_words, shingle), "paragraphs")
+    found = scanned.where("paragraph is not null")
     place = F.struct("doc_id", "paragraph", "hash")
-    classes = stored(found.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n")), "classes")
-    banded = found.select(F.col("high").alias("node"), F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    shared = stored(shared.select("band", "least"), "bands")
-    together = banded.join(shared, "band").where("node > least").select("node", "least")
-    clusters = components(together, "node", "least").withColumnRenamed("root", "cluster")
-    name = F.concat(*(F.lpad(F.hex(c), 16, "0") for c in ("high", "low"))).alias("node")
-    wanted = classes.join(clusters, F.col("high") == F.col("node")).select("first", name, "cluster")
-    members = stored(_texts(docs, wanted, min_words), "members")
-    large = members.groupBy("cluster").agg(F.ceil(F.count("*") / CLUSTER).cast("long").alias("parts")).where("parts > 1")
-    parted = members.join(large, "cluster", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
-    own = F.pmod(F.xxhash64("node"), F.col("parts"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
-    units = parted.select("cluster", "node", "text", own.alias("own"), other)
-    units = units.select(F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), "node", "text")
-    dealt = units.repartition("unit").sortWithinPartitions("unit")
-    groups = components(dealt.mapInArrow(_cluster_links(shingle, threshold), "a string, b string"), "a", "b")
-    named = classes.select("high", "low", name, "first", "n")
+    classes = found.groupBy("high", "low").agg(F.min(F.struct(place.alias("first"), "words", "bands")).alias("c"), F.count("*").alias("n"))
+    classes = stored(classes.select("high", "low", "c.first", "c.words", "c.bands", "n"), "classes")
+    met = units(classes)
+    wanted = classes.join(met.select("high", "low").distinct(), ["high", "low"], "left_semi").select("first", "high", "low")
+    texts = stored(_paragraph_texts(docs, wanted), "texts")
+    dealt = met.join(texts, ["high", "low"]).select("unit", name(), "text").repartition("unit").sortWithinPartitions("unit")
+    groups = components(dealt.mapInArrow(_unit_links(shingle, threshold), "a string, b string"), "a", "b")
+    discard(met, texts)
+    named = classes.select("high", "low", name(), "first", "n")
     grouped = named.join(groups.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     grouped = grouped.withColumn("root", F.coalesce("root", "node")).where("n > 1 or _node is not null")
     kept = grouped.groupBy("root").agg(F.min("first").alias("kept"))
     final = stored(grouped.join(kept, "root").select("high", "low", "kept"), "kept")
-    discard(members, shared, classes)
+    discard(classes)
     gone = found.join(final, ["high", "low"]).where(~place.eqNullSafe(F.col("kept")))
-    return gone.select(
-        "doc_id", "hash", "paragraph", "words", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.paragraph").alias("kept_paragraph")
+    out = gone.select(
+        "doc_id", "hash", "paragraph", "start", "words", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.paragraph").alias("kept_paragraph")
     )
+    out = stored(out, "lines")
+    discard(final)
+    return out
 
 
-def passage_samples(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(place, hash) of the sampled shingles of PASSAGE words."""
-    if len(words) < PASSAGE:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    one = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    n = len(words) - PASSAGE + 1
-    total = np.zeros(n, np.uint64)
-    for k in range(PASSAGE):
-        total = total * np.uint64(0x9E3779B97F4A7C15) + one[k : k + n]
-    total ^= total >> np.uint64(32)
-    total *= np.uint64(0xD6E8FEB86659FD93)
-    total ^= total >> np.uint64(29)
-    near = np.lib.stride_tricks.sliding_window_view(total, min(WINDOW, n))
-    at = np.unique(near.argmin(axis=1) + np.arange(len(near)))
-    return at, total[at]
-
+def passages(docs: DataFrame, scanned: DataFrame, gone: DataFrame) -> DataFrame:
+    """(doc_id, hash, start_word, words, kept_doc_id): repeats to remove, by places among a text's words.
 
-def passages(docs: DataFrame, min_passage: int = 20) -> DataFrame:
-    """(doc_id, hash, start_word, words, kept_doc_id): repeated passages to remove, by places among a text's words."""
+    gone (doc_id, hash, start, words) are the paragraphs that are removed already.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, places, keys = [], [], []
-            for i, x in enumerate(b.column("text")):
-                at, key = passage_samples(lowered_words(x.as_py()))
-                rows.append(np.full(len(at), i))
-                places.append(at)
-                keys.append(key)
-            own = b.select(["doc_id", "hash"]).take(pa.array(np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)))
-            at, key = np.concatenate([*places, np.empty(0, np.int64)]), np.concatenate([*keys, np.empty(0, np.uint64)])
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(at.astype(np.int32)), pa.array(key.view(np.int64))], names=["doc_id", "hash", "at", "key"])
-
-    samples = stored(docs.select("doc_id", "hash", "text").mapInArrow(sample, f"doc_id {kind}, hash long, at int, key long"), "samples")
+    samples = scanned.where("at is not null").select("doc_id", "hash", "at", "key")
     several = stored(samples.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
     found = stored(samples.join(several, "key", "left_semi"), "found")
-    discard(samples, several)
+    discard(several)
+    # a sample goes if a removed paragraph that starts before its end ends behind its start
+    cuts = gone.select("doc_id", "hash", (F.col("start") - PASSAGE + 1).alias("at"), F.lit(None).cast("long").alias("key"), (F.col("start") + F.col("words")).alias("end"))
+    before = Window.partitionBy("doc_id", "hash").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    marked = found.select("doc_id", "hash", "at", "key", F.lit(None).cast("int").alias("end")).union(cuts).withColumn("end", F.max("end").over(before))
+    left = stored(marked.where("key is not null and coalesce(end, 0) <= at").drop("end"), "left")
+    discard(found)
     place = F.struct("doc_id", "hash", "at")
-    first = stored(found.groupBy("key").agg(F.min(place).alias("first")), "first")
-    later = found.join(first, "key").where(~place.eqNullSafe(F.col("first")))
-    lists = later.groupBy("doc_id", "hash").agg(F.array_sort(F.collect_list(F.struct("at", F.col("first.doc_id").alias("kept")))).alias("hits"))
+    first = stored(left.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
+    hits = left.join(first, "key").where(~place.eqNullSafe(F.col("first"))).select(
+        "doc_id", "hash", "at", F.col("first.doc_id").alias("f_id"), F.col("first.hash").alias("f_hash"), (F.col("at") - F.col("first.at")).alias("shift")
+    )
+    # samples on one diagonal that could lie in one repeat are compared as one range, with what could lie around them
+    same = Window.partitionBy("doc_id", "hash", "f_id", "f_hash", "shift").orderBy("at")
+    apart = F.coalesce((F.col("at") - F.lag("at").over(same) > PASSAGE + WINDOW).cast("int"), F.lit(1))
+    runs = hits.withColumn("run", apart).withColumn("run", F.sum("run").over(same))
+    runs = runs.groupBy("doc_id", "hash", "f_id", "f_hash", "shift", "run").agg(F.min("at").alias("start"), F.max("at").alias("end"))
+    runs = stored(runs.select("doc_id", "hash", "f_id", "f_hash", "shift", (F.col("start") - WINDOW).alias("start"), (F.col("end") + PASSAGE + WINDOW).alias("end")), "runs")
+    low = F.greatest(F.lit(0), F.floor((F.col("start") - F.col("shift")) / _BLOCK))
+    blocks = runs.withColumn("block", F.explode(F.sequence(low.cast("int"), F.floor((F.col("end") - F.col("shift")) / _BLOCK).cast("int"))))
+    removed = gone.groupBy("doc_id", "hash").agg(F.collect_set(F.struct("start", "words")).alias("gone"))
+    removed = stored(removed.withColumnsRenamed({"doc_id": "_g", "hash": "_gh"}), "gone")
+
+    def beside(lists: DataFrame) -> DataFrame:
+        return lists.join(removed, lists.doc_id.eqNullSafe(removed._g) & (lists.hash == removed._gh), "left").drop("_g", "_gh")
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, (x, wanted, gone) in enumerate(zip(b.column("text"), b.column("blocks").to_pylist(), b.column("gone").to_pylist())):
+                words = _left(x.as_py(), gone)
+                wanted = [k for k in wanted if k * _BLOCK < len(words)]
+                own = b.select(["doc_id", "hash"]).take(pa.array([i] * len(wanted), pa.int64()))
+                data = [b" ".join(words[k * _BLOCK : (k + 1) * _BLOCK]) for k in wanted]
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(wanted, pa.int32()), pa.array(data, pa.binary())], names=["f_id", "f_hash", "block", "data"])
+
+    firsts = blocks.groupBy(F.col("f_id").alias("doc_id"), F.col("f_hash").alias("hash")).agg(F.collect_set("block").alias("blocks"))
+    data = stored(_with_texts(docs, beside(firsts)).mapInArrow(cut, f"f_id {kind}, f_hash long, block int, data binary"), "blocks")
+    b, d = blocks.alias("b"), data.withColumnsRenamed({"f_id": "d_id", "f_hash": "d_hash", "block": "d_block"}).alias("d")
+    got = b.join(d, F.col("b.f_id").eqNullSafe(F.col("d.d_id")) & (F.col("b.f_hash") == F.col("d.d_hash")) & (F.col("b.block") == F.col("d.d_block")))
+    lists = got.groupBy("doc_id", "hash").agg(F.collect_list(F.struct("f_id", "f_hash", "shift", "start", "end", "block", "data")).alias("hits"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, starts, lengths, kept = [], [], [], []
-            for i, hits in enumerate(b.column("hits").to_pylist()):
-                begin = last = hits[0]["at"]
-                holder = hits[0]["kept"]
-                for h in [*hits[1:], None]:
-                    if h is not None and h["at"] - last <= GAP:
-                        last = h["at"]
-                        continue
-                    if last + PASSAGE - begin >= min_passage:
-                        rows.append(i)
-                        starts.append(begin)
-                        lengths.append(last + PASSAGE - begin)
-                        kept.append(holder)
-                    if h is not None:
-                        begin = last = h["at"]
-                        holder = h["kept"]
+            rows, starts, many, kept = [], [], [], []
+            for i, (x, hits, gone) in enumerate(zip(b.column("text"), b.column("hits").to_pylist(), b.column("gone").to_pylist())):
+                for holder, s, e in _repeats(_left(x.as_py(), gone), hits):
+                    rows.append(i)
+                    starts.append(s)
+                    many.append(e - s)
+                    kept.append(holder)
             own = b.select(["doc_id", "hash"]).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [*own.columns, pa.array(starts, pa.int32()), pa.array(lengths, pa.int32()), pa.array(kept, own.column(0).type)],
+                [*own.columns, pa.array(starts, pa.int32()), pa.array(many, pa.int32()), pa.array(kept, own.column(0).type)],
                 names=["doc_id", "hash", "start_word", "words", "kept_doc_id"],
             )
 
-    return lists.mapInArrow(runs, f"doc_id {kind}, hash long, start_word int, words int, kept_doc_id {kind}")
+    out = stored(_with_texts(docs, beside(lists)).mapInArrow(compare, f"doc_id {kind}, hash long, start_word int, words int, kept_doc_id {kind}"), "passages")
+    discard(left, first, runs, removed, data)
+    return out
+
 
+def _left(text: str, gone: list[dict] | None) -> list[bytes]:
+    """The text's words, in lower case; those of removed paragraphs are blank, which no word is."""
+    words = lowered_words(text)
+    for g in gone or ():
+        words[g["start"] : g["start"] + g["words"]] = [b""] * g["words"]
+    return words
 
-def repeated_paragraphs(docs: DataFrame, min_words: int = 25, shingle: int = 5, threshold: float = 0.8, min_passage: int = 20) -> DataFrame:
+
+def _repeats(words: list[bytes], hits: list[dict]) -> list[tuple]:
+    """(holder, start, end) of the longest stretches of words that equal the holder's, of PASSAGE words or more.
+
+    hits are the blocks of the holders' words beside the ranges in which they are to be compared.
+    """
+    ranges: dict[tuple, dict[int, bytes]] = {}
+    for h in hits:
+        ranges.setdefault((h["f_id"], h["f_hash"], h["shift"], h["start"], h["end"]), {})[h["block"]] = h["data"]
+    out = set()
+    for (holder, _, shift, start, end), blocks in ranges.items():
+        theirs = {k * _BLOCK + i: w for k, x in blocks.items() for i, w in enumerate(x.split(b" "))}
+        begin = None
+        for p in range(max(start, 0), min(end, len(words)) + 1):
+            same = p < min(end, len(words)) and words[p] and words[p] == theirs.get(p - shift)
+            if same and begin is None:
+                begin = p
+            elif not same and begin is not None:
+                if p - begin >= PASSAGE:
+                    out.add((holder, begin, p))
+                begin = None
+    return sorted(out, key=lambda r: r[1:])
+
+
+def _to_remove(docs: DataFrame, min_words: int, shingle: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """removable() and passages() of docs (doc_id, text, hash), as tables."""
+    scanned = stored(_scanned(docs, min_words, shingle), "scanned")
+    lines = removable(docs, scanned, shingle, threshold)
+    inside = passages(docs, scanned, lines.select("doc_id", "hash", "start", "words"))
+    discard(scanned)
+    return lines, inside
+
+
+def repeated_paragraphs(docs: DataFrame, min_words: int = 25, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """What is to be removed: doc_id, paragraph, start_word, words, kept_doc_id, kept_paragraph.
 
     A repeated paragraph has its line number from 0 in paragraph, a repeated passage the place of
-    its first word in start_word (the other one is null); a passage may lie in such a paragraph.
-    docs needs doc_id and text; other columns are not read. Rows that agree in doc_id and text
-    count as one document, reported once. Null and empty texts have no paragraphs; an empty
-    table gives an empty table.
+    its first word in start_word (the other one is null); passages do not reach into such
+    paragraphs, but may overlap each other. docs needs doc_id and text; other columns are not
+    read. Rows that agree in doc_id and text count as one document, reported once. Of equal
+    places the one with the smaller (doc_id, hash of the text) counts as earlier; a null doc_id
+    comes first. Null and empty texts have no paragraphs; an empty table gives an empty table.
     """
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
-    lines = removable(keyed, min_words, shingle, threshold).withColumn("start_word", F.lit(None).cast("int"))
-    inside = passages(keyed, min_passage).withColumns({"paragraph": F.lit(None).cast("int"), "kept_paragraph": F.lit(None).cast("int")})
+    lines, inside = _to_remove(docs.select("doc_id", "text", F.xxhash64("text").alias("hash")), min_words, shingle, threshold)
+    lines = lines.drop("start").withColumn("start_word", F.lit(None).cast("int"))
+    inside = inside.withColumns({"paragraph": F.lit(None).cast("int"), "kept_paragraph": F.lit(None).cast("int")})
     return lines.unionByName(inside).distinct().drop("hash")
 
 
-def remove_paragraphs(docs: DataFrame, min_words: int = 25, shingle: int = 5, threshold: float = 0.8, min_passage: int = 20) -> DataFrame:
+def remove_paragraphs(docs: DataFrame, min_words: int = 25, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """docs with `text` rid of the paragraphs and passages to remove; all columns are kept, and rows that lose nothing are as they were."""
     keyed = docs.select(packed(docs).alias("_row"), "doc_id", "text", F.xxhash64("text").alias("_hash"))
-    slim = keyed.select("doc_id", "text", F.col("_hash").alias("hash"))
-    lines = removable(slim, min_words, shingle, threshold).select("doc_id", "hash", F.struct("paragraph", F.lit(None).cast("int").alias("start"), "words").alias("cut"))
-    inside = passages(slim, min_passage).select("doc_id", "hash", F.struct(F.lit(None).cast("int").alias("paragraph"), F.col("start_word").alias("start"), "words").alias("cut"))
+    lines, inside = _to_remove(keyed.select("doc_id", "text", F.col("_hash").alias("hash")), min_words, shingle, threshold)
+    lines = lines.select("doc_id", "hash", F.struct("paragraph", F.lit(None).cast("int").alias("start"), "words").alias("cut"))
+    inside = inside.select("doc_id", "hash", F.struct(F.lit(None).cast("int").alias("paragraph"), F.col("start_word").alias("start"), "words").alias("cut"))
     lists = lines.union(inside).groupBy(F.col("doc_id").alias("_i"), F.col("hash").alias("_h")).agg(F.collect_set("cut").alias("_gone"))
     both = keyed.join(lists, keyed.doc_id.eqNullSafe(lists._i) & (keyed._hash == lists._h), "left").select("_row", "text", "_gone")
 
