@@ -30,6 +30,8 @@ UNDETERMINED = "und"
 MOST_WORDS = 300_000
 #: A run of letters: word characters other than digits and the underscore.
 _LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters from which on a word is scored place by place, in memory that does not follow its length.
+_LONG = 1024
 #: Words with a probability below are computed again by logarithms, so that it does not vanish.
 _TINY = 1e-250
 
@@ -88,10 +90,31 @@ class Lattice:
             alpha[j] = np.logaddexp(alpha[j], alpha[i] + self.logs(rows))
         return alpha
 
+    def log_long(self, word: str) -> np.ndarray:
+        """log P(word) by language, with only the alphas that a piece can reach back to, scaled at every place."""
+        size, get = self.longest + 1, self.ids.get
+        alpha, total = np.zeros((size, self.table.shape[1])), np.zeros(self.table.shape[1])
+        alpha[0] = 1.0
+        for j in range(1, len(word) + 1):
+            rows, back = [self.piece(word[j - 1])], [(j - 1) % size]
+            for i in range(max(0, j - self.longest), j - 1):
+                row = get(word[i:j])
+                if row is not None:
+                    rows.append(row)
+                    back.append(i % size)
+            now = (alpha[back] * self.table[rows]).sum(axis=0)
+            total += np.log(now)
+            alpha /= now
+            alpha[j % size] = 1.0
+        return total
+
     def scores(self, words: list[str]) -> np.ndarray:
         """log P(word) by language, (words, languages)."""
         out = np.empty((len(words), self.table.shape[1]))
         for n, at in _by_length(words):
+            if n > _LONG:
+                out[at] = [self.log_long(words[k]) for k in at]
+                continue
             spans = self.matches([words[k] for k in at])
             last = self.forward(n, spans)[n]
             low = (last < _TINY).any(axis=1)
@@ -222,7 +245,8 @@ def fit(
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs' other columns than text, lang_pred and score (the best language's posterior, 0 to 1).
 
-    All languages are equally likely beforehand. A null text, a text without a letter, and every
+    All languages are equally likely beforehand; of equally likely ones the first by name is
+    taken. A null text, a text without a letter, and every
     text under a model without languages gives `und` and score 0. Columns named lang_pred and
     score are replaced. Each row stands for itself, so repeated rows get equal results.
     """

@@ -29,6 +29,17 @@ def test_runs_of_unknown_letters_have_a_probability(letters):
         assert np.allclose(uses[len(PIECES) + b], np.array([2.0, 3.0]) * letters * "語".encode().count(b))
 
 
+def test_very_long_words_are_scored_place_by_place():
+    t = rare()
+    one = Lattice(PIECES, t)
+    for word in ("▁" + "ab" * 900 + "語" * 30, "▁" + "b" * 2000, "▁" + "語é" * 600):
+        spans = one.matches([word])
+        assert np.allclose(one.log_long(word), one.log_forward(len(word), spans)[len(word)][0])
+        assert np.allclose(one.scores([word, "▁a"])[0], one.log_long(word))
+    whole = one.scores(["▁" + "ab語" * 70_000])
+    assert np.isfinite(whole).all()
+
+
 def test_scores_stay_between_0_and_1(spark):
     texts = [(n, "aba " + c * n) for c in ("語", "𐐨", "b") for n in range(10, 61)]
     model = Model(("x", "y"), PIECES, rare())
