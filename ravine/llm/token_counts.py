@@ -17,6 +17,7 @@ up to MOST_UNITS.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,13 +51,15 @@ class Counter:
 
     def search(self, unit: str) -> int:
         """Pieces on the best path through unit."""
-        at: list[list[tuple[int, float]]] = [[] for _ in unit]
-        for end, match in self.automaton.iter(unit):
-            at[end].append(match)
-        best, count, was_unknown = [0.0], [0], [False]
-        for end, char in enumerate(unit):
+        if len(unit) > KEPT_CHARS:
+            at, best, count, was_unknown = self._by_end(unit), array("d", [0.0]), array("q", [0]), bytearray(1)
+        else:
+            at, best, count, was_unknown = [[] for _ in unit], [0.0], [0], [False]
+            for end, match in self.automaton.iter(unit):
+                at[end].append(match)
+        for end, (char, here) in enumerate(zip(unit, at)):
             top, n, unknown = float("-inf"), 0, False
-            for length, score in sorted(at[end], reverse=True):
+            for length, score in sorted(here, reverse=True):
                 start = end + 1 - length
                 if best[start] + score > top:
                     top, n = best[start] + score, count[start] + 1
@@ -69,6 +72,18 @@ class Counter:
             was_unknown.append(unknown)
         return count[-1]
 
+    def _by_end(self, unit: str) -> Iterator[list[tuple[int, float]]]:
+        """The matches that end at each place, one place at a time, so that a very long word needs few bytes a letter."""
+        held, at = [], 0
+        for end, match in self.automaton.iter(unit):
+            while at < end:
+                yield held
+                held, at = [], at + 1
+            held.append(match)
+        for _ in range(at, len(unit)):
+            yield held
+            held = []
+
     def count(self, text: str | None) -> int:
         """Tokens of a whole text; none for null or the empty text."""
         if not text:
