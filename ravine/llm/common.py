@@ -17,14 +17,17 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as the cluster names it.
+    """The folder that the driver and all executors share, as the cluster names it, with its file system.
 
-    Only where spark.checkpoint.dir is unset (a local session, as in tests) a temporary
-    folder is taken.
+    Only a local session (as in tests) may leave spark.checkpoint.dir unset; a temporary folder
+    is taken then.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
-        return named.rstrip("/")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(named)
+        return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not getattr(shared_dir, "own", None):
         shared_dir.own = "file://" + tempfile.mkdtemp(prefix="spark-ravine-")
     return shared_dir.own

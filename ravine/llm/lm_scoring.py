@@ -4,8 +4,9 @@ Chen and Goodman (1998). Everything is counted in Spark: words by their 64-bit h
 pairs of word numbers, a word's number being its place in the sorted array of hashes. The
 model is a folder of sorted hash arrays, cut into parts by leading bits, each a .npy file that
 workers map into memory: only the pages that a lookup touches are read, and they are shared by
-all workers of a machine. The folder lies in the shared folder, which has to be mounted on all
-workers for that.
+all workers of a machine. The folder lies in the shared folder; where that is no mounted one
+(hdfs, s3), a worker first copies the parts that it needs. A part that the model has and the
+folder has not is an error.
 
     p(w | u) = max(c(uw) - D(c(uw)), 0) / c(u) + g(u) p1(w)
     p1(w)    = max(n(w) - E(n(w)), 0) / pairs + g1 / (V + 1)
@@ -16,7 +17,10 @@ place for all unseen words, and g, g1 what the discounts leave, so that both sum
 
 from __future__ import annotations
 
+import hashlib
+import io
 import os
+import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,6 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,6 +55,14 @@ class Model:
     discounts: tuple[float, float, float]
     lower_discounts: tuple[float, float, float]
     lower_rest: float
+    start_rest: float
+    word_parts: frozenset[int]
+    pair_parts: frozenset[int]
+
+    def delete(self) -> None:
+        """Remove the files, once nothing scores with them any more."""
+        system, path = _located(self.folder)
+        system.delete_dir(path)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -59,19 +72,36 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Arrays:
-    """Sorted arrays in parts by leading bits, mapped when first used."""
+def _located(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI, or of a path on this machine, and the path there."""
+    if folder.startswith("file:"):
+        folder = "/" + folder.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), os.path.abspath(folder))
 
-    def __init__(self, folder: str, name: str, bits: int):
-        self.folder, self.name, self.bits, self.open = folder, name, bits, {}
 
-    def part(self, k: int) -> dict[str, np.ndarray]:
-        if k not in self.open:
-            load = lambda f: np.load(f"{self.folder}/{self.name}-{f}-{k}.npy", mmap_mode="r")
-            names = ("key", "count", "id", "seen_after", "total", "rest") if self.name == "word" else ("key", "count")
-            there = [f for f in names if os.path.exists(f"{self.folder}/{self.name}-{f}-{k}.npy")]
-            self.open[k] = {f: load(f) for f in there}
-        return self.open[k]
+class Arrays:
+    """Sorted arrays in parts by leading bits, mapped when first used; parts are those that the model has."""
+
+    def __init__(self, folder: str, name: str, bits: int, parts: frozenset[int]):
+        self.system, self.folder = _located(folder)
+        self.name, self.bits, self.parts, self.open = name, bits, parts, {}
+
+    def part(self, field: str, k: int) -> np.ndarray:
+        if (field, k) not in self.open:
+            path = f"{self.folder}/{self.name}-{field}-{k}.npy"
+            if not isinstance(self.system, fs.LocalFileSystem):
+                path = self._copied(path)
+            self.open[field, k] = np.load(path, mmap_mode="r")
+        return self.open[field, k]
+
+    def _copied(self, path: str) -> str:
+        """A copy of a part on this machine; workers that copy at the same time replace each other's whole."""
+        own = f"{tempfile.gettempdir()}/kneser-ney-{hashlib.md5(path.encode()).hexdigest()}.npy"
+        if not os.path.exists(own):
+            temporary = f"{own}.{uuid.uuid4().hex}"
+            fs.copy_files(path, temporary, source_filesystem=self.system, destination_filesystem=fs.LocalFileSystem())
+            os.replace(temporary, own)
+        return own
 
     def find(self, keys: np.ndarray, *fields: str) -> list[np.ndarray]:
         """The fields of each of the sorted keys, 0 where a key is absent."""
@@ -79,14 +109,15 @@ class Arrays:
         part = keys >> np.uint64(64 - self.bits) if self.bits else np.zeros(len(keys), np.uint64)
         cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(keys) else []
         for s, e in zip(cuts, [*cuts[1:], len(keys)]):
-            arrays = self.part(int(part[s]))
-            if "key" not in arrays or not len(arrays["key"]):
+            k = int(part[s])
+            if k not in self.parts:
                 continue
-            at = np.searchsorted(arrays["key"], keys[s:e])
-            at[at == len(arrays["key"])] = 0
-            there = np.flatnonzero(arrays["key"][at] == keys[s:e])
+            all_keys = self.part("key", k)
+            at = np.searchsorted(all_keys, keys[s:e])
+            at[at == len(all_keys)] = 0
+            there = np.flatnonzero(all_keys[at] == keys[s:e])
             for o, f in zip(out, fields):
-                o[s:e][there] = arrays[f][at[there]]
+                o[s:e][there] = self.part(f, k)[at[there]]
         return out
 
     def each(self, keys: np.ndarray, *fields: str) -> list[np.ndarray]:
@@ -97,9 +128,12 @@ class Arrays:
 
 def _written(folder: str, name: str, k: int, array: np.ndarray) -> None:
     """Write a part so that a repeated task replaces it whole."""
-    temporary = f"{folder}/.{uuid.uuid4().hex}.npy"
-    np.save(temporary, array)
-    os.replace(temporary, f"{folder}/{name}-{k}.npy")
+    system, path = _located(folder)
+    data, temporary = io.BytesIO(), f"{path}/.{uuid.uuid4().hex}.npy"
+    np.save(data, array)
+    with system.open_output_stream(temporary) as out:
+        out.write(data.getbuffer())
+    system.move(temporary, f"{path}/{name}-{k}.npy")
 
 
 def _groups(batch: pa.RecordBatch, text: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -153,15 +187,14 @@ def _histogram(df: DataFrame, column: str) -> dict[int, int]:
 def train(docs: DataFrame, text: str = "text", folder: str | None = None) -> Model:
     """Count docs' texts and write the model; a null text counts as an empty one.
 
-    folder: a folder mounted on all workers, by default a new one in the shared folder.
+    folder: a path or URI that the driver and all workers reach, by default a new one in the
+    shared folder.
     Word numbers take 32 bits, so up to 4 billion different words.
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/kneser-ney-{uuid.uuid4().hex}"
-    if "://" in folder and not folder.startswith("file://"):
-        raise ValueError(f"workers map the model's files, so they need a mounted folder, not {folder}")
-    folder = folder.removeprefix("file://")
-    os.makedirs(folder, exist_ok=True)
+    system, path = _located(folder)
+    system.create_dir(path)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -190,12 +223,12 @@ def train(docs: DataFrame, text: str = "text", folder: str | None = None) -> Mod
             _written(folder, "word-id", k, np.arange(len(key)) + before[k])
             yield pa.RecordBatch.from_arrays([pa.array([k])], names=["part"])
 
-    _parts(counted, "key", word_bits).mapInArrow(word_parts, "part long").count()
+    word_names = frozenset(r["part"] for r in _parts(counted, "key", word_bits).mapInArrow(word_parts, "part long").collect())
     discard(counted)
     start_id = size["v"]
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Arrays(folder, "word", word_bits)
+        known = Arrays(folder, "word", word_bits, word_names)
         for b in batches:
             for _, hashes, ends in _groups(b, text):
                 (ids,) = known.each(hashes, "id")
@@ -257,14 +290,16 @@ def train(docs: DataFrame, text: str = "text", folder: str | None = None) -> Mod
             key = mixed(b.column("pair").to_numpy().view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("n")], names=["key", "n"])
 
+    pair_names: frozenset[int] = frozenset()
     if many:
         placed = stats.where(F.col("id") != start_id).mapInArrow(owned, T.StructType([*stats.schema, T.StructField("part", T.LongType())]))
         placed.repartition("part").sortWithinPartitions("part").mapInArrow(context_parts, "part long").count()
-        _parts(seen.mapInArrow(mixed_pairs, "key long, n long"), "key", pair_bits).mapInArrow(pair_parts, "part long").count()
+        written = _parts(seen.mapInArrow(mixed_pairs, "key long, n long"), "key", pair_bits).mapInArrow(pair_parts, "part long")
+        pair_names = frozenset(r["part"] for r in written.collect())
     model = Model(
-        folder, word_bits, pair_bits, int(size["n"]), size["v"], many, int(first["total"]) if first else 0, d, lower, lower_rest
-    )
-    np.save(f"{folder}/start.npy", np.array([first["rest"] if first else 1.0]))
+        folder, word_bits, pair_bits, int(size["n"]), size["v"], many, int(first["total"]) if first else 0, d, lower, lower_rest,
+        float(first["rest"]) if first else 1.0, word_names, pair_names,
+    )
     discard(seen, stats)
     return model
 
@@ -294,8 +329,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         out = out.add(n, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = Arrays(model.folder, "word", model.word_bits), Arrays(model.folder, "pair", model.pair_bits)
-        start_rest = float(np.load(f"{model.folder}/start.npy")[0])
+        words = Arrays(model.folder, "word", model.word_bits, model.word_parts)
+        seen = Arrays(model.folder, "pair", model.pair_bits, model.pair_parts)
         floor = model.tokens + 0.5 * (model.words + 1)
         for b in batches:
             columns: list[list[np.ndarray]] = [[], [], [], []]
@@ -309,7 +344,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     count = ids = before = total = pair = np.zeros(len(hashes), np.int64)
                     left = np.zeros(len(hashes))
                 total, left = np.concatenate(([0], total[:-1])), np.concatenate(([0.0], left[:-1]))
-                total[starts], left[starts] = model.first_words, start_rest
+                total[starts], left[starts] = model.first_words, model.start_rest
                 lower = _discounted(before, model.lower_discounts) / max(model.pairs, 1) + model.lower_rest / (model.words + 1)
                 known = total > 0
                 p = np.where(known, _discounted(pair, model.discounts) / np.maximum(total, 1) + left * lower, lower)

@@ -7,6 +7,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from ravine.llm import decontaminate, lm_scoring, mixing
 
@@ -57,6 +58,37 @@ def test_scores_are_those_of_plain_counts(spark, monkeypatch):
         assert math.isclose(g.score, sum(math.log10(p(a, w)) for a, w in zip([None, *t], t)), rel_tol=1e-9)
 
 
+def test_the_query_learns_from_its_fold_alone(spark):
+    import zlib
+
+    from ravine.llm.entries import op5_lm_scoring
+
+    got = {r.doc_id: r for r in op5_lm_scoring(spark, D).collect()}
+    texts = {r.doc_id: (r.text or "").encode().lower().split() for r in spark.read.parquet(f"{D}/documents.parquet").collect()}
+    one = collections.Counter()
+    for i, words in texts.items():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            one.update([*words, "end"])
+    n, v = sum(one.values()), len(one)
+    for i, words in texts.items():
+        t, r = [*words, "end"], got[i]
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 5 == 1)
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(w in one for w in t), n)
+        assert math.isclose(r.base_score, sum(math.log10((one[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), rel_tol=1e-9)
+        assert r.score < 0
+
+
+def test_a_lost_part_is_an_error(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(20)], "doc_id long, text string")
+    model = lm_scoring.train(docs, folder=f"file://{tmp_path}/model")
+    assert lm_scoring.score(docs, model).count() == 20
+    (tmp_path / "model" / "pair-key-0.npy").unlink()
+    with pytest.raises(Exception, match="pair-key-0"):
+        lm_scoring.score(docs, model).collect()
+    model.delete()
+    assert not (tmp_path / "model").exists()
+
+
 def filled(sizes, budget):
     """Targets by sharing the excess again and again."""
     weights = dict(zip(sorted(sizes, key=lambda s: (s is None, s or "")), [5, 2, 1] * len(sizes)))
