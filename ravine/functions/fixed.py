@@ -65,6 +65,20 @@ CALL_STATES = {
     "queued": "queued", "ringing": "ringing", "in-progress": "in_progress", "completed": "completed",
     "busy": "busy", "failed": "failed", "no-answer": "no_answer", "canceled": "cancelled",
 }
+# States of a call that has not ended, and a customer's places in the pipeline.
+ACTIVE_STATES = ["queued", "ringing", "in_progress"]
+CUSTOMER_STATUSES = ["new", "contacted", "qualified", "customer", "lost"]
+# What a MIME type has to hold for each kind of file, in the order of the questions.
+MIME_KINDS = {"pdf": "pdf", "word": "docx", "document": "docx", "text": "txt", "csv": "csv", "spreadsheet": "xlsx", "excel": "xlsx", "image": "image"}
+# Patterns of a heading in the first line of a text, in the order of the questions.
+HEADING_PATTERNS = [
+    "^#+[ \\t]+(.+?)$", "^([A-Za-z][A-Za-z ]+)$", "^([0-9]+\\.?[ \\t]+.+?)$", "^((?i:chapter)[ \\t]+[0-9]+.*)$", "^((?i:section)[ \\t]+[0-9]+.*)$",
+]
+# First words of a yes or a no, and the scores of the answers.
+YES_WORDS, NO_WORDS = ["sim", "y"], ["não", "n"]
+YES_SCORE, NO_SCORE, NO_BUT_YES_SCORE, HOLDS_YES_SCORE, HOLDS_NO_SCORE, UNCLEAR_SCORE = 0.9, 0.1, 0.6, 0.7, 0.3, 0.5
+# Texts of chunks without text of their own.
+IMAGE_TEXT, SCANNED_TEXT = "[Image]", "[Scanned page - requires OCR]"
 # Fact types that have their own bucket.
 FACT_TYPES = ["preference", "pain_point", "business_context", "personal", "objection"]
 # Separators of the recursive splitter, coarse to fine.

@@ -75,8 +75,7 @@ def intent(question: Column) -> Column:
 def section_heading(text: Column) -> Column:
     """C11: the heading in the first line: Markdown, letters only, numbered, chapter or section; else null."""
     first = F.trim(F.element_at(F.split(text, "\n", 2), 1))
-    patterns = ["^#+[ \\t]+(.+?)$", "^([A-Za-z][A-Za-z ]+)$", "^([0-9]+\\.?[ \\t]+.+?)$", "^((?i:chapter)[ \\t]+[0-9]+.*)$", "^((?i:section)[ \\t]+[0-9]+.*)$"]
-    found = [F.nullif(F.trim(F.regexp_extract(first, p, 1)), F.lit("")) for p in patterns]
+    found = [F.nullif(F.trim(F.regexp_extract(first, p, 1)), F.lit("")) for p in fixed.HEADING_PATTERNS]
     return F.coalesce(*found)
 
 
@@ -155,9 +154,10 @@ def _mapped(key: Column, values: dict[str, str]) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for kv in values.items() for x in kv)), key)
 
 
-def file_kind(path: Column) -> Column:
-    """By extension; otherwise unknown."""
-    return F.coalesce(_mapped(extension(path), fixed.FILE_KINDS), F.lit("unknown"))
+def file_kind(path: Column, mime: Column | None = None) -> Column:
+    """By extension; otherwise by what the MIME type holds, if there is one; otherwise unknown."""
+    told = [F.when(F.contains(mime, F.lit(part)), kind) for part, kind in fixed.MIME_KINDS.items()] if mime is not None else []
+    return F.coalesce(_mapped(extension(path), fixed.FILE_KINDS), *told, F.lit("unknown"))
 
 
 def mime_type(path: Column) -> Column:
@@ -176,14 +176,34 @@ def yes_no_score(answer: Column) -> Column:
     first = F.rtrim(F.element_at(F.split(text, _SPACE), 1), F.lit(".,!?;:"))
     yes, no = F.contains(text, F.lit("yes")), F.contains(text, F.lit("no"))
     return (
-        F.when(F.startswith(first, F.lit("yes")) | first.isin("sim", "y"), 0.9)
-        .when(F.startswith(first, F.lit("no")) | first.isin("não", "n"), F.when(yes, 0.6).otherwise(0.1))
-        .when(yes, 0.7)
-        .when(no, 0.3)
-        .otherwise(0.5)
+        F.when(F.startswith(first, F.lit("yes")) | first.isin(fixed.YES_WORDS), fixed.YES_SCORE)
+        .when(F.startswith(first, F.lit("no")) | first.isin(fixed.NO_WORDS), F.when(yes, fixed.NO_BUT_YES_SCORE).otherwise(fixed.NO_SCORE))
+        .when(yes, fixed.HOLDS_YES_SCORE)
+        .when(no, fixed.HOLDS_NO_SCORE)
+        .otherwise(fixed.UNCLEAR_SCORE)
     )
 
 
+def sentence_boundary(text: Column, position: Column, window: int = 100) -> Column:
+    """The end of the sentence nearest to a place, within window characters of it; the place itself if there is none.
+
+    Places count from 0; of two equally near ends the earlier one counts.
+    """
+    start = F.greatest(position - window, F.lit(0))
+    region = F.substr(text, start + 1, F.least(F.length(text), position + window) - start)
+    ends = F.transform(
+        F.filter(F.sequence(F.lit(1), F.lit(2 * window)), lambda i: F.regexp_like(F.substr(region, i), F.lit("^[.!?]\\s"))),
+        lambda i: start + i - 1 + F.length(F.regexp_extract(F.substr(region, i), "^[.!?]\\s+", 0)),
+    )
+    near = F.array_min(F.transform(ends, lambda e: F.struct(F.abs(e - position).alias("far"), e.alias("end"))))
+    return F.coalesce(near["end"], position)
+
+
+def extractable(text: Column, least: int = 50) -> Column:
+    """Whether a text is long enough for extraction, blanks at its ends apart."""
+    return F.coalesce(F.length(F.trim(text)) >= least, F.lit(False))
+
+
 def yes_probability(yes_log: Column, no_log: Column) -> Column:
     """softmax of two log-probabilities; a missing one is impossible, none at all gives null."""
     gap = F.coalesce(no_log, F.lit(float("-inf"))) - F.coalesce(yes_log, F.lit(float("-inf")))

@@ -36,6 +36,11 @@ def matryoshka(v: Column, dims: int) -> Column:
     return normalized(F.slice(v, 1, dims))
 
 
+def truncated_if_longer(v: Column, dims: int) -> Column:
+    """The first dims components at unit length; a vector that is not longer stays as it is."""
+    return F.when(F.size(v) > dims, matryoshka(v, dims)).otherwise(v)
+
+
 def truncated_after(v: Column, dims: int) -> Column:
     """Normalised first and then cut, so shorter than unit length."""
     return F.slice(normalized(v), 1, dims)

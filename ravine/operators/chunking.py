@@ -4,10 +4,11 @@ function in an Arrow batch; everything around it (exploding, hashing, parents, p
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ravine.functions import fixed
@@ -50,6 +51,21 @@ def split_text(text: str, size: int = 800, overlap: int = 100, separators: list[
     return ["".join(c) for c in packed if c]
 
 
+_HEADING = re.compile(r"(?m)^#{1,6}[ \t]+(.+)$")
+_TABLE = re.compile(r"(?:\|[^\n]+\|\n)+")
+
+
+def split_keeping_tables(text: str, size: int = 800, overlap: int = 100) -> list[str]:
+    """Like split_text(), but no Markdown table is cut: while the text is split, a sign that holds no separator stands for it."""
+    tables = _TABLE.findall(text)
+    if not tables or "\ue000" in text:
+        return split_text(text, size, overlap)
+    number = iter(range(len(tables)))
+    signs = _TABLE.sub(lambda m: f"\ue000{next(number)}\ue001", text)
+    back = lambda c: re.sub("\ue000(\\d+)\ue001", lambda m: tables[int(m[1])], c)
+    return [back(c) for c in split_text(signs, size, overlap)]
+
+
 def pack_words(text: str, most: int, separators: tuple[str, ...] = ("\n\n", "\n", ". ", " ")) -> list[str]:
     """Chunks of at most `most` estimated tokens; separators go at chunk edges and pieces are trimmed.
 
@@ -102,10 +118,10 @@ def window_chunks(text: str, size: int = 1000, overlap: int = 200, least: int =
 
 
 def _nested(docs: DataFrame, parent: int, parent_overlap: int, child: int, child_overlap: int) -> DataFrame:
-    """(document_id, text, parents): each parent's text, place and children."""
+    """(document_id, parents): each parent's text, place, children and (J18) the last Markdown heading that begins at or before it."""
     kind = docs.schema["document_id"].dataType.simpleString()
     children = pa.list_(pa.struct([("text", pa.string()), ("start", pa.int64())]))
-    parents = pa.list_(pa.struct([("text", pa.string()), ("start", pa.int64()), ("children", children)]))
+    parents = pa.list_(pa.struct([("text", pa.string()), ("start", pa.int64()), ("heading", pa.string()), ("children", children)]))
 
     def located(whole: str, pieces: list[str]) -> list[tuple[str, int]]:
         """Trimmed pieces with their places; a piece is looked for from where the one before begins."""
@@ -120,22 +136,71 @@ def _nested(docs: DataFrame, parent: int, parent_overlap: int, child: int, child
             rows = []
             for x in b.column("text"):
                 text = x.as_py() or ""
-                found = located(text, split_text(text, parent, parent_overlap))
-                rows.append(
-                    [{"text": p, "start": s, "children": [{"text": c, "start": o} for c, o in located(p, split_text(p, child, child_overlap))]} for p, s in found]
-                )
-            yield pa.RecordBatch.from_arrays([b.column("document_id"), b.column("text"), pa.array(rows, parents)], names=["document_id", "text", "parents"])
+                found = located(text, split_keeping_tables(text, parent, parent_overlap))
+                heads = [(m.start(), m[1].strip(" ")) for m in _HEADING.finditer(text)]
+                above = lambda s: heads[n - 1][1] if (n := bisect_right(heads, s, key=lambda h: h[0])) else None  # noqa: E731, B023
+                rows.append([
+                    {"text": p, "start": s, "heading": above(s), "children": [{"text": c, "start": o} for c, o in located(p, split_text(p, child, child_overlap))]}
+                    for p, s in found
+                ])
+            yield pa.RecordBatch.from_arrays([b.column("document_id"), pa.array(rows, parents)], names=["document_id", "parents"])
+
+    shape = "array<struct<text:string,start:bigint,heading:string,children:array<struct<text:string,start:bigint>>>>"
+    return docs.select("document_id", "text").mapInArrow(run, f"document_id {kind}, parents {shape}")
 
-    shape = "array<struct<text:string,start:bigint,children:array<struct<text:string,start:bigint>>>>"
-    return docs.select("document_id", "text").mapInArrow(run, f"document_id {kind}, text string, parents {shape}")
+
+def page_range(pages: Column, start: Column, end: Column) -> Column:
+    """first_page that holds the start, last_page that holds the last character, and the least confidence of all pages.
+
+    pages: array of (start, end, page, confidence), ends excluded.
+    """
+    at = lambda p: F.filter(pages, lambda x: (x["start"] <= p) & (p < x["end"]))
+    return F.struct(
+        F.try_element_at(at(start), F.lit(1))["page"].alias("first_page"), F.try_element_at(at(end - 1), F.lit(1))["page"].alias("last_page"),
+        F.array_min(F.transform(pages, lambda x: x["confidence"])).alias("ocr_confidence"),
+    )
 
 
-def heading_at(text: Column, position: Column) -> Column:
-    """The last Markdown heading that begins at or before a place of the text, else null."""
-    line = F.regexp_extract(F.substring(text, position + 1, F.length(text)), "^[^\\n]*", 0)
-    upto = F.concat(F.substring(text, F.lit(1), position), line)
-    before = F.regexp_extract_all(upto, F.lit("(?m)^#{1,6}[ \\t]+(.+)$"), 1)
-    return F.trim(F.try_element_at(before, F.lit(-1)))
+def image_chunks(images: DataFrame) -> DataFrame:
+    """C17: a child of each image (parent_id, data, alt_text): its description or a sign, and the hash of its first 100 bytes."""
+    text = F.coalesce(F.nullif("alt_text", F.lit("")), F.lit(fixed.IMAGE_TEXT))
+    return images.withColumns(
+        {"text": text, "token_count": tx.token_estimate(text), "modality": F.lit("image"), "content_hash": F.sha2(F.substring("data", 1, 100), 256)}
+    )
+
+
+def page_chunks(pages: DataFrame, size: int = 1000, overlap: int = 200, least: int = 100) -> DataFrame:
+    """(document_id, page_number, chunk_index, content, chunk_type) of pages (document_id, page_number, text, tables, is_scanned).
+
+    A page's tables come first, each whole. A page without much text of its own is a placeholder
+    if it is scanned and nothing else if not; else its text without the tables is cut in windows.
+    Indexes run through the document.
+    """
+    kinds = [pages.schema[c].dataType.simpleString() for c in ("document_id", "page_number")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, contents, types = [], [], []
+            for i, (text, tables, scanned) in enumerate(zip(*(b.column(c).to_pylist() for c in ("text", "tables", "is_scanned")))):
+                found, text = [(t, "table") for t in tables or []], text or ""
+                if len(text.strip()) < least:
+                    found += [(fixed.SCANNED_TEXT, "image")] if scanned else []
+                else:
+                    for t in tables or []:
+                        text = text.replace(t, "")
+                    found += [(c, "text") for c in window_chunks(text.strip(), size, overlap, least) if c]
+                rows += [i] * len(found)
+                contents += [c for c, _ in found]
+                types += [t for _, t in found]
+            own = b.select(["document_id", "page_number"]).take(pa.array(rows, pa.int64()))
+            place = pa.array(range(len(rows)), pa.int64())
+            yield pa.RecordBatch.from_arrays([*own.columns, place, pa.array(contents, pa.string()), pa.array(types, pa.string())], names=["document_id", "page_number", "_at", "content", "chunk_type"])
+
+    cut = pages.select("document_id", "page_number", "text", "tables", "is_scanned").mapInArrow(
+        run, f"document_id {kinds[0]}, page_number {kinds[1]}, _at long, content string, chunk_type string"
+    )
+    order = Window.partitionBy("document_id").orderBy("page_number", "_at")
+    return cut.withColumn("chunk_index", F.row_number().over(order) - 1).drop("_at")
 
 
 def page_at(pages: Column, position: Column) -> Column:
@@ -153,12 +218,12 @@ def parents_and_children(
     start_char_offset, end_char_offset, modality, content_hash.
     """
     nested = _nested(docs, parent, parent_overlap, child, child_overlap)
-    exploded = nested.select("document_id", F.col("text").alias("whole"), F.posexplode("parents").alias("n", "p"))
+    exploded = nested.select("document_id", F.posexplode("parents").alias("n", "p"))
     exploded = exploded.withColumn("parent_id", F.concat_ws(":", F.col("document_id").cast("string"), F.col("n").cast("string")))
     parents = exploded.select(
         "parent_id", "document_id", F.col("n").alias("index_in_document"), F.col("p.text").alias("text"),
         tx.token_estimate(F.col("p.text")).alias("token_count"), F.col("p.start").alias("start"),
-        (F.col("p.start") + F.length("p.text")).alias("end"), heading_at(F.col("whole"), F.col("p.start").cast("int")).alias("section_heading"),
+        (F.col("p.start") + F.length("p.text")).alias("end"), F.col("p.heading").alias("section_heading"),
     )
     rows = exploded.select("parent_id", "document_id", F.posexplode("p.children").alias("n", "c"))
     text = F.col("c.text")
@@ -187,8 +252,6 @@ def flat_chunks(docs: DataFrame, size: int = 1000, overlap: int = 200, least: in
 
 def regroup(chunks: DataFrame, size: int = 5) -> DataFrame:
     """(document, parent_index, text): a document's chunks in order, `size` to a parent."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("document").orderBy("chunk_index")
     numbered = chunks.withColumn("parent_index", F.floor((F.row_number().over(order) - 1) / size).cast("long"))
     texts = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"])

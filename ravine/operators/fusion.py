@@ -111,3 +111,24 @@ def formatted(score: Column) -> Column:
 def latest(df: DataFrame, by: list[str], *order: Column) -> DataFrame:
     """The first row of each group in the given order."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def filtered(rows: DataFrame, least: float = 0.0, **equal) -> DataFrame:
+    """Rows of a similarity of least or a lexical hit, whose columns agree with those values that are given."""
+    if least > 0:
+        rows = rows.where((F.coalesce("semantic_score", F.lit(0.0)) >= least) | (F.coalesce("lexical_score", F.lit(0.0)) > 0))
+    for column, value in equal.items():
+        rows = rows if value is None else rows.where(F.col(column) == value)
+    return rows
+
+
+def scoped(chunks: DataFrame, documents: DataFrame, key: str, **equal) -> DataFrame:
+    """Chunks of the documents whose columns agree with those values that are given; all chunks if none is."""
+    given = {c: v for c, v in equal.items() if v is not None}
+    return chunks.join(filtered(documents, **given).select(key), key, "left_semi") if given else chunks
+
+
+def gated(graph: DataFrame, plans: DataFrame, enabled: bool = True) -> DataFrame:
+    """The graph channel's rows of queries whose plan (query_id, requires_graph, graph_query) asks for it."""
+    asked = plans.where(F.lit(enabled) & F.col("requires_graph") & (F.coalesce(F.trim("graph_query"), F.lit("")) != ""))
+    return graph.join(asked.select("query_id"), "query_id", "left_semi")

@@ -95,3 +95,35 @@ def from_keywords(keywords: DataFrame, entities: DataFrame, relations: DataFrame
     counted = all_.join(mentions, "entity_id").groupBy("query_id", "child_id").agg(F.countDistinct("entity_id").alias("matches"))
     best = Window.partitionBy("query_id").orderBy(F.desc("matches"), "child_id")
     return counted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+_NODE = "struct<id:string,labels:array<string>,properties:map<string,string>>"
+ANSWER = (
+    f"nodes array<{_NODE}>, relationships array<struct<startNode:string,endNode:string,type:string,properties:map<string,string>>>, "
+    f"path struct<nodes:array<{_NODE}>>, chunk_ids array<string>"
+)
+
+
+def parse_answers(rows: DataFrame, k: int = 50) -> dict[str, DataFrame]:
+    """Nodes, edges, paths and chunks of a graph server's answers (query_id, row, json), up to k nodes and chunks a query.
+
+    Of a node's mentions the last one counts, at the place of its first; a node without labels
+    is `unknown`, an edge without a type RELATED_TO.
+    """
+    parsed = rows.select("query_id", "row", F.from_json("json", ANSWER).alias("x"))
+    node = parsed.select("query_id", "row", F.posexplode("x.nodes").alias("at", "n"))
+    place = F.struct("row", "at")
+    label = F.coalesce(F.try_element_at("n.labels", F.lit(1)), F.lit("unknown"))
+    nodes = node.select("query_id", F.col("n.id").alias("id"), place.alias("p"), F.struct(label.alias("label"), F.col("n.properties").alias("properties")).alias("v"))
+    nodes = nodes.groupBy("query_id", "id").agg(F.min("p").alias("first"), F.max_by("v", "p").alias("v"))
+    order = Window.partitionBy("query_id").orderBy("first")
+    nodes = nodes.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("query_id", "id", "v.label", "v.properties", "place")
+    edge = parsed.select("query_id", F.explode("x.relationships").alias("r"))
+    chunks = parsed.select("query_id", F.explode("x.chunk_ids").alias("chunk_id")).distinct()
+    chunks = chunks.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id"))).where(F.col("_n") <= k).drop("_n")
+    return {
+        "nodes": nodes,
+        "edges": edge.select("query_id", F.col("r.startNode").alias("src"), F.col("r.endNode").alias("dst"), F.coalesce("r.type", F.lit("RELATED_TO")).alias("relation_type")),
+        "paths": parsed.where("x.path is not null").select("query_id", F.transform("x.path.nodes", lambda n: n["id"]).alias("path")),
+        "chunks": chunks,
+    }

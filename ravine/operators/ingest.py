@@ -85,3 +85,28 @@ def ingest_stats(children: DataFrame) -> DataFrame:
 
 def document_hash(text: Column) -> Column:
     return tx.content_hash(text)
+
+
+def statuses(docs: DataFrame, known: DataFrame, chunks: DataFrame, force: bool = False) -> DataFrame:
+    """The status of each document (document_id, org_id, hash, error) after a run that made chunks (document_id, ...).
+
+    A loader's error and a document without any chunk are `failed`, with the reason; a hash that
+    is known, or that an earlier document of the batch has, is `skipped`; the rest is `completed`.
+    """
+    made = chunks.groupBy("document_id").agg(F.count("*").alias("chunks"))
+    seen = docs.join(known.select("org_id", "hash", F.lit(True).alias("_known")).distinct(), ["org_id", "hash"], "left").join(made, "document_id", "left")
+    again = F.row_number().over(Window.partitionBy("org_id", "hash").orderBy(F.col("error").isNotNull(), "document_id")) > 1
+    status = F.when(F.col("error").isNotNull(), "failed").when((F.col("_known").isNotNull() & F.lit(not force)) | again, "skipped").when(F.coalesce("chunks", F.lit(0)) == 0, "failed").otherwise("completed")
+    reason = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("status") == "failed", "no chunks")
+    return seen.withColumn("status", status).withColumn("reason", reason).select("document_id", "status", "reason", F.when(F.col("status") == "completed", F.col("chunks")).alias("chunks"))
+
+
+def ingest_flat(docs: DataFrame, known: DataFrame, stored: DataFrame, org) -> dict[str, DataFrame]:
+    """The window chunker's ingestion of docs (document_id, text, error): chunks to append, and every document's status."""
+    hashed = docs.withColumn("org_id", F.lit(org)).withColumn("hash", F.sha2(F.coalesce("text", F.lit("")), 256))
+    fresh = first_of_each(unregistered(hashed.where("error is null"), known), ["org_id", "hash"], "document_id")
+    chunks = chunking.flat_chunks(fresh).withColumn("org_id", F.lit(org))
+    return {
+        "chunks": new_chunks(chunks, stored, ["org_id", "content_hash"], "document_id", "chunk_index"),
+        "documents": statuses(hashed, known, chunks),
+    }

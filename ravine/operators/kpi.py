@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ravine.functions import fixed
+
 
 def dashboard(calls: DataFrame, now: Column, days: int = 7, by: list[str] | None = None) -> DataFrame:
     """A2 to A4: calls of the last `days` and of as many days before, change, trend, active calls."""
@@ -14,7 +16,7 @@ def dashboard(calls: DataFrame, now: Column, days: int = 7, by: list[str] | None
     sums = calls.groupBy(*(by or [])).agg(
         F.count_if(now_).alias("calls"), F.count_if(past).alias("previous_calls"),
         F.avg(F.when(now_, F.col("duration"))).alias("avg_duration"),
-        F.count_if(F.col("status").isin("queued", "ringing", "in_progress")).alias("active_calls"),
+        F.count_if(F.col("status").isin(fixed.ACTIVE_STATES)).alias("active_calls"),
     )
     change = F.when(F.col("previous_calls") > 0, (F.col("calls") - F.col("previous_calls")) / F.col("previous_calls") * 100).otherwise(0.0)
     trend = F.when(F.col("change") > 0, "up").when(F.col("change") < 0, "down").otherwise("stable")
@@ -122,3 +124,13 @@ def ranking_quality(ranked: DataFrame, relevant: DataFrame, k: int = 10) -> Data
         "query_id", (F.col("dcg") / best).alias("ndcg"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr"),
         (F.col("hits") / k).alias("precision"), (F.col("hits") / F.col("relevant")).alias("recall"),
     )
+
+
+def positive_mean(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """The mean of the values above zero, 0 without any."""
+    return rows.groupBy(*by).agg(F.coalesce(F.avg(F.when(F.col(value) > 0, F.col(value))), F.lit(0.0)).alias("mean"))
+
+
+def subscriber_counts(subscriptions: DataFrame) -> DataFrame:
+    """Different subscribers of each channel."""
+    return subscriptions.groupBy("channel").agg(F.countDistinct("subscriber").alias("subscribers"))

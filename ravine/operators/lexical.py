@@ -6,16 +6,17 @@ no term, and counts are combined before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ravine.functions import text as tx
 
 
-def postings(chunks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(child_id, term, tf, positions...) of every chunk (child_id, text); keep names further columns."""
-    exploded = chunks.select("child_id", *keep, F.explode(tx.terms(F.col("text"))).alias("term"))
-    return exploded.groupBy("child_id", *keep, "term").agg(F.count("*").alias("tf"))
+def postings(chunks: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(child_id, term, tf) of every chunk (child_id, text); only: terms to keep, so that the others are not shuffled."""
+    exploded = chunks.select("child_id", F.explode(tx.terms(F.col("text"))).alias("term"))
+    exploded = exploded if only is None else exploded.join(only.select("term").distinct(), "term", "left_semi")
+    return exploded.groupBy("child_id", "term").agg(F.count("*").alias("tf"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -27,7 +28,7 @@ def and_matches(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """L2: (query_id, child_id, tf) of chunks that hold all terms of a query; tf sums up over them."""
     wanted = query_terms(queries)
     sizes = wanted.groupBy("query_id").agg(F.count("*").alias("wanted"))
-    hits = wanted.join(postings(chunks), "term").groupBy("query_id", "child_id").agg(F.count("*").alias("found"), F.sum("tf").alias("tf"))
+    hits = wanted.join(postings(chunks, wanted), "term").groupBy("query_id", "child_id").agg(F.count("*").alias("found"), F.sum("tf").alias("tf"))
     return hits.join(sizes, "query_id").where("found = wanted").select("query_id", "child_id", "tf")
 
 
@@ -49,12 +50,10 @@ def bm25(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75
 
     Robertson and Zaragoza (2009), with the idf that is never negative.
     """
-    posted = postings(chunks)
     lengths = chunks.select("child_id", F.size(tx.terms(F.col("text"))).alias("length")).where("length > 0")
     corpus = lengths.agg(F.count("*").alias("chunks"), F.avg("length").alias("mean"))
     wanted = query_terms(queries)
-    terms = wanted.select("term").distinct()
-    hits = posted.join(terms, "term", "left_semi")
+    hits = postings(chunks, wanted)
     spread = hits.groupBy("term").agg(F.count("*").alias("df"))
     weighed = (
         hits.join(spread, "term").join(lengths, "child_id").join(F.broadcast(corpus))
@@ -83,23 +82,29 @@ def cover_density(queries: DataFrame, chunks: DataFrame, k: int = 50) -> DataFra
     """L3: chunks with all terms, by cover density (Clarke, Cormack and Tudhope 1999).
 
     A cover is a stretch of the chunk that holds all terms and no shorter such stretch; it counts
-    1 / (words in it that are no query terms + 1). The last place of each term up to a position
-    is a running maximum, so covers are found by windows over the query's hits in a chunk.
+    1 / (words in it that are no query terms + 1). One pass over a query's hits in a chunk, in
+    order, carries the last place of each term: the earliest of them begins the shortest stretch
+    that ends at the hit, and it is a cover if it begins later than the one before.
     """
     wanted = query_terms(queries)
     sizes = wanted.groupBy("query_id").agg(F.count("*").alias("wanted"))
     placed = chunks.select("child_id", F.posexplode(tx.terms(F.col("text"))).alias("at", "term"))
-    hits = wanted.join(placed, "term").join(sizes, "query_id")
-    full = hits.groupBy("query_id", "child_id").agg(F.countDistinct("term").alias("found"), F.first("wanted").alias("wanted"))
-    hits = hits.join(full.where("found = wanted").select("query_id", "child_id"), ["query_id", "child_id"], "left_semi")
-    so_far = Window.partitionBy("query_id", "child_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    # by hit: the last place of every term seen so far; the earliest of them begins the shortest stretch that ends here
-    seen = hits.withColumn("hits", F.collect_list(F.struct("term", "at")).over(so_far)).withColumn(
-        "last", F.aggregate("hits", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>")), lambda m, h: F.map_concat(F.map_filter(m, lambda k_, v: k_ != h["term"]), F.create_map(h["term"], h["at"])))
-    )
-    covers = seen.where(F.size("last") == F.col("wanted")).withColumn("start", F.array_min(F.map_values("last")))
-    by_start = covers.groupBy("query_id", "child_id", "start").agg(F.min("at").alias("end"), F.first("wanted").alias("wanted"))
-    scored = by_start.groupBy("query_id", "child_id").agg(
-        F.sum(1 / (F.greatest(F.col("end") - F.col("start") + 1 - F.col("wanted"), F.lit(0)) + 1)).alias("score")
-    )
-    return top(scored, "score", k)
+    placed = placed.join(wanted.select("term").distinct(), "term", "left_semi")
+    hits = wanted.join(placed, "term").groupBy("query_id", "child_id")
+    lists = hits.agg(F.array_sort(F.collect_list(F.struct("at", "term"))).alias("hits"), F.countDistinct("term").alias("found"))
+    full = lists.join(sizes, "query_id").where("found = wanted")
+    state = F.struct(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>")).alias("last"), F.lit(-1).alias("start"), F.lit(0.0).alias("score"))
+
+    def step(s: Column, h: Column) -> Column:
+        last = F.map_concat(F.map_filter(s["last"], lambda t, _: t != h["term"]), F.create_map(h["term"], h["at"]))
+        start = F.array_min(F.map_values(last))
+        more = (F.size(last) == F.col("wanted")) & (start > s["start"])
+        cover = 1 / (F.greatest(h["at"] - start + 1 - F.col("wanted"), F.lit(0)) + 1)
+        return F.struct(last.alias("last"), F.when(more, start).otherwise(s["start"]).alias("start"), (s["score"] + F.when(more, cover).otherwise(0.0)).alias("score"))
+
+    return top(full.select("query_id", "child_id", F.aggregate("hits", state, step, lambda s: s["score"]).alias("score")), "score", k)
+
+
+def keyword_queries(queries: DataFrame) -> DataFrame:
+    """Queries (query_id, text) with their keywords, joined by blanks, for a text."""
+    return queries.select("query_id", F.array_join(tx.keywords(F.col("text")), " ").alias("text"))

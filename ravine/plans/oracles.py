@@ -320,7 +320,7 @@ ORACLE_SQL["event_dedup"] = "SELECT DISTINCT user_id, event_type, epoch(date_tru
 ORACLE_SQL["event_states"] = "SELECT user_id, arg_max(event_type, ts) AS state, count(*) AS events, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM events GROUP BY 1"
 ORACLE_SQL["final_status"] = "SELECT user_id, arg_max(event_type, ts) AS state, arg_max(event_type, ts) NOT IN ('click', 'view') AS final FROM events GROUP BY 1"
 ORACLE_SQL["fanout_bounded"] = """
-WITH s AS (SELECT user_id AS subscriber, CASE WHEN user_id % 50 = 0 THEN 'all' ELSE min(event_type) END AS channel FROM events WHERE user_id % 10 = 0 GROUP BY user_id),
+WITH s AS (SELECT user_id AS subscriber, CASE WHEN user_id % 50 = 0 THEN 'all' ELSE min(event_type) END AS channel FROM events GROUP BY user_id),
 g AS (SELECT subscriber, event_id FROM s JOIN events ON channel = 'all' OR channel = event_type),
 r AS (SELECT *, row_number() OVER (PARTITION BY subscriber ORDER BY event_id) AS place FROM g)
 SELECT subscriber, event_id, place FROM r WHERE place <= 100"""

@@ -57,15 +57,31 @@ def sessions(events: DataFrame, when: str, by: str, gap: str = "30 minutes", lat
 def fan_out(events: DataFrame, subscriptions: DataFrame, most: int = 100, order: str = "event_id") -> DataFrame:
     """Each subscriber's events, of its channel or of `all`; beyond `most` the newest are dropped.
 
-    subscriptions (subscriber, channel). For a micro-batch or a batch.
+    subscriptions (subscriber, channel). For a micro-batch or a batch. No subscriber gets more
+    than a channel's first `most` events, so channels are cut to these before they are joined.
     """
-    named = events.join(subscriptions.where("channel <> 'all'"), "channel")
-    every = events.drop("channel").crossJoin(F.broadcast(subscriptions.where("channel = 'all'")))
-    got = named.unionByName(every).dropDuplicates(["subscriber", order])
+    first = Window.partitionBy("channel").orderBy(order)
+    named = events.withColumn("place", F.row_number().over(first)).where(F.col("place") <= most).drop("place")
+    every = events.withColumn("channel", F.lit("all")).orderBy(order).limit(most)
+    got = named.where("channel <> 'all'").unionByName(every).join(subscriptions.distinct(), "channel").dropDuplicates(["subscriber", order])
     queue = Window.partitionBy("subscriber").orderBy(order)
     return got.withColumn("place", F.row_number().over(queue)).where(F.col("place") <= most)
 
 
+def dropped(events: DataFrame, key: str, when: str, order: str, final: list[str], late: str, state: str = "event_type") -> DataFrame:
+    """T9, in batch: by key, events that came more than `late` behind the newest so far, and final states after the first.
+
+    In a stream the first is the watermark's numRowsDroppedByWatermark of the query's progress.
+    """
+    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    marked = events.withColumns({"_newest": F.max(when).over(before), "_final": F.col(state).isin(final)})
+    marked = marked.withColumn("_finals", F.count_if("_final").over(before))
+    return marked.groupBy(key).agg(
+        F.count_if(F.col(when) < F.col("_newest") - F.expr(f"INTERVAL {late}")).alias("late_event_dropped"),
+        F.count_if(F.col("_final") & (F.col("_finals") > 0)).alias("duplicate_final_dropped"),
+    )
+
+
 def final_states(events: DataFrame, key: str, when: str, pending: list[str], state: str = "event_type") -> DataFrame:
     """T7, in batch: the last event of each key and whether its state is final."""
     last = events.groupBy(key).agg(F.max_by(state, when).alias("state"), F.max(when).alias("at"))
