@@ -121,8 +121,8 @@ def conflicts(asked: DataFrame, busy: DataFrame, by: str) -> DataFrame:
     """
     days = lambda a, b: F.explode(F.sequence(F.to_date(a), F.to_date(b)))
     taken = busy.select(F.col(by).alias("_by"), F.col("start").alias("_s"), F.col("end").alias("_e"), days("start", "end").alias("_day"))
-    spread = asked.withColumn("_day", days("start", "end"))
-    overlap = (F.col(by) == F.col("_by")) & (spread["_day"] == taken["_day"]) & (F.col("start") < F.col("_e")) & (F.col("end") > F.col("_s"))
+    spread = asked.withColumn("_on", days("start", "end"))
+    overlap = (F.col(by) == F.col("_by")) & (F.col("_on") == F.col("_day")) & (F.col("start") < F.col("_e")) & (F.col("end") > F.col("_s"))
     met = spread.join(taken, overlap).where(F.col("_day") == F.greatest(F.to_date("start"), F.to_date("_s")))
     found = met.groupBy(by, "start", "end").agg(F.count("*").alias("conflicts"), F.min("_s").alias("first_conflict"))
     return asked.join(found, [by, "start", "end"], "left").withColumn("conflicts", F.coalesce("conflicts", F.lit(0)))
@@ -156,7 +156,7 @@ def transcript_pages(turns: DataFrame, by: str, order: str, size: int) -> DataFr
 
 def knowledge_written(rows: DataFrame, added: DataFrame, changes: DataFrame, dropped: DataFrame) -> DataFrame:
     """Knowledge (id, title, content, category) with rows added, changed where not null, and dropped by id."""
-    kept = rows.join(dropped.select("id"), "id", "left_anti").unionByName(added)
+    kept = rows.unionByName(added).join(dropped.select("id"), "id", "left_anti")
     return changed(kept, changes, "id", "title", "content", "category")
 
 
