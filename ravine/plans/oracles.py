@@ -216,6 +216,14 @@ SELECT query_id, round(sum(CASE WHEN hit THEN 1 / log2(rank + 1) ELSE 0 END) / l
   round(coalesce(1 / min(rank) FILTER (hit), 0), 6) AS mrr, round(count(*) FILTER (hit) / 10, 6) AS precision, round(count(*) FILTER (hit) / any_value(n), 6) AS recall
 FROM t JOIN n USING (query_id) GROUP BY 1"""
 
+_WINDOW_END = """CASE WHEN {at} + 1000 >= length(text) THEN length(text) ELSE coalesce(nullif(length(regexp_extract(substr(text, {at} + 801, 200), '(?s)^.*[.!?][ \\t\\n\\r\\f\\v]+')), 0) + 800, 1000) + {at} END"""
+ORACLE_SQL["chunk_windows"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id, text, 0 AS b, {_WINDOW_END.format(at="0")} AS e FROM documents WHERE length(text) > 1000
+  UNION ALL SELECT doc_id, text, e - 200, {_WINDOW_END.format(at="(e - 200)")} FROM w WHERE e < length(text)),
+c AS (SELECT doc_id, b, regexp_replace(substr(text, b + 1, e - b), '^[ \\t\\n\\r\\f\\v]+|[ \\t\\n\\r\\f\\v]+$', '', 'g') AS t FROM w),
+k AS (SELECT doc_id, b, t FROM c WHERE length(t) >= 100 UNION ALL SELECT doc_id, 0, text FROM documents WHERE length(text) BETWEEN 1 AND 1000)
+SELECT doc_id AS document_id, (row_number() OVER (PARTITION BY doc_id ORDER BY b) - 1)::INT AS chunk_index, {CONTENT_HASH.format("t")} AS content_hash FROM k"""
+
 ORACLE_SQL["category_counts"] = "SELECT source, count(*) AS n FROM documents GROUP BY 1"
 ORACLE_SQL["facts_by_type"] = """
 SELECT o_custkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'objection' WHEN '2-HIGH' THEN 'pain_point' WHEN '3-MEDIUM' THEN 'preference' ELSE 'other' END AS bucket,
