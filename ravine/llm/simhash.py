@@ -67,12 +67,11 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4, seed: in
     return docs.select(*rest, text).mapInArrow(run, out)
 
 
-def bk_links(group: np.ndarray, value: np.ndarray, in_tree: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (query, node), both of one group, whose values differ in 1 to radius bits.
+def bk_trees(group: np.ndarray, value: np.ndarray, in_tree: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The BK-trees of all groups side by side, as levels of (keys, nodes) sorted by key.
 
-    Builds the BK-trees of all groups side by side, a level at a time: the first value of each
-    bucket becomes a node, and the others go to the bucket of their distance to it. The search
-    goes down the same levels with all queries at once.
+    The first value of each bucket becomes a node, and the others go to the bucket of their
+    distance to it: a root's key is its group, a child's its parent and the distance.
     """
     levels: list[tuple[np.ndarray, np.ndarray]] = []
     rest = np.flatnonzero(in_tree)
@@ -87,13 +86,21 @@ def bk_links(group: np.ndarray, value: np.ndarray, in_tree: np.ndarray, radius:
         rest = rest[~first]
         distance = popcount(value[rest] ^ value[parent]).astype(np.int64)
         rest, bucket = rest[distance > 0], (parent * 65 + distance)[distance > 0]
-    if not levels:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return levels
+
+
+def bk_search(levels: list, group: np.ndarray, value: np.ndarray, query: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (query, node), both of one group, whose values differ in 1 to radius bits.
+
+    All queries go down the levels at once, along the edges whose distance the radius allows.
+    """
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    if not levels or not len(query):
+        return found[0]
     keys, nodes = levels[0]
-    at = np.searchsorted(keys, group)
-    query = np.flatnonzero((at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == group))
-    node = nodes[at[query]]
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+    at = np.minimum(np.searchsorted(keys, group[query]), len(keys) - 1)
+    query, at = query[keys[at] == group[query]], at[keys[at] == group[query]]
+    node = nodes[at]
     for keys, nodes in [*levels[1:], (np.empty(0, np.int64), np.empty(0, np.int64))]:
         distance = popcount(value[query] ^ value[node]).astype(np.int64)
         near = (distance <= radius) & (distance > 0)
@@ -106,6 +113,11 @@ def bk_links(group: np.ndarray, value: np.ndarray, in_tree: np.ndarray, radius:
     return np.concatenate([q for q, _ in found]), np.concatenate([n for _, n in found])
 
 
+def bk_links(group: np.ndarray, value: np.ndarray, in_tree: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """bk_search() of all values in the trees of those that are in_tree."""
+    return bk_search(bk_trees(group, value, in_tree), group, value, np.arange(len(group)), radius)
+
+
 def _shards(prints: DataFrame, radius: int) -> DataFrame:
     """(unit, fingerprint, in_tree): each shard's fingerprints, large shards in units of two parts."""
     n = radius + 2
@@ -217,30 +229,36 @@ def verified_links(value: np.ndarray, sets: list[np.ndarray], radius: int, thres
     """Links that join whatever pairs join that are at most radius bits and at least threshold similar.
 
     A BK-tree over the fingerprints gives each text's neighbours; the Jaccard similarity of the
-    sets decides among those that are not reached yet.
+    sets decides among those that are not reached yet. A text is visited once, and nothing is
+    searched when all are reached, so a group of near copies costs little more than its size.
     """
     different, node = np.unique(value, return_inverse=True)
     group = np.zeros(len(different), np.int64)
-    a, b = bk_links(group, different, np.ones(len(different), bool), radius)
-    a, b = np.concatenate([a, np.arange(len(different))]), np.concatenate([b, np.arange(len(different))])
-    order = np.argsort(a, kind="stable")
-    near, cuts = b[order], np.searchsorted(a[order], np.arange(len(different) + 1))
-    holders = np.argsort(node, kind="stable")
-    begin = np.searchsorted(node[holders], np.arange(len(different) + 1))
-    open_, links = np.ones(len(value), bool), []
+    levels = bk_trees(group, different, np.ones(len(different), bool))
+    sizes = np.array([len(s) for s in sets])
+    begin = np.cumsum(sizes) - sizes
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    seen, links = np.zeros(len(values), bool), []
+    open_ = np.ones(len(value), bool)
     for first in range(len(value)):
         queue = [first] if open_[first] else []
         open_[first] = False
-        while queue:
+        while queue and open_.any():
             me = queue.pop()
-            nodes = near[cuts[node[me]] : cuts[node[me] + 1]]
-            others = np.concatenate([holders[begin[k] : begin[k + 1]] for k in nodes])
-            for other in others[open_[others]].tolist():
-                shared = len(np.intersect1d(sets[me], sets[other], assume_unique=True))
-                if shared >= threshold * (len(sets[me]) + len(sets[other]) - shared):
-                    links.append((me, other))
-                    open_[other] = False
-                    queue.append(other)
+            near = np.zeros(len(different), bool)
+            near[bk_search(levels, group, different, node[me : me + 1], radius)[1]] = near[node[me]] = True
+            others = np.flatnonzero(open_ & near[node])
+            if not len(others):
+                continue
+            many = sizes[others]
+            start = np.cumsum(many) - many
+            seen[flat[begin[me] : begin[me] + sizes[me]]] = True
+            shared = np.add.reduceat(seen[flat[np.repeat(begin[others] - start, many) + np.arange(many.sum())]], start, dtype=np.int64)
+            seen[flat[begin[me] : begin[me] + sizes[me]]] = False
+            found = others[shared >= threshold * (many + sizes[me] - shared)].tolist()
+            links += [(me, x) for x in found]
+            open_[found] = False
+            queue += found
     return links
 
 
