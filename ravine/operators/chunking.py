@@ -38,16 +38,19 @@ def split_text(text: str, size: int = 800, overlap: int = 100, separators: list[
     pieces = [p + separators[level] for p in parts[:-1]] + parts[-1:]
     finer = separators[level + 1 :]
     packed: list[list[str]] = [[]]
+    held = 0
     for piece in (q for p in pieces if p for q in (split_text(p, size, overlap, finer) if _size(p) > size else [p])):
-        if packed[-1] and sum(map(_size, packed[-1])) + _size(piece) > size:
+        if packed[-1] and held + _size(piece) > size:
             kept, room = [], overlap
             for back in reversed(packed[-1]):
                 room -= _size(back)
                 if room < 0:
                     break
-                kept.insert(0, back)
-            packed.append(kept)
+                kept.append(back)
+            packed.append(kept[::-1])
+            held = sum(map(_size, kept))
         packed[-1].append(piece)
+        held += _size(piece)
     return ["".join(c) for c in packed if c]
 
 
