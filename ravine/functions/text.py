@@ -33,6 +33,19 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda x: x != "")
 
 
+def stemmed(text: Column) -> Column:
+    """L1: plurals at their stems, by a light stemmer (Harman 1991): ies becomes y, es e, and s goes, but for endings that are no plurals."""
+    end = "(?![\\p{L}\\p{N}])"
+    for plural, single in (("(?<![ea])ies", "y"), ("(?<![aeo])es", "e"), ("(?<![us])(?<![aeo]e)s", "")):
+        text = F.regexp_replace(text, plural + end, single)
+    return text
+
+
+def stemmed_terms(text: Column) -> Column:
+    """L1: terms without stop words, by their stems, joined by blanks."""
+    return stemmed(F.array_join(F.filter(terms(text), lambda t: ~t.isin(fixed.STOP_WORDS)), " "))
+
+
 def words(text: Column) -> Column:
     """Lower-case words between white space."""
     return F.filter(F.split(F.lower(text), _SPACE), lambda x: x != "")

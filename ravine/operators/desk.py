@@ -160,6 +160,47 @@ def knowledge_written(rows: DataFrame, added: DataFrame, changes: DataFrame, dro
     return changed(kept, changes, "id", "title", "content", "category")
 
 
+def tool_logs(logs: DataFrame, by: str, order: str, k: int) -> DataFrame:
+    """The k newest entries of each call's tool log, with their place."""
+    w = Window.partitionBy(by).orderBy(F.desc_nulls_last(order), F.desc("event_id"))
+    return logs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+def legacy_search(knowledge: DataFrame, phrase: str, category: str | None = None, k: int = 5) -> DataFrame:
+    """Knowledge with the phrase in title, content or keywords, most used first; its relevance is always 0."""
+    from ravine.operators.lexical import any_contains
+
+    rows = any_contains(knowledge, phrase, "title", "content", "keywords")
+    rows = rows if category is None else rows.where(F.col("category") == category)
+    return rows.withColumn("relevance_rank", F.lit(0)).orderBy(F.desc_nulls_last("access_count"), "id").limit(k)
+
+
+PLAN = "keywords array<string>, semantic_query_text string, cypher_query string, requires_graph boolean, intent string, weights map<string,double>"
+
+
+def parse_plans(answers: DataFrame) -> DataFrame:
+    """Q3: a planner's answers (query_id, text, answer) as plans; what is missing comes from the query and the defaults.
+
+    A code fence goes first. If the rest is no JSON, the first braces without braces within are
+    tried; if these are none either, everything is missing.
+    """
+    body = F.trim("answer")
+    lines = F.split(body, "\n")
+    last = F.size(lines) - F.when(F.try_element_at(lines, F.lit(-1)) == "```", 2).otherwise(1)
+    bare = F.when(F.startswith(body, F.lit("```")), F.array_join(F.slice(lines, 2, F.greatest(last, F.lit(0))), "\n")).otherwise(body)
+    inner = F.regexp_extract(bare, "(?s)\\{[^{}]*\\}", 0)
+    whole, part = F.from_json(bare, PLAN), F.from_json(inner, PLAN)
+    broken = F.try_parse_json(bare).isNull()
+    x = F.when(broken, part).otherwise(whole)
+    weights = F.create_map(F.lit("lexical"), F.lit(fixed.LEXICAL_WEIGHT), F.lit("semantic"), F.lit(fixed.SEMANTIC_WEIGHT), F.lit("graph"), F.lit(fixed.GRAPH_WEIGHT))
+    plan = answers.withColumn("_x", x)
+    return plan.select(
+        "query_id", F.coalesce("_x.keywords", tx.keywords(F.col("text"))).alias("keywords"), F.coalesce("_x.semantic_query_text", "text").alias("semantic_query"),
+        F.col("_x.cypher_query").alias("graph_query"), F.coalesce("_x.requires_graph", F.lit(False)).alias("requires_graph"),
+        F.coalesce("_x.intent", F.lit("general")).alias("intent"), F.coalesce("_x.weights", weights).alias("weights"),
+    )
+
+
 def default_plan(queries: DataFrame) -> DataFrame:
     """Q5: the plan of a query (query_id, text) when planning is skipped: its words, itself, no graph."""
     parts = F.filter(F.split(F.col("text"), "[ \\t\\n\\r\\f\\x0B]+"), lambda w: w != "")

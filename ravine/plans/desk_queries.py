@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ravine.functions import fixed
 from ravine.functions import text as tx
 from ravine.functions import vectors as vx
-from ravine.operators import chunking, desk, fusion, graph, ingest, kpi, lexical, vector
+from ravine.operators import chunking, desk, fusion, graph, ingest, kpi, lexical, relational, vector
 from ravine.plans import oracles as sql
 from ravine.plans import stand_ins as si
 from ravine.plans.oracles import ORACLE_SQL
@@ -289,6 +289,86 @@ WITH p AS (SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER
 SELECT conv_id, page, count(*) AS turns, max(turn) AS cursor, page < max(page) OVER (PARTITION BY conv_id) AS has_more FROM p GROUP BY conv_id, page"""
 
 
+@query
+def customer_lookup(s: SparkSession, d: str) -> DataFrame:
+    """The customer with a number as written by hand."""
+    return relational.by_phone(_phones(s, d), "+55 (00) 0000-012").select("customer_id", "phone")
+
+
+ORACLE_SQL["customer_lookup"] = "SELECT c_custkey::VARCHAR AS customer_id, '+55000000012' AS phone FROM customer WHERE c_custkey = 12"
+
+
+@query
+def customer_search(s: SparkSession, d: str) -> DataFrame:
+    """The first ten customers, by name, with a phrase in name or segment."""
+    return relational.search(table(s, d, "customer"), "BUILD", "c_name", "c_mktsegment", k=10, order="c_name").select("c_custkey", "c_name")
+
+
+ORACLE_SQL["customer_search"] = "SELECT c_custkey, c_name FROM customer WHERE c_name ILIKE '%build%' OR c_mktsegment ILIKE '%build%' ORDER BY c_name LIMIT 10"
+
+
+@query
+def tool_logs(s: SparkSession, d: str) -> DataFrame:
+    """The five newest errors of each user."""
+    return desk.tool_logs(si.events(s, d).where("event_type = 'error'"), "user_id", "ts", 5).select("user_id", "event_id", "place")
+
+
+ORACLE_SQL["tool_logs"] = """
+SELECT * FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events WHERE event_type = 'error') WHERE place <= 5"""
+
+
+@query
+def legacy_search(s: SparkSession, d: str) -> DataFrame:
+    """Documents as knowledge."""
+    k = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("text").alias("content"), F.col("lang").alias("keywords"), F.col("lang").alias("category"), F.col("n_chars").alias("access_count"))
+    return desk.legacy_search(k, "Was", "en", 20).select("id", "title", "access_count", "relevance_rank")
+
+
+ORACLE_SQL["legacy_search"] = """
+SELECT doc_id AS id, source AS title, n_chars AS access_count, 0 AS relevance_rank FROM documents
+WHERE lang = 'en' AND (contains(lower(source), 'was') OR contains(lower(text), 'was')) ORDER BY n_chars DESC NULLS LAST, doc_id LIMIT 20"""
+
+
+@query
+def parsed_plans(s: SparkSession, d: str) -> DataFrame:
+    """Q3: benchmark items with answers as a planner gives them: plain, in a fence, within words, broken."""
+    q = si.questions(s, d)
+    obj = F.concat(F.lit('{"keywords": ["k'), F.col("query_id").cast("string"), F.lit('"], "requires_graph": true, "intent": "relational", "cypher_query": "MATCH"}'))
+    kind = F.col("query_id") % 4
+    answer = F.when(kind == 0, obj).when(kind == 1, F.concat(F.lit("```json\n"), obj, F.lit("\n```"))).when(kind == 2, F.concat(F.lit("Here it is: "), obj, F.lit(" done"))).otherwise("no plan")
+    out = desk.parse_plans(q.withColumn("answer", answer))
+    return out.select("query_id", F.array_join("keywords", " ").alias("keywords"), "requires_graph", "intent", "graph_query", F.col("weights")["graph"].alias("graph_weight"))
+
+
+ORACLE_SQL["parsed_plans"] = f"""
+SELECT query_id, CASE WHEN query_id % 4 < 3 THEN 'k' || query_id ELSE keywords END AS keywords, query_id % 4 < 3 AS requires_graph, CASE WHEN query_id % 4 < 3 THEN 'relational' ELSE 'general' END AS intent,
+  CASE WHEN query_id % 4 < 3 THEN 'MATCH' END AS graph_query, 1.0::DOUBLE AS graph_weight FROM ({ORACLE_SQL["keyword_extract"]})"""
+
+
+@query
+def multi_hop(s: SparkSession, d: str) -> DataFrame:
+    """Everything within three relations of each nation."""
+    starts = si.entities(s, d).where("entity_type = 'NATION'").select(F.col("entity_id").alias("start"))
+    return graph.distances(starts, si.relations(s, d), 3).groupBy("start", "distance").agg(F.count("*").alias("entities"))
+
+
+ORACLE_SQL["multi_hop"] = f"""
+WITH RECURSIVE e AS (SELECT src, dst FROM {sql.RELATIONS} UNION SELECT dst, src FROM {sql.RELATIONS}),
+w AS (SELECT 'N' || n_nationkey AS start, 'N' || n_nationkey AS x, 0 AS k FROM nation UNION SELECT start, dst, k + 1 FROM w JOIN e ON src = x WHERE k < 3),
+m AS (SELECT start, x, min(k) AS k FROM w GROUP BY 1, 2) SELECT start, k AS distance, count(*) AS entities FROM m GROUP BY 1, 2"""
+
+
+@query
+def entities_in_document(s: SparkSession, d: str) -> DataFrame:
+    """The entities that each document (hundred orders) mentions."""
+    m = si.mentions(s, d).withColumn("document_id", F.floor(F.col("child_id") / 100)).select("document_id", "entity_id").distinct()
+    return m.join(si.entities(s, d), "entity_id").groupBy("document_id").agg(F.count("*").alias("entities"), F.min("name").alias("first_name"))
+
+
+ORACLE_SQL["entities_in_document"] = f"""
+SELECT child_id // 100 AS document_id, count(DISTINCT entity_id) AS entities, min(name) AS first_name FROM {sql.MENTIONS} JOIN {sql.ENTITIES} USING (entity_id) GROUP BY 1"""
+
+
 # --- chunking and ingestion
 
 
@@ -467,6 +547,24 @@ _KEYWORDS = f"(SELECT query_id AS item_id, keywords AS text FROM ({ORACLE_SQL['k
 ORACLE_SQL["keyword_search"] = ORACLE_SQL["lexical_tf_rank"].replace("FROM benchmark", f"FROM {_KEYWORDS}")
 
 
+@query
+def stemmed_search(s: SparkSession, d: str) -> DataFrame:
+    """L1: terms without stop words, by their stems, on both sides."""
+    stems = lambda df: df.withColumn("text", tx.stemmed_terms(F.col("text")))
+    return lexical.and_matches(stems(si.questions(s, d)), stems(si.chunks(s, d)))
+
+
+def _stemmed(key: str, name: str) -> str:
+    return f"""FROM (SELECT {key}, array_to_string(list_transform(list_filter({sql.TERMS.format("text")}, lambda x: NOT list_contains({sql._list(fixed.STOP_WORDS)}, x)),
+  lambda t: CASE WHEN regexp_matches(t, 'ies$') AND NOT regexp_matches(t, '[ea]ies$') THEN regexp_replace(t, 'ies$', 'y') WHEN regexp_matches(t, 'es$') AND NOT regexp_matches(t, '[aeo]es$') THEN t[:-2]
+    WHEN regexp_matches(t, 's$') AND NOT regexp_matches(t, '(us|ss|ies|[aeo]es)$') THEN t[:-2] ELSE t END), ' ') AS text FROM {name})"""
+
+
+ORACLE_SQL["stemmed_search"] = (
+    ORACLE_SQL["lexical_and_match"].replace("FROM documents", _stemmed("doc_id", "documents")).replace("FROM benchmark", _stemmed("item_id", "benchmark"))
+)
+
+
 @query
 def skip_planning(s: SparkSession, d: str) -> DataFrame:
     """Q5."""

@@ -98,3 +98,17 @@ def test_fan_out_keeps_the_first(spark):
     for r in streams.fan_out(events, subs, 10).collect():
         got.setdefault(r.subscriber, []).append(r.event_id)
     assert {k: sorted(v) for k, v in got.items()} == {"x": list(range(0, 20, 2)), "y": list(range(10)), "z": list(range(10))}
+
+
+def test_plans_from_answers(spark):
+    answers = ['{"keywords": ["x"], "weights": {"graph": 2.0}}', '```json\n{"intent": "factual"}\n```', "```\n{\"intent\": \"open\"}", 'Sure: {"requires_graph": true} ok', "nothing", None]
+    rows = spark.createDataFrame([(i, "What is alpha", a) for i, a in enumerate(answers)], "query_id int, text string, answer string")
+    got = {r.query_id: r for r in desk.parse_plans(rows).collect()}
+    assert got[0].keywords == ["x"] and got[0].weights == {"graph": 2.0} and got[0].intent == "general"
+    assert [got[i].intent for i in (1, 2, 3, 4, 5)] == ["factual", "open", "general", "general", "general"]
+    assert [got[i].requires_graph for i in (3, 4)] == [True, False] and got[4].keywords == ["alpha"] and set(got[5].weights) == {"lexical", "semantic", "graph"}
+
+
+def test_stems(spark):
+    row = spark.range(1).select(tx.stemmed_terms(F.lit("Queries of boxes, glass buses; shoes aies s")).alias("t")).first()
+    assert row.t == "query boxe glass buse shoes aie "
