@@ -79,10 +79,10 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     lost = removable(keyed, min_lines).withColumnsRenamed({"_id": "_lost_id", "_hash": "_lost_hash"})
     both = keyed.join(lost, keyed._id.eqNullSafe(lost._lost_id) & (keyed._hash == lost._lost_hash), "left")
     out = _chunks(both).withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
-    kept = F.filter("_chunks", lambda c: ~F.array_contains("_gone", c["j"]))
-    lost_lines = F.aggregate(
-        F.filter("_chunks", lambda c: F.array_contains("_gone", c["j"])), F.lit(0), lambda n, c: n + c["lines"]
-    )
+    # places in a set, not looked up chunk by chunk, so that a text of very many chunks takes linear time
+    places = F.when(F.size("_chunks") > 0, F.sequence(F.lit(0), F.size("_chunks") - 1)).otherwise(F.array().cast("array<int>"))
+    kept = F.transform(F.array_except(places, "_gone"), lambda j: F.get("_chunks", j))
+    lost_lines = F.aggregate("_gone", F.lit(0), lambda n, j: n + F.get("_chunks", j)["lines"])
     whole = F.aggregate("_chunks", F.lit(0), lambda n, c: n + c["lines"])
     texts = F.array_join(F.transform(kept, lambda c: c["text"]), "\n")
     count = lambda c: F.when(F.col("_text").isNull(), F.lit(0)).otherwise(c).cast("long")

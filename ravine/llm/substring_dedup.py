@@ -35,6 +35,8 @@ from ravine.llm.components import components
 
 #: Words of a shingle that samples passages, and shingles of which the least is taken.
 PASSAGE, WINDOW = 32, 19
+#: A stretch of equal words.
+_SAME = re.compile(b"\x01{%d,}" % PASSAGE)
 #: Words of a block in which the surroundings of a first occurrence are fetched.
 _BLOCK = 64
 
@@ -205,8 +207,8 @@ def passages(docs: DataFrame, scanned: DataFrame, gone: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, (x, wanted, gone) in enumerate(zip(b.column("text"), b.column("blocks").to_pylist(), b.column("gone").to_pylist())):
-                words = _left(x.as_py(), gone)
+            for i, (x, wanted, gone) in enumerate(zip(b.column("text"), b.column("blocks"), b.column("gone"))):
+                words, wanted = _left(x.as_py(), gone.as_py()), wanted.as_py()
                 wanted = [k for k in wanted if k * _BLOCK < len(words)]
                 own = b.select(["doc_id", "hash"]).take(pa.array([i] * len(wanted), pa.int64()))
                 data = [b" ".join(words[k * _BLOCK : (k + 1) * _BLOCK]) for k in wanted]
@@ -221,8 +223,8 @@ def passages(docs: DataFrame, scanned: DataFrame, gone: DataFrame) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, starts, many, kept = [], [], [], []
-            for i, (x, hits, gone) in enumerate(zip(b.column("text"), b.column("hits").to_pylist(), b.column("gone").to_pylist())):
-                for holder, s, e in _repeats(_left(x.as_py(), gone), hits):
+            for i, (x, hits, gone) in enumerate(zip(b.column("text"), b.column("hits"), b.column("gone"))):
+                for holder, s, e in _repeats(_left(x.as_py(), gone.as_py()), hits.as_py()):
                     rows.append(i)
                     starts.append(s)
                     many.append(e - s)
@@ -247,26 +249,34 @@ def _left(text: str, gone: list[dict] | None) -> list[bytes]:
 
 
 def _repeats(words: list[bytes], hits: list[dict]) -> list[tuple]:
-    """(holder, start, end) of the longest stretches of words that equal the holder's, of PASSAGE words or more.
+    """(holder, start, end) stretches, one after another, of words that equal the holder's, cut from stretches of PASSAGE words or more.
 
     hits are the blocks of the holders' words beside the ranges in which they are to be compared.
     """
     ranges: dict[tuple, dict[int, bytes]] = {}
     for h in hits:
         ranges.setdefault((h["f_id"], h["f_hash"], h["shift"], h["start"], h["end"]), {})[h["block"]] = h["data"]
-    out = set()
+    found = []
     for (holder, _, shift, start, end), blocks in ranges.items():
-        theirs = {k * _BLOCK + i: w for k, x in blocks.items() for i, w in enumerate(x.split(b" "))}
-        begin = None
-        for p in range(max(start, 0), min(end, len(words)) + 1):
-            same = p < min(end, len(words)) and words[p] and words[p] == theirs.get(p - shift)
-            if same and begin is None:
-                begin = p
-            elif not same and begin is not None:
-                if p - begin >= PASSAGE:
-                    out.add((holder, begin, p))
-                begin = None
-    return sorted(out, key=lambda r: r[1:])
+        base = min(blocks) * _BLOCK
+        theirs = [w for k in range(min(blocks), max(blocks) + 1) for w in blocks[k].split(b" ")]
+        low = max(start, base + shift, 0)
+        same = bytes(a == b != b"" for a, b in zip(words[low:end], theirs[low - shift - base :]))
+        found += [(low + m.start(), low + m.end(), holder) for m in _SAME.finditer(same)]
+    out, at = [], 0
+    found.sort(key=lambda r: r[:2])
+    i = 0
+    while i < len(found):
+        # of the stretches that begin where the one before ends, or earlier, the one that ends last
+        at = max(at, found[i][0])
+        best = found[i]
+        while i < len(found) and found[i][0] <= at:
+            best = max(best, found[i], key=lambda r: r[1])
+            i += 1
+        if best[1] > at:
+            out.append((best[2], at, best[1]))
+            at = best[1]
+    return out
 
 
 def _to_remove(docs: DataFrame, min_words: int, shingle: int, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -283,7 +293,7 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 25, shingle: int = 5,
 
     A repeated paragraph has its line number from 0 in paragraph, a repeated passage the place of
     its first word in start_word (the other one is null); passages do not reach into such
-    paragraphs, but may overlap each other. docs needs doc_id and text; other columns are not
+    paragraphs and do not overlap. docs needs doc_id and text; other columns are not
     read. Rows that agree in doc_id and text count as one document, reported once. Of equal
     places the one with the smaller (doc_id, hash of the text) counts as earlier; a null doc_id
     comes first. Null and empty texts have no paragraphs; an empty table gives an empty table.
