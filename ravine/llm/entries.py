@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravine.llm import decontaminate, embedding_dedup, language_id, line_dedup, lm_scoring, mixing, simhash, substring_dedup, suffix_array, token_counts
+from ravine.llm import decontaminate, embedding_dedup, language_id, line_dedup, lm_scoring, mixing, simhash, substring_dedup, suffix_array, token_counts, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,11 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.remove_repeats(docs).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
 
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, rule and verdict."""
+    return url_filters.judge(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
@@ -85,10 +90,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op13_url_filters": op13_url_filters,
 }
 
 #: DuckDB SQL for the queries that it can express; the others are tested against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,
     "op4_mix_sources": mixing.ORACLE_SQL,
+    "op13_url_filters": url_filters.ORACLE_SQL,
 }
