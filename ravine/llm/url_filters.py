@@ -168,7 +168,7 @@ def _sql_rule(host: str, path: str, field: str) -> str:
 
 def _sql_alias(url: str) -> str:
     parts = "(?s)^.*?://([^/?#]*)([^?#]*)(?:\\?([^#]*))?"
-    kept = f"array_to_string(list_filter(string_split(regexp_extract({url}, '{parts}', 3), '&'), x -> x <> '' AND NOT regexp_matches(x, '{_TRACKING}')), '&')"
+    kept = f"array_to_string(list_filter(string_split(regexp_extract({url}, '{parts}', 3), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '{_TRACKING}')), '&')"
     host = f"regexp_replace(translate(regexp_extract({url}, '{parts}', 1), '{ascii_uppercase}', '{ascii_lowercase}'), ':(80|443)$', '')"
     path = f"regexp_replace(regexp_extract({url}, '{parts}', 2), '/+$', '')"
     return f"CASE WHEN {host} <> '' THEN {host} || {path} || CASE WHEN {kept} <> '' THEN '?' || {kept} ELSE '' END END"
