@@ -137,3 +137,11 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         open_ = root[a] != root[b]
         a, b = a[open_], b[open_]
     return root
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of an ASCII text, bit by bit, since DuckDB has no such function."""
+    step = "lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    byte = f"lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), {step})"
+    codes = f"list_transform(string_split({text}, ''), lambda z: ascii(z)::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295]::BIGINT[], {codes}), {byte}), 4294967295)"

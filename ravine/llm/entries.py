@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravine.llm import decontaminate, embedding_dedup, language_id, line_dedup, lm_scoring, mixing, simhash, substring_dedup, suffix_array, token_counts, url_filters
+from ravine.llm import decontaminate, embedding_dedup, language_id, line_dedup, lm_scoring, mixing, prefix_trie, simhash, substring_dedup, suffix_array, token_counts, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,11 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.remove_repeats(docs).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of the conversations, rebuilt with shared beginnings."""
+    return prefix_trie.rebuilt_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's host, path, rule and verdict."""
     return url_filters.judge(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_conversation_prefix_trie": op11_conversation_prefix_trie,
     "op13_url_filters": op13_url_filters,
 }
 
@@ -97,5 +103,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,
     "op4_mix_sources": mixing.ORACLE_SQL,
+    "op11_conversation_prefix_trie": prefix_trie.ORACLE_SQL,
     "op13_url_filters": url_filters.ORACLE_SQL,
 }
