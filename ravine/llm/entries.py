@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravine.llm import decontaminate, embedding_dedup, language_id, line_dedup, lm_scoring, mixing, prefix_trie, simhash, substring_dedup, suffix_array, token_counts, url_filters
+from ravine.llm import conversation_repair, decontaminate, embedding_dedup, language_id, line_dedup, lm_scoring, mixing, prefix_trie, simhash, substring_dedup, suffix_array, token_counts, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,12 @@ def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame
     return prefix_trie.rebuilt_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with every damaged conversation, and its cheapest repair."""
+    conversations = _table(spark, sf_dir, "conversations")
+    return conversation_repair.report(conversation_repair.damaged(conversations), conversations.select("conv_id").distinct())
+
+
 def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's host, path, rule and verdict."""
     return url_filters.judge(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
@@ -96,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op11_conversation_prefix_trie": op11_conversation_prefix_trie,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_url_filters": op13_url_filters,
 }
 
@@ -104,5 +111,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,
     "op4_mix_sources": mixing.ORACLE_SQL,
     "op11_conversation_prefix_trie": prefix_trie.ORACLE_SQL,
+    "op12_conversation_repair": conversation_repair.ORACLE_SQL,
     "op13_url_filters": url_filters.ORACLE_SQL,
 }
