@@ -540,7 +540,7 @@ ORACLE_SQL["rerank_original_rank"] = f"WITH {sql._RERANKED} SELECT query_id, chi
 def keyword_search(s: SparkSession, d: str) -> DataFrame:
     """The lexical search of a plan's keywords."""
     asked = lexical.keyword_queries(si.questions(s, d))
-    return lexical.tf_search(asked, si.chunks(s, d), 50).select("query_id", "child_id", _r("score").alias("score"), "rank")
+    return si.lexical_index(s, d).tf_search(asked, 50).select("query_id", "child_id", _r("score").alias("score"), "rank")
 
 
 _KEYWORDS = f"(SELECT query_id AS item_id, keywords AS text FROM ({ORACLE_SQL['keyword_extract']}))"

@@ -232,21 +232,20 @@ def yes_no_scores(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def lexical_and_match(s: SparkSession, d: str) -> DataFrame:
-    """L2."""
-    return lexical.and_matches(si.questions(s, d), si.chunks(s, d))
+    """L2, from the stored index."""
+    return si.lexical_index(s, d).and_matches(si.questions(s, d))
 
 
 @query
 def lexical_tf_rank(s: SparkSession, d: str) -> DataFrame:
-    """L4, L5."""
-    return lexical.tf_search(si.questions(s, d), si.chunks(s, d), 50).select("query_id", "child_id", _r("score").alias("score"), "rank")
+    """L4, L5, from the stored index."""
+    return si.lexical_index(s, d).tf_search(si.questions(s, d), 50).select("query_id", "child_id", _r("score").alias("score"), "rank")
 
 
 @query
 def bm25_topk(s: SparkSession, d: str) -> DataFrame:
-    """L11."""
-    scored = lexical.bm25(si.questions(s, d), si.chunks(s, d)).withColumn("score", _r("score"))
-    return lexical.top(scored, "score", 20)
+    """L11, from the stored index."""
+    return si.lexical_index(s, d).bm25(si.questions(s, d), 20)
 
 
 @query
@@ -278,8 +277,7 @@ def _channels(s: SparkSession, d: str, k: int = 50) -> dict[str, DataFrame]:
     the query's best lexical parents.
     """
     asked = si.questions(s, d)
-    scored = lexical.bm25(asked, si.chunks(s, d)).withColumn("score", _r("score"))
-    lex = lexical.top(scored, "score", k).select("query_id", "child_id", "rank", "score")
+    lex = si.lexical_index(s, d).bm25(asked, k).select("query_id", "child_id", "rank", "score")
     v = si.vectors(s, d)
     q = asked.join(v, F.col("query_id") == F.col("child_id")).select("query_id", "embedding")
     sem = vector.similar(q, v, k).withColumn("score", _r("similarity")).select("query_id", "child_id", "rank", "score")
@@ -373,7 +371,7 @@ def parent_expansion(s: SparkSession, d: str) -> DataFrame:
 @query
 def distinct_parents(s: SparkSession, d: str) -> DataFrame:
     """Each parent of a lexical match once."""
-    met = lexical.and_matches(si.questions(s, d), si.chunks(s, d)).select(F.expr("child_id div 5").alias("parent_id"))
+    met = si.lexical_index(s, d).and_matches(si.questions(s, d)).select(F.expr("child_id div 5").alias("parent_id"))
     return fusion.parents_of(met, _parents(s, d))
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ravine.operators.index import LexicalIndex
 from ravine.sources.tables import table
+from ravine.sources.versions import fingerprint, shared_folder
 
 #: The moment that look-backs count from: the end of the orders.
 NOW = "2001-08-01 00:00:00"
@@ -17,6 +19,14 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("child_id"), F.expr("doc_id div 5").alias("parent_id"), F.col("source").alias("source_document"), F.col("lang").alias("collection"), "text")
 
 
+def lexical_index(spark: SparkSession, d: str) -> LexicalIndex:
+    """The stored index of the chunks; built when it is first asked for, and again when the documents' files change."""
+    print_ = fingerprint(spark, f"{d}/documents.parquet")
+    index = LexicalIndex(spark, f"{shared_folder(spark)}/lexical-{print_}")
+    index.add(chunks(spark, d), print_, by=["collection"])
+    return index
+
+
 def vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("child_id"), "embedding", "label")
 
