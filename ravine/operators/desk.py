@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ravine.functions import fixed
 from ravine.functions import text as tx
+from ravine.operators.grams import containing
+from ravine.operators.hot import split_join
 from ravine.operators.ingest import first_of_each
 
 
@@ -97,13 +99,13 @@ def objection_answers(asked: DataFrame, scripts: DataFrame) -> DataFrame:
 def attendees(asked: DataFrame, connections: DataFrame) -> DataFrame:
     """Each name (org_id, name) with the calendar that holds it: of its own organisation first, else of any.
 
-    Equal matches go to the default calendar, then by name. Names meet on their first three
-    characters, as a piece of the attendee's name, so no name is compared with all attendees.
+    Equal matches go to the default calendar, then by name. Names meet by their rarest q-gram.
     """
-    name = F.lower("attendee_name")
-    pieces = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.array(F.substr(name, i, F.lit(1)), F.substr(name, i, F.lit(2)), F.substr(name, i, F.lit(3))))))
-    held = connections.where("attendee_name <> ''").withColumnRenamed("org_id", "_org").withColumn("_piece", F.explode(pieces))
-    met = asked.where("name <> ''").withColumn("_piece", F.lower(F.substring("name", 1, 3))).join(held, "_piece").where(F.contains(name, F.lower("name")))
+    wanted = asked.where("name <> ''")
+    held = connections.where("attendee_name <> ''").withColumnRenamed("org_id", "_org")
+    pairs = containing(wanted.select(F.col("name").alias("keyword")), held.select(F.col("attendee_name").alias("name")))
+    met = split_join(pairs.select(F.col("name").alias("attendee_name"), F.col("keyword").alias("name")), held, "attendee_name")
+    met = split_join(wanted, met, "name")
     order = [F.desc(F.col("_org") == F.col("org_id")), F.desc("is_default"), F.col("attendee_name"), F.col("attendee_email")]
     return first_of_each(met, ["org_id", "name"], *order).select("org_id", "name", "attendee_name", "attendee_email")
 

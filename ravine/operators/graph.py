@@ -9,13 +9,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ravine.operators.grams import containing
+from ravine.operators.hot import LIMIT, split_join
+from ravine.operators.lexical import top
+from ravine.sources.versions import stored
+
 
 def undirected(relations: DataFrame) -> DataFrame:
     return relations.select("src", "dst").union(relations.select("dst", "src")).distinct()
 
 
+def bipartite(relations: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(node, to): the untyped, undirected edges of the whole graph, relations and mentions; entities are e:id, chunks c:id."""
+    entity = lambda c: F.concat(F.lit("e:"), F.col(c).cast("string"))
+    both = undirected(relations).select(entity("src").alias("node"), entity("dst").alias("to"))
+    mention = mentions.select(entity("entity_id").alias("node"), F.concat(F.lit("c:"), F.col("child_id").cast("string")).alias("to")).distinct()
+    return both.union(mention).union(mention.select("to", "node"))
+
+
+def walked(starts: DataFrame, edges: DataFrame, hops: int, limit: int = LIMIT, back: bool = False) -> DataFrame:
+    """(start, node, distance, path) of every node within hops edges of each start (start, a node), itself included.
+
+    path is the least shortest path, as an array from the start on, or back, from the node to the
+    start. Every step keeps a node once for
+    each start; a hub's edges are met in parts of `limit`. Each frontier is a table, so that no
+    step is computed again by the next.
+    """
+    first = F.col("start")
+    frontier = starts.select("start").distinct().select("start", first.alias("node"), F.lit(0).alias("distance"), F.array(first).alias("path"))
+    reached, parts = frontier, (F.col("path"), F.array("node"))
+    for hop in range(1, hops + 1):
+        step = split_join(frontier.select("start", "node", "path"), edges, "node", limit)
+        found = step.groupBy("start", "to").agg(F.min("path").alias("path")).withColumnRenamed("to", "node")
+        found = found.join(reached.select("start", "node"), ["start", "node"], "left_anti")
+        frontier = stored(found.select("start", "node", F.lit(hop).alias("distance"), F.concat(*parts[:: -1 if back else 1]).alias("path")), "frontier")
+        reached = reached.union(frontier)
+    return reached
+
+
 def distances(starts: DataFrame, relations: DataFrame, hops: int) -> DataFrame:
-    """(start, entity_id, distance) of everything within hops edges, in either direction; starts has `start`."""
+    """(start, entity_id, distance) of everything within hops relations, in either direction; starts has `start`."""
     edges = undirected(relations)
     reached = starts.select("start", F.col("start").alias("entity_id"), F.lit(0).alias("distance"))
     frontier = reached
@@ -26,10 +59,28 @@ def distances(starts: DataFrame, relations: DataFrame, hops: int) -> DataFrame:
     return reached
 
 
-def neighborhood(starts: DataFrame, relations: DataFrame, mentions: DataFrame, hops: int = 2, k: int = 50) -> DataFrame:
-    """G1: for each start the chunks of entities 1 to hops away, by 1 / (1 + distance), k at most."""
-    near = distances(starts, relations, hops).where("distance > 0")
-    chunks = near.join(mentions, "entity_id").groupBy("start", "child_id").agg(F.min("distance").alias("distance"))
+def neighborhood(starts: DataFrame, relations: DataFrame, mentions: DataFrame, hops: int = 2, k: int = 50, through_chunks: bool = True, limit: int = LIMIT) -> DataFrame:
+    """G1: for each start (start, an entity) the chunks of entities 1 to hops away, by 1 / (1 + distance), k at most.
+
+    Paths run over relations and, through_chunks, over mentions too: two entities of one chunk are
+    two edges apart. A chunk counts at the distance of its nearest entity; the start's own chunks
+    count only for other entities. Of an entity's chunks only the k of the smallest ids can be
+    among a start's k best, since each chunk before them is at least as near; so hubs bring k rows.
+    """
+    if through_chunks:
+        # paths that end in a chunk are no use, so the last step goes to entities only
+        own = starts.select(F.concat(F.lit("e:"), F.col("start").cast("string")).alias("start"))
+        edges = stored(bipartite(relations, mentions), "edges")
+        inner = walked(own, edges, hops - 1, limit)
+        last = split_join(inner.where(F.col("distance") == hops - 1).select("start", "node"), edges.where("to LIKE 'e:%'"), "node", limit)
+        near = inner.where("node LIKE 'e:%'").select("start", "node", "distance").union(last.select("start", F.col("to").alias("node"), F.lit(hops).alias("distance")))
+        bare = lambda c: F.substring(c, 3, 1 << 30)
+        near = near.groupBy("start", "node").agg(F.min("distance").alias("distance")).select(bare("start").alias("start"), bare("node").alias("entity_id"), "distance")
+        near = near.select(F.col("start").cast(starts.schema["start"].dataType).alias("start"), F.col("entity_id").cast(mentions.schema["entity_id"].dataType).alias("entity_id"), "distance")
+    else:
+        near = distances(starts, relations, hops)
+    first = top(mentions.select("entity_id", "child_id").distinct().withColumn("_", F.lit(0)), "_", k, by="entity_id").select("entity_id", "child_id")
+    chunks = near.where("distance > 0").join(first, "entity_id").groupBy("start", "child_id").agg(F.min("distance").alias("distance"))
     order = Window.partitionBy("start").orderBy("distance", "child_id")
     ranked = chunks.withColumn("score", 1 / (1 + F.col("distance"))).withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= k)
@@ -52,47 +103,74 @@ def related(entities: DataFrame, relations: DataFrame, name: str, relation_type:
     return other.join(entities.select("entity_id", "name"), "entity_id").select("entity_id", "name", "relation_type")
 
 
-def by_keywords(keywords: DataFrame, entities: DataFrame, mentions: DataFrame, k: int = 50) -> DataFrame:
-    """By query, chunks by the number of different entities that they mention and a keyword names.
+def _named(keywords: DataFrame, entities: DataFrame, limit: int) -> DataFrame:
+    """(query_id, word, place, n, entity_id): entities whose name holds one of a query's keywords; n keywords in all."""
+    asked = keywords.select("query_id", F.size("keywords").alias("n"), F.posexplode("keywords").alias("place", "word"))
+    pairs = containing(asked.select(F.col("word").alias("keyword")), entities, limit)
+    names = split_join(pairs.withColumnRenamed("keyword", "word"), entities.select("name", "entity_id"), "name", limit)
+    return split_join(asked, names.select("word", "entity_id"), "word", limit)
+
+
+def by_keywords(keywords: DataFrame, entities: DataFrame, mentions: DataFrame, k: int = 50, limit: int = LIMIT) -> DataFrame:
+    """By query, chunks by the number of different entities that they mention and whose name holds a keyword.
 
-    keywords (query_id, keywords array). An entity is named if a word of its name is a keyword.
-    The score is that number over the number of keywords.
+    keywords (query_id, keywords array). The score is that number over the number of keywords. An
+    entity counts once for a query, however many keywords name it, so matches are sums that
+    Spark combines before the shuffle.
     """
-    asked = keywords.select("query_id", F.size("keywords").alias("n"), F.explode("keywords").alias("word"))
-    named = entities.select("entity_id", F.explode(F.array_distinct(F.split(F.lower("name"), " "))).alias("word"))
-    hits = asked.join(named, "word").join(mentions, "entity_id")
-    counted = hits.groupBy("query_id", "child_id").agg(F.countDistinct("entity_id").alias("matches"), F.first("n").alias("n"))
+    hits = _named(keywords, entities, limit).groupBy("query_id", "entity_id").agg(F.first("n").alias("n"))
+    met = split_join(hits, mentions.select("entity_id", "child_id").distinct(), "entity_id", limit)
+    counted = met.groupBy("query_id", "child_id").agg(F.count("*").alias("matches"), F.first("n").alias("n"))
     order = Window.partitionBy("query_id").orderBy(F.desc("matches"), "child_id")
     return counted.withColumn("score", F.col("matches") / F.col("n")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def shortest_paths(pairs: DataFrame, relations: DataFrame, most: int = 4) -> DataFrame:
-    """(src, dst, distance) of pairs (src, dst) that a path of at most `most` edges joins.
+    """(src, dst, distance) of pairs (src, dst) that a path of at most `most` relations joins; see paths() for the nodes."""
+    edges = undirected(relations).toDF("node", "to")
+    return paths(pairs, edges, most).select("src", "dst", "distance")
 
-    Both ends are walked half-way, so the frontiers stay near the square root of a one-sided walk.
+
+def paths(pairs: DataFrame, edges: DataFrame, most: int = 4, limit: int = LIMIT) -> DataFrame:
+    """(src, dst, distance, path) of pairs (src, dst) of nodes that at most `most` edges (node, to) join.
+
+    path is the shortest one, from src to dst; of several the least, node by node. Both ends are
+    walked half-way, so the frontiers stay near the square root of a one-sided walk: every
+    shortest path has exactly one node at the forward walk's last step (or at its end, if it is
+    shorter), and the least of the paths joined there is the least of all.
     """
     pairs = pairs.select("src", "dst").distinct()
-    near = distances(pairs.select(F.col("src").alias("start")).distinct(), relations, (most + 1) // 2)
-    far = distances(pairs.select(F.col("dst").alias("start")).distinct(), relations, most // 2)
-    a = pairs.join(near.select(F.col("start").alias("src"), F.col("entity_id").alias("mid"), F.col("distance").alias("d1")), "src")
-    b = far.select(F.col("start").alias("dst"), F.col("entity_id").alias("mid"), F.col("distance").alias("d2"))
-    met = a.join(b, ["dst", "mid"])
-    return met.groupBy("src", "dst").agg(F.min(F.col("d1") + F.col("d2")).cast("int").alias("distance"))
+    ahead, behind = (most + 1) // 2, most // 2
+    near = walked(pairs.select(F.col("src").alias("start")), edges, ahead, limit)
+    far = walked(pairs.select(F.col("dst").alias("start")), edges, behind, limit, back=True)
+    a = pairs.join(near.select(F.col("start").alias("src"), F.col("node").alias("mid"), F.col("distance").alias("d1"), F.col("path").alias("p1")), "src")
+    b = far.select(F.col("start").alias("dst"), F.col("node").alias("mid"), F.col("distance").alias("d2"), F.col("path").alias("p2"))
+    met = a.join(b, ["dst", "mid"]).where((F.col("d2") == 0) | (F.col("d1") == ahead))
+    best = met.groupBy("src", "dst").agg(F.min(F.struct((F.col("d1") + F.col("d2")).cast("int").alias("distance"), F.concat("p1", F.slice("p2", 2, most)).alias("path"))).alias("b"))
+    return best.select("src", "dst", "b.distance", "b.path")
+
+
+def path_chunks(found: DataFrame, mentions: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(src, dst, child_id): the chunks that mention an entity on the path of paths() over bipartite() edges, each once for a pair."""
+    on = found.select("src", "dst", F.explode("path").alias("_node")).where("_node LIKE 'e:%'")
+    on = on.select("src", "dst", F.substring("_node", 3, 1 << 30).cast(mentions.schema["entity_id"].dataType).alias("entity_id"))
+    return split_join(on, mentions.select("entity_id", "child_id").distinct(), "entity_id", limit).select("src", "dst", "child_id").distinct()
 
 
-def from_keywords(keywords: DataFrame, entities: DataFrame, relations: DataFrame, mentions: DataFrame, k: int = 20) -> DataFrame:
+def from_keywords(keywords: DataFrame, entities: DataFrame, relations: DataFrame, mentions: DataFrame, k: int = 20, limit: int = LIMIT) -> DataFrame:
     """Keywords name entities, relations add their neighbours, mentions give the chunks.
 
-    At most max(k // keywords, 1) entities for each keyword, by id; chunks by the number of their
-    entities.
+    A query's first five keywords are asked for; at most max(k // keywords, 1) entities whose name
+    holds each of them, by id; chunks by the number of their entities.
     """
-    asked = keywords.select("query_id", F.greatest(F.floor(F.lit(k) / F.greatest(F.size("keywords"), F.lit(1))), F.lit(1)).alias("n"), F.explode("keywords").alias("word"))
-    named = entities.select("entity_id", F.explode(F.array_distinct(F.split(F.lower("name"), " "))).alias("word"))
-    order = Window.partitionBy("query_id", "word").orderBy("entity_id")
-    found = asked.join(named, "word").withColumn("_r", F.row_number().over(order)).where("_r <= n").select("query_id", "entity_id").distinct()
-    beside = found.join(undirected(relations), F.col("entity_id") == F.col("src")).select("query_id", F.col("dst").alias("entity_id"))
+    named = _named(keywords, entities, limit).where("place < 5")
+    order = Window.partitionBy("query_id", "place").orderBy("entity_id")
+    most = F.greatest(F.floor(F.lit(k) / F.greatest("n", F.lit(1))), F.lit(1))
+    found = named.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).select("query_id", "entity_id").distinct()
+    beside = split_join(found, undirected(relations).withColumnRenamed("src", "entity_id"), "entity_id", limit).select("query_id", F.col("dst").alias("entity_id"))
     all_ = found.union(beside).distinct()
-    counted = all_.join(mentions, "entity_id").groupBy("query_id", "child_id").agg(F.countDistinct("entity_id").alias("matches"))
+    met = split_join(all_, mentions.select("entity_id", "child_id").distinct(), "entity_id", limit)
+    counted = met.groupBy("query_id", "child_id").agg(F.count("*").alias("matches"))
     best = Window.partitionBy("query_id").orderBy(F.desc("matches"), "child_id")
     return counted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 

@@ -285,13 +285,36 @@ d AS (SELECT start, x, min(k) AS k FROM (SELECT start, e1 AS x, 1 AS k FROM h1 U
 c AS (SELECT start, child_id, min(k) AS k FROM d JOIN {MENTIONS} ON entity_id = x GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY k, child_id) AS rank FROM c)
 SELECT start, child_id, round(1 / (1 + k)::DOUBLE, 6) AS score, rank FROM r WHERE rank <= 50"""
+_STARTS = "(SELECT 'S' || s_suppkey AS start FROM supplier WHERE s_suppkey % 50 = 0)"
+ORACLE_SQL["graph_comention_neighborhood"] = f"""
+WITH e AS (SELECT src, dst FROM {RELATIONS} UNION SELECT dst, src FROM {RELATIONS}),
+h AS (SELECT start, dst AS x, 1 AS k FROM {_STARTS} JOIN e ON src = start),
+t AS (SELECT start, e.dst AS x, 2 AS k FROM h JOIN e ON src = x UNION
+  SELECT start, b.entity_id, 2 FROM {_STARTS} JOIN {MENTIONS} a ON a.entity_id = start JOIN {MENTIONS} b USING (child_id)),
+d AS (SELECT start, x, min(k) AS k FROM (SELECT * FROM h UNION ALL SELECT * FROM t) WHERE x <> start GROUP BY 1, 2),
+c AS (SELECT start, child_id, min(k) AS k FROM d JOIN {MENTIONS} ON entity_id = x GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY k, child_id) AS rank FROM c)
+SELECT start, child_id, round(1 / (1 + k)::DOUBLE, 6) AS score, rank FROM r WHERE rank <= 50"""
+# one step of a walk keeps the least path to each node that no step before has reached
+_STEP = "SELECT start, dst AS x, min(p || '>' || dst) AS p FROM {0} JOIN e ON src = x WHERE (start, dst) NOT IN ({1}) GROUP BY 1, 2"
+_BACK = "SELECT start, dst AS x, min(dst || '>' || p) AS p FROM {0} JOIN e ON src = x WHERE (start, dst) NOT IN ({1}) GROUP BY 1, 2"
+_SEEN = lambda *t: " UNION ALL ".join(f"SELECT start, x FROM {x}" for x in t)
+_PATHS = f"""e AS (SELECT 'e:' || src AS src, 'e:' || dst AS dst FROM {RELATIONS} UNION SELECT 'e:' || dst, 'e:' || src FROM {RELATIONS}
+  UNION SELECT 'e:' || entity_id, 'c:' || child_id FROM {MENTIONS} UNION SELECT 'c:' || child_id, 'e:' || entity_id FROM {MENTIONS}),
+a0 AS (SELECT 'e:' || start AS start, 'e:' || start AS x, 'e:' || start AS p FROM {_STARTS}), a1 AS ({_STEP.format("a0", _SEEN("a0"))}), a2 AS ({_STEP.format("a1", _SEEN("a0", "a1"))}),
+b0 AS (SELECT 'e:N' || n_nationkey AS start, 'e:N' || n_nationkey AS x, 'e:N' || n_nationkey AS p FROM nation), b1 AS ({_BACK.format("b0", _SEEN("b0"))}), b2 AS ({_BACK.format("b1", _SEEN("b0", "b1"))}),
+m AS ({" UNION ALL ".join(f"SELECT a.start AS src, b.start AS dst, {i + j} AS distance, a.p || substr(b.p, length(b.x) + 1) AS path FROM a{i} a JOIN b{j} b USING (x)" for i in range(3) for j in range(3) if i == 2 or j == 0)}),
+w AS (SELECT src, dst, distance, string_split(path, '>') AS path, row_number() OVER (PARTITION BY src, dst ORDER BY distance, string_split(path, '>')) AS n FROM m)"""
+ORACLE_SQL["graph_path_nodes"] = f"WITH {_PATHS} SELECT src, dst, distance::INT AS distance, array_to_string(path, '>') AS path FROM w WHERE n = 1"
+ORACLE_SQL["graph_path_chunks"] = f"""
+WITH {_PATHS} SELECT DISTINCT src, dst, child_id FROM (SELECT src, dst, unnest(path) AS node FROM w WHERE n = 1) JOIN {MENTIONS} ON 'e:' || entity_id = node"""
 ORACLE_SQL["graph_lookup"] = f"SELECT entity_id, child_id FROM {ENTITIES} JOIN {MENTIONS} USING (entity_id) WHERE lower(name) LIKE '%supplier#00000001%' AND entity_type = 'SUPPLIER'"
 ORACLE_SQL["graph_related"] = f"""
 WITH f AS (SELECT entity_id AS f FROM {ENTITIES} WHERE contains(lower(name), lower((SELECT min(n_name) FROM nation)))),
 b AS (SELECT src, dst, relation_type FROM {RELATIONS} UNION ALL SELECT dst, src, relation_type FROM {RELATIONS})
 SELECT DISTINCT e.entity_id, e.name, relation_type FROM b JOIN f ON src = f JOIN {ENTITIES} e ON e.entity_id = dst"""
 _NAMED = """k AS (SELECT p_brand AS query_id, string_split(min(p_name), ' ') AS ks FROM part GROUP BY 1), kd AS (SELECT query_id, list_distinct(ks) AS ks FROM k),
-a AS (SELECT query_id, len(ks) AS n, unnest(ks) AS word FROM kd), w AS (SELECT DISTINCT p_partkey::VARCHAR AS entity_id, unnest(string_split(lower(p_name), ' ')) AS word FROM part),
+a AS (SELECT query_id, len(ks) AS n, unnest(ks) AS word FROM kd), w AS (SELECT p_partkey::VARCHAR AS entity_id, word FROM (SELECT DISTINCT word FROM a) JOIN part ON contains(lower(p_name), lower(word))),
 mm AS (SELECT DISTINCT l_partkey::VARCHAR AS entity_id, l_orderkey AS child_id FROM lineitem)"""
 ORACLE_SQL["graph_keyword_search"] = f"""
 WITH {_NAMED}, c AS (SELECT query_id, child_id, count(DISTINCT entity_id) AS matches, any_value(n) AS n FROM a JOIN w USING (word) JOIN mm USING (entity_id) GROUP BY 1, 2),

@@ -617,6 +617,36 @@ def graph_neighborhood(s: SparkSession, d: str) -> DataFrame:
     return graph.neighborhood(starts, si.relations(s, d), si.mentions(s, d), 2, 50).select("start", "child_id", _r("score").alias("score"), "rank")
 
 
+def _some_suppliers(s: SparkSession, d: str) -> DataFrame:
+    """A stated set of starts: suppliers whose key is divisible by 50."""
+    return table(s, d, "supplier").where("s_suppkey % 50 = 0").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("start"))
+
+
+@query
+def graph_comention_neighborhood(s: SparkSession, d: str) -> DataFrame:
+    """G1 through shared chunks: suppliers of one order are two edges apart."""
+    return graph.neighborhood(_some_suppliers(s, d), si.relations(s, d), si.mentions(s, d), 2, 50).select("start", "child_id", _r("score").alias("score"), "rank")
+
+
+def _paths(s: SparkSession, d: str) -> DataFrame:
+    """From the stated suppliers to every nation, over relations and mentions."""
+    nations = table(s, d, "nation").select(F.concat(F.lit("e:N"), F.col("n_nationkey").cast("string")).alias("dst"))
+    pairs = _some_suppliers(s, d).select(F.concat(F.lit("e:"), "start").alias("src")).crossJoin(nations)
+    return graph.paths(pairs, graph.bipartite(si.relations(s, d), si.mentions(s, d)), 4)
+
+
+@query
+def graph_path_nodes(s: SparkSession, d: str) -> DataFrame:
+    """The nodes of the least shortest path."""
+    return _paths(s, d).select("src", "dst", "distance", F.array_join("path", ">").alias("path"))
+
+
+@query
+def graph_path_chunks(s: SparkSession, d: str) -> DataFrame:
+    """The chunks of every entity on the path."""
+    return graph.path_chunks(_paths(s, d), si.mentions(s, d))
+
+
 @query
 def graph_lookup(s: SparkSession, d: str) -> DataFrame:
     """G2."""
