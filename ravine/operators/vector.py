@@ -1,8 +1,8 @@
-"""Vector retrieval: exact scans for batches of queries, and an approximate one by cells."""
+"""Vector retrieval by exact scans for batches of queries; vector_index.py has an approximate one."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravine.functions import vectors as vx
@@ -34,32 +34,3 @@ def nearest(chunks: DataFrame, query: list[float], k: int = 10) -> DataFrame:
     asked = F.array(*(F.lit(float(x)) for x in query))
     scored = chunks.where("embedding is not null").select("child_id", vx.cosine(vx.doubles(F.col("embedding")), asked).alias("similarity"))
     return scored.orderBy(F.desc("similarity"), "child_id").limit(k)
-
-
-def approximate(queries: DataFrame, chunks: DataFrame, k: int = 10, cells: int = 32, probes: int = 20, sample_rows: int = 16384) -> DataFrame:
-    """V8: like similar(), but only for pairs that meet in a cell: an inverted file over k-means cells of unit vectors.
-
-    The cells are fitted on a sample of about sample_rows vectors; every vector is put into its
-    nearest cell, and a query visits the `probes` nearest ones, which holds 95% of the exact
-    results on vectors without clusters and more on others. More cells for larger tables keep a
-    cell's share small.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    held = unit(chunks).select("child_id", "embedding")
-    asked = unit(queries).select("query_id", F.col("embedding").alias("asked"))
-    rows = held.count()
-    if not rows:
-        return top(held.join(asked, F.lit(False)).select("query_id", "child_id", F.lit(0.0).alias("similarity")), "similarity", k)
-    sample = held.where(F.pmod(F.xxhash64("child_id"), F.lit(1 << 30)) < F.lit(min(1.0, sample_rows / rows)) * (1 << 30))
-    model = KMeans(featuresCol="v", k=cells, seed=11, maxIter=10).fit(sample.select(array_to_vector("embedding").alias("v")))
-    centres = F.array(*(F.array(*(F.lit(float(x)) for x in c)) for c in model.clusterCenters()))
-
-    def near(v: Column, n: int) -> Column:
-        far = F.transform(centres, lambda c, i: F.struct(F.aggregate(F.zip_with(v, c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x).alias("d"), i.alias("cell")))
-        return F.transform(F.slice(F.array_sort(far), 1, n), lambda s: s["cell"])
-
-    placed = held.withColumn("cell", F.explode(near(F.col("embedding"), 1)))
-    met = placed.join(asked.withColumn("cell", F.explode(near(F.col("asked"), probes))), "cell")
-    return top(met.select("query_id", "child_id", vx.dot(F.col("asked"), F.col("embedding")).alias("similarity")), "similarity", k)

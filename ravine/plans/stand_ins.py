@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravine.operators.index import LexicalIndex
+from ravine.operators.vector_index import VectorIndex
 from ravine.sources.tables import table
 from ravine.sources.versions import fingerprint, shared_folder
 
@@ -20,13 +21,21 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lexical_index(spark: SparkSession, d: str) -> LexicalIndex:
-    """The stored index of the chunks; built when it is first asked for, and again when the documents' files change."""
+    """The stored index of the chunks; built when it is first asked for, and again when the documents' files change (the number is that of the format)."""
     print_ = fingerprint(spark, f"{d}/documents.parquet")
-    index = LexicalIndex(spark, f"{shared_folder(spark)}/lexical-{print_}")
+    index = LexicalIndex(spark, f"{shared_folder(spark)}/lexical-1-{print_}")
     index.add(chunks(spark, d), print_, by=["collection"])
     return index
 
 
+def vector_index(spark: SparkSession, d: str) -> VectorIndex:
+    """The stored index of the vectors; built when it is first asked for, and again when their files change."""
+    print_ = fingerprint(spark, f"{d}/embeddings.parquet")
+    index = VectorIndex(spark, f"{shared_folder(spark)}/vectors-1-{print_}")
+    index.add(vectors(spark, d), print_)
+    return index
+
+
 def vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("child_id"), "embedding", "label")
 

@@ -82,15 +82,6 @@ def test_graph_answers(spark):
     assert [r.path for r in x["paths"].collect()] == [["a", "b"]]
 
 
-def test_the_cells_find_nine_of_ten(spark):
-    d = "/root/testdata/sf0.01"
-    asked, held = si.asked_vectors(spark, d), si.vectors(spark, d)
-    exact = {(r.query_id, r.child_id) for r in vector.similar(asked, held, 10).collect()}
-    got = {(r.query_id, r.child_id) for r in vector.approximate(asked, held, 10).collect()}
-    assert len(got & exact) >= 0.9 * len(exact)
-    assert vector.approximate(asked, held.where("false"), 10).count() == 0
-
-
 def test_fan_out_keeps_the_first(spark):
     events = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(400)], "event_id int, channel string")
     subs = spark.createDataFrame([("x", "a"), ("y", "all"), ("z", "a"), ("z", "all"), ("w", "none")], "subscriber string, channel string")
