@@ -17,21 +17,27 @@ from ravine.operators.lexical import top
 _KEY = ["query_id", "child_id"]
 
 
-def fuse(channels: dict[str, DataFrame], weights: dict[str, float] | None = None, k: int = fixed.RRF_K) -> DataFrame:
+def fuse(channels: dict[str, DataFrame], weights: dict[str, float] | None = None, k: int = fixed.RRF_K, plans: DataFrame | None = None) -> DataFrame:
     """weighted reciprocal ranks. A channel without a row of a chunk adds nothing.
 
     One row for each query and chunk: rrf_score, and by channel its rank and score (null where
-    it has none), and sources, the channels in name order.
+    it has none), and sources, the channels in name order. plans (query_id, weights map) weigh each
+    query's channels on their own; what a plan leaves out weighs as in `weights`, or 1.
     """
     weights = weights or {}
     union = None
     for name, c in channels.items():
-        part = c.select(*_KEY, F.lit(name).alias("channel"), F.col("rank").cast("int").alias("rank"), F.col("score").cast("double").alias("score"), F.lit(float(weights.get(name, 1.0))).alias("weight"))
+        part = c.select(*_KEY, F.lit(name).alias("channel"), F.col("rank").cast("int").alias("rank"), F.col("score").cast("double").alias("score"))
         union = part if union is None else union.unionByName(part)
     own = [F.max(F.when(F.col("channel") == n, F.col(c))).alias(f"{n}_{c}") for n in channels for c in ("rank", "score")]
     out = union.groupBy(*_KEY).agg(*own, F.sort_array(F.collect_set("channel")).alias("sources"))
-    parts = [F.coalesce(F.lit(float(weights.get(n, 1.0))) / (k + F.col(f"{n}_rank")), F.lit(0.0)) for n in channels]
-    return out.withColumn("rrf_score", sum(parts[1:], parts[0]))
+    default = {n: F.lit(float(weights.get(n, 1.0))) for n in channels}
+    weight = default
+    if plans is not None:
+        out = out.join(plans.select("query_id", F.col("weights").alias("_weights")), "query_id", "left")
+        weight = {n: F.coalesce(F.try_element_at("_weights", F.lit(n)), default[n]) for n in channels}
+    parts = [F.coalesce(weight[n] / (k + F.col(f"{n}_rank")), F.lit(0.0)) for n in channels]
+    return out.withColumn("rrf_score", sum(parts[1:], parts[0])).drop("_weights")
 
 
 def fuse_outer(a: DataFrame, b: DataFrame, weight_a: float, weight_b: float, k: int = fixed.RRF_K) -> DataFrame:
@@ -75,12 +81,13 @@ def min_max(rows: DataFrame, score: str, by: str = "query_id") -> DataFrame:
     return ends.withColumn("normalized", value).drop("_low", "_high")
 
 
-def lightweight_score(question: Column, content: Column, rrf: Column, similarity: Column, table: Column) -> Column:
+def lightweight_score(question: Column, content: Column | None, rrf: Column, similarity: Column, table: Column, words: Column | None = None) -> Column:
     """F8: half the fused score, 0.3 of the similarity, 0.2 of the share of question words in the content.
 
-    A table counts 1.2 times for a question with a data word.
+    A table counts 1.2 times for a question with a data word. words: the content's different
+    words, where they are at hand.
     """
-    asked, held = F.array_distinct(tx.words(question)), F.array_distinct(tx.words(content))
+    asked, held = F.array_distinct(tx.words(question)), F.array_distinct(tx.words(content)) if words is None else words
     overlap = F.size(F.array_intersect(asked, held)) / F.greatest(F.size(asked), F.lit(1))
     score = rrf * 0.5 + similarity * 0.3 + overlap * 0.2
     data = F.arrays_overlap(asked, F.array(*map(F.lit, fixed.DATA_WORDS)))

@@ -103,23 +103,22 @@ def related(entities: DataFrame, relations: DataFrame, name: str, relation_type:
     return other.join(entities.select("entity_id", "name"), "entity_id").select("entity_id", "name", "relation_type")
 
 
-def _named(keywords: DataFrame, entities: DataFrame, limit: int) -> DataFrame:
+def _named(keywords: DataFrame, entities: DataFrame, limit: int, index: DataFrame | None) -> DataFrame:
     """(query_id, word, place, n, entity_id): entities whose name holds one of a query's keywords; n keywords in all."""
     asked = keywords.select("query_id", F.size("keywords").alias("n"), F.posexplode("keywords").alias("place", "word"))
-    pairs = containing(asked.select(F.col("word").alias("keyword")), entities, limit)
-    names = split_join(pairs.withColumnRenamed("keyword", "word"), entities.select("name", "entity_id"), "name", limit)
-    return split_join(asked, names.select("word", "entity_id"), "word", limit)
+    pairs = containing(asked.select(F.col("word").alias("keyword")), entities, limit, index).withColumnRenamed("keyword", "word")
+    return asked.join(pairs.join(entities.select("name", "entity_id"), "name"), "word").drop("name")
 
 
-def by_keywords(keywords: DataFrame, entities: DataFrame, mentions: DataFrame, k: int = 50, limit: int = LIMIT) -> DataFrame:
+def by_keywords(keywords: DataFrame, entities: DataFrame, mentions: DataFrame, k: int = 50, limit: int = LIMIT, index: DataFrame | None = None) -> DataFrame:
     """By query, chunks by the number of different entities that they mention and whose name holds a keyword.
 
     keywords (query_id, keywords array). The score is that number over the number of keywords. An
     entity counts once for a query, however many keywords name it, so matches are sums that
-    Spark combines before the shuffle.
+    Spark combines before the shuffle. index is grams.posted() of the names, where it is stored.
     """
-    hits = _named(keywords, entities, limit).groupBy("query_id", "entity_id").agg(F.first("n").alias("n"))
-    met = split_join(hits, mentions.select("entity_id", "child_id").distinct(), "entity_id", limit)
+    hits = _named(keywords, entities, limit, index).groupBy("query_id", "entity_id").agg(F.first("n").alias("n"))
+    met = hits.join(mentions.select("entity_id", "child_id").distinct(), "entity_id")
     counted = met.groupBy("query_id", "child_id").agg(F.count("*").alias("matches"), F.first("n").alias("n"))
     order = Window.partitionBy("query_id").orderBy(F.desc("matches"), "child_id")
     return counted.withColumn("score", F.col("matches") / F.col("n")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -163,7 +162,7 @@ def from_keywords(keywords: DataFrame, entities: DataFrame, relations: DataFrame
     A query's first five keywords are asked for; at most max(k // keywords, 1) entities whose name
     holds each of them, by id; chunks by the number of their entities.
     """
-    named = _named(keywords, entities, limit).where("place < 5")
+    named = _named(keywords, entities, limit, None).where("place < 5")
     order = Window.partitionBy("query_id", "place").orderBy("entity_id")
     most = F.greatest(F.floor(F.lit(k) / F.greatest("n", F.lit(1))), F.lit(1))
     found = named.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).select("query_id", "entity_id").distinct()

@@ -33,6 +33,8 @@ from ravine.sources.versions import Versioned, stored
 
 #: Chunks of a range. Smaller ranges have tighter bounds and more blocks.
 RANGE = 128
+#: Ranges from which on a search looks for a threshold first.
+PRUNE_FROM = 256
 #: Queries that one task scores a range for.
 QUERIES = 1024
 #: A term that no text has: its blocks hold all chunks of a range.
@@ -113,10 +115,9 @@ class LexicalIndex:
     def _every(self) -> DataFrame:
         return self.table.of_key(F.lit(EVERY)).where(F.col("term") == EVERY)
 
-    def figures(self) -> tuple[int, int]:
-        """(chunks, terms in all) of the indexed chunks that have a term."""
-        found = self._every().agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("all_lengths"), F.lit(0))).first()
-        return found[0], found[1]
+    def figures(self) -> tuple[int, int, int]:
+        """(chunks, terms in all, ranges) of the indexed chunks that have a term."""
+        return tuple(self._every().agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("all_lengths"), F.lit(0)), F.count("*")).first())
 
     def ids(self) -> DataFrame:
         """child_id of every chunk in the index."""
@@ -160,17 +161,18 @@ class LexicalIndex:
         whole = starts.groupBy("query_id", "child_id", "n", "_start").agg(F.count("*").alias("_has")).where("_has = n")
         return whole.groupBy("query_id", "child_id").agg(F.count("*").alias("tf"))
 
-    def bm25(self, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, places: int = 6, seeds: int = 2) -> DataFrame:
+    def bm25(self, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, places: int = 6, seeds: int = 2, prune: bool | None = None) -> DataFrame:
         """The k best chunks of each query (query_id, text) by BM25, with score and rank; ties by child_id.
 
         Scores are rounded to `places` before they are ranked. seeds: ranges of each query that
-        are scored first. The result is the same as without pruning.
+        are scored first. The result is the same without pruning, which pays once there are
+        PRUNE_FROM ranges: in fewer, the seeds are a large part of the work.
         """
-        return self._search(queries, k, k1, b, places, seeds)[2]
+        return self._search(queries, k, k1, b, places, seeds, prune)[2]
 
-    def _search(self, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, places: int = 6, seeds: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+    def _search(self, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, places: int = 6, seeds: int = 2, prune: bool | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(ranges with a term of a query and their bounds, those of them that are opened, bm25()'s result)."""
-        chunks, length = self.figures()
+        chunks, length, ranges = self.figures()
         if not chunks:
             none = top(queries.select("query_id", F.lit(0).cast("long").alias("child_id"), F.lit(0.0).alias("score")).where("false"), "score", k)
             return none, none, none
@@ -196,6 +198,8 @@ class LexicalIndex:
             rows = self.blocks().select("term", "range", "ids", "tfs", "lengths").join(asked, ["term", "range"])
             return rows.groupBy("_group", "range").applyInArrow(_scored(k, k1, b, mean, places, to_arrow_schema(schema)), schema)
 
+        if not (ranges >= PRUNE_FROM if prune is None else prune):
+            return bounds, bounds, top(score(bounds.select("query_id", "range")), "score", k).select("query_id", "child_id", "score", "rank")
         first = score(top(bounds, "bound", seeds, tie="range").select("query_id", "range"))
         kth = top(first, "score", k).groupBy("query_id").agg(F.count("*").alias("_n"), F.min("score").alias("_kth")).where(F.col("_n") == k)
         # a score that rounds to the k-th one may win by its id, and sums differ in their last digits

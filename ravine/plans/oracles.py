@@ -156,9 +156,11 @@ u AS {UNIT.format("embedding::DOUBLE[]")},
 sp AS (SELECT q.vec_id AS query_id, v.vec_id AS child_id, list_inner_product(q.e, v.e) AS sim FROM u q JOIN benchmark ON item_id = q.vec_id, u v),
 sr AS (SELECT query_id, child_id, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, child_id) AS rank, round(sim, 6) AS score FROM sp),
 sem AS (SELECT * FROM sr WHERE rank <= 50),
-kp AS (SELECT query_id, child_id // 5 AS parent_id, min(rank) AS r FROM lex WHERE rank <= 5 GROUP BY 1, 2),
-kr AS (SELECT query_id, doc_id AS child_id, row_number() OVER (PARTITION BY query_id ORDER BY 1::DOUBLE / r DESC, doc_id) AS rank, 1::DOUBLE / r AS score FROM kp JOIN documents ON doc_id // 5 = parent_id),
-kin AS (SELECT * FROM kr WHERE rank <= 20)"""
+kw AS (SELECT query_id, string_split(keywords, ' ') AS ks FROM ({ORACLE_SQL["keyword_extract"]}) WHERE keywords <> ''), k1 AS (SELECT query_id, len(ks) AS n, unnest(ks) AS word FROM kw),
+te AS (SELECT term FROM p WHERE length(term) >= 8 GROUP BY term HAVING count(*) BETWEEN 2 AND 10),
+kt AS (SELECT DISTINCT query_id, n, term FROM k1 JOIN te ON contains(term, lower(word))),
+kr AS (SELECT query_id, doc_id AS child_id, count(*) AS m, any_value(n) AS n, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, doc_id) AS rank FROM kt JOIN p USING (term) GROUP BY 1, 2),
+kin AS (SELECT query_id, child_id, rank, round(m / n, 6) AS score FROM kr WHERE rank <= 20)"""
 _FUSED = f"""{_CHANNELS}, fu AS (SELECT coalesce(a.query_id, b.query_id, c.query_id) AS query_id, coalesce(a.child_id, b.child_id, c.child_id) AS child_id,
   a.rank AS lr, b.rank AS sr, c.rank AS gr, a.score AS ls, b.score AS ss, c.score AS gs,
   coalesce(0.7::DOUBLE / (60 + a.rank), 0) + coalesce(0.8::DOUBLE / (60 + b.rank), 0) + coalesce(1.0::DOUBLE / (60 + c.rank), 0) AS rrf
@@ -204,7 +206,45 @@ WITH {_MATCHED} SELECT doc_id // 5 AS parent_id, count(*) AS children, sum(lengt
 WHERE doc_id // 5 IN (SELECT doc_id // 5 FROM m) GROUP BY 1"""
 ORACLE_SQL["parent_with_children"] = """
 SELECT o_orderkey, parts FROM orders LEFT JOIN (SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) AS parts FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey"""
-ORACLE_SQL["hybrid_retrieve"] = f"WITH {_RERANKED} SELECT query_id, child_id, rel.parent_id, rank, score, lang AS collection, children, tokens FROM rel LEFT JOIN par USING (parent_id)"
+_PLANNED = f"""{_CHANNELS}, gq AS (SELECT item_id, {_any("lower(text)", fixed.GRAPH_HINTS)} AS g FROM benchmark),
+gk AS (SELECT kin.* FROM kin JOIN gq ON item_id = query_id WHERE g),
+fq AS (SELECT query_id, child_id, max(lr) AS lr, max(sr) AS sr, max(gr) AS gr, max(ss) AS ss FROM (
+  SELECT query_id, child_id, rank AS lr, NULL AS sr, NULL AS gr, NULL AS ss FROM lex UNION ALL SELECT query_id, child_id, NULL, rank, NULL, score FROM sem
+  UNION ALL SELECT query_id, child_id, NULL, NULL, rank, NULL FROM gk) GROUP BY 1, 2),
+fw AS (SELECT fq.*, round(coalesce(0.7::DOUBLE / (60 + lr), 0) + coalesce(0.8::DOUBLE / (60 + sr), 0) + coalesce(CASE WHEN g THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END / (60 + gr), 0), 9) AS r9
+  FROM fq JOIN gq ON item_id = query_id),
+t20 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r9 DESC, child_id) AS n FROM fw) WHERE n <= 20),
+par AS (SELECT doc_id // 5 AS parent_id, string_agg(text, chr(10) ORDER BY doc_id) AS text, count(*) AS children, sum(length(text) // 4)::BIGINT AS tokens FROM documents GROUP BY 1),
+tw AS (SELECT t20.*, par.parent_id, par.text, children, tokens, list_distinct({WORDS.format("q.text")}) AS qw, list_distinct({WORDS.format("par.text")}) AS dw
+  FROM t20 JOIN par ON child_id // 5 = par.parent_id JOIN benchmark q ON item_id = query_id),
+sc AS (SELECT *, r9 * 0.5::DOUBLE + coalesce(ss, 0) * 0.3::DOUBLE + len(list_intersect(qw, dw))::DOUBLE / greatest(len(qw), 1) * 0.2::DOUBLE AS s,
+  regexp_matches(text, '\\|[^\\n]+\\|(\\n|$)') AND len(list_intersect(qw, {_list(fixed.DATA_WORDS)})) > 0 AS boost FROM tw),
+rr AS (SELECT *, round(CASE WHEN boost THEN s * 1.2::DOUBLE ELSE s END, 6) AS score FROM sc),
+mx AS (SELECT query_id, max(score) AS m FROM rr GROUP BY 1),
+rel AS (SELECT * FROM (SELECT rr.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, child_id) AS rank FROM rr JOIN mx USING (query_id) WHERE m >= 0.2 AND score >= 0.6::DOUBLE * m) WHERE rank <= 5)"""
+ORACLE_SQL["hybrid_retrieve"] = f"""
+WITH {_PLANNED} SELECT query_id, child_id, parent_id, rank, score, lr AS lexical_rank, sr AS semantic_rank, gr AS graph_rank, children, tokens FROM rel"""
+ORACLE_SQL["retrieval_status"] = f"""
+WITH {_PLANNED} SELECT item_id AS query_id, m AS max_score, CASE WHEN m IS NULL THEN 'no candidates' WHEN m < 0.2 THEN 'best score under threshold' END AS reason, (m IS NULL OR m < 0.2) AS refused
+FROM benchmark LEFT JOIN mx ON query_id = item_id"""
+
+
+def _hashed(key: str, name: str) -> str:
+    return f"""(WITH t AS (SELECT {key} AS id, md5(unnest({TERMS.format("text")})) AS h FROM {name}),
+v AS (SELECT id, ('0x' || left(h, 8))::BIGINT % 64 AS dim, sum(1 - 2 * (('0x' || substr(h, 9, 1))::BIGINT % 2))::DOUBLE AS x FROM t GROUP BY 1, 2)
+, f AS (SELECT id, dim, (x / sqrt(sum(x * x) OVER (PARTITION BY id)))::FLOAT::DOUBLE AS x FROM v)
+SELECT id, dim, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM f)"""
+
+
+ORACLE_SQL["embedded_topk"] = f"""
+WITH q AS {_hashed("item_id", "benchmark")}, v AS {_hashed("doc_id", "documents")},
+s AS (SELECT q.id AS query_id, v.id AS child_id, round(sum(q.x * v.x), 5) AS similarity FROM q JOIN v USING (dim) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, child_id) AS rank FROM s)
+SELECT query_id, child_id, similarity, rank FROM r WHERE rank <= 5"""
+ORACLE_SQL["scored_candidates"] = f"""
+WITH {_BM25}, cq AS (SELECT br.query_id, child_id, list_distinct({WORDS.format("q.text")}) AS qw, list_distinct({WORDS.format("d.text")}) AS dw
+  FROM br JOIN documents d ON doc_id = child_id JOIN benchmark q ON item_id = query_id WHERE rank <= 10)
+SELECT query_id, child_id, round(len(list_intersect(qw, dw))::DOUBLE / greatest(len(qw), 1), 6) AS rerank_score FROM cq"""
 ORACLE_SQL["retrieval_context"] = f"""
 WITH {_RERANKED}, x AS (SELECT query_id, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS c FROM rel GROUP BY 1)
 SELECT query_id, md5(c) AS context_md5, length(c) AS chars FROM x"""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ravine.functions import fixed
 from ravine.functions import text as tx
 from ravine.functions import vectors as vx
-from ravine.operators import chunking, fusion, graph, ingest, kpi, lexical, relational, tenancy, vector
+from ravine.operators import boundaries, chunking, fusion, graph, ingest, kpi, lexical, relational, retrieve, tenancy, vector
 from ravine.plans import stand_ins as si
 from ravine.sources import files, leads
 from ravine.sources.tables import deleted, table, updated, upserted
@@ -273,18 +273,18 @@ def ilike_or_search(s: SparkSession, d: str) -> DataFrame:
 def _channels(s: SparkSession, d: str, k: int = 50) -> dict[str, DataFrame]:
     """Lexical (BM25), semantic and graph candidates of the benchmark's queries.
 
-    A query's vector is that of the document with its id; graph candidates are the documents of
-    the query's best lexical parents.
+    A query's vector is that of the document with its id. Graph candidates mention entities whose
+    names hold a keyword of the query.
     """
     asked = si.questions(s, d)
     lex = si.lexical_index(s, d).bm25(asked, k).select("query_id", "child_id", "rank", "score")
     v = si.vectors(s, d)
     q = asked.join(v, F.col("query_id") == F.col("child_id")).select("query_id", "embedding")
     sem = vector.similar(q, v, k).withColumn("score", _r("similarity")).select("query_id", "child_id", "rank", "score")
-    near = lex.where("rank <= 5").select("query_id", F.expr("child_id div 5").alias("parent_id"), "rank")
-    kin = near.groupBy("query_id", "parent_id").agg(F.min("rank").alias("rank")).join(si.chunks(s, d).select("child_id", "parent_id"), "parent_id")
-    kin = lexical.top(kin.withColumn("score", 1 / F.col("rank")), "score", 20).select("query_id", "child_id", "rank", "score")
-    return {"lexical": lex, "semantic": sem, "graph": kin}
+    keywords = asked.select("query_id", tx.keywords(F.col("text")).alias("keywords"))
+    entities, mentions, names = si.text_graph(s, d)
+    met = graph.by_keywords(keywords, entities, mentions, 20, index=names).select("query_id", "child_id", "rank", _r("score").alias("score"))
+    return {"lexical": lex, "semantic": sem, "graph": met}
 
 
 def _fused(s: SparkSession, d: str) -> DataFrame:
@@ -382,11 +382,41 @@ def parent_with_children(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "parts")
 
 
+def _retrieved(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Retrieval as planned for each question, over parents of five chunks in order."""
+    asked, held = si.questions(s, d), si.chunks(s, d)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("child_id", "text"))), lambda x: x["text"])
+    parents = held.groupBy("parent_id").agg(F.array_join(ordered, "\n").alias("text"), F.count("*").alias("children"), F.sum(tx.token_estimate(F.col("text"))).alias("tokens"))
+    return retrieve.retrieve(asked, retrieve.planned(asked), _channels(s, d), held, parents, retrieve.Limits(refuse_under=0.2))
+
+
 @query
 def hybrid_retrieve(s: SparkSession, d: str) -> DataFrame:
-    """The flagship: three channels, fused, safe, denoised, reranked, with parents, five for each query."""
-    rows = fusion.relative(_reranked(s, d), "score", 0.2, 0.6, 5)
-    return fusion.expand_parents(rows.select("query_id", "child_id", "parent_id", "rank", "score", "collection"), _parents(s, d))
+    """The flagship: plans, three channels, the graph's only where a plan asks for it, fused by the plan's weights, reranked on parents, denoised."""
+    return _retrieved(s, d)[0]
+
+
+@query
+def retrieval_status(s: SparkSession, d: str) -> DataFrame:
+    """Every question's best score, and whether it is refused."""
+    return _retrieved(s, d)[1].select("query_id", "max_score", "reason", "refused")
+
+
+@query
+def embedded_topk(s: SparkSession, d: str) -> DataFrame:
+    """V9: questions and chunks through the embedder, and the five most similar; no vectors are given."""
+    embed = boundaries.hashing_embedder(64)
+    held = boundaries.embedded(si.chunks(s, d), embed).select("child_id", "embedding")
+    asked = boundaries.embedded(si.questions(s, d), embed, "query_id").select("query_id", "embedding")
+    return lexical.top(vector.similar(asked, held, 20).withColumn("similarity", _r("similarity", 5)), "similarity", 5).select("query_id", "child_id", "similarity", "rank")
+
+
+@query
+def scored_candidates(s: SparkSession, d: str) -> DataFrame:
+    """the ten best lexical candidates of each question by a scorer in the workers."""
+    rows = si.lexical_index(s, d).bm25(si.questions(s, d), 20).drop("rank").join(si.chunks(s, d).select("child_id", F.col("text").alias("content")), "child_id")
+    rows = rows.join(si.questions(s, d).withColumnRenamed("text", "question"), "query_id")
+    return boundaries.rescored(rows, boundaries.overlap_scorer, "score", 10).select("query_id", "child_id", _r("rerank_score").alias("rerank_score"))
 
 
 @query

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ravine.operators import grams
 from ravine.operators.index import LexicalIndex
 from ravine.operators.vector_index import VectorIndex
 from ravine.sources.tables import table
-from ravine.sources.versions import fingerprint, shared_folder
+from ravine.sources.versions import Versioned, fingerprint, shared_folder
 
 #: The moment that look-backs count from: the end of the orders.
 NOW = "2001-08-01 00:00:00"
@@ -40,6 +41,24 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("child_id"), "embedding", "label")
 
 
+def text_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entities, mentions, grams of the names) of the chunks: terms of eight characters or more that two to ten chunks hold.
+
+    They are tables beside the stored index, and are made anew with it.
+    """
+    print_ = fingerprint(spark, f"{d}/documents.parquet")
+    home = f"{shared_folder(spark)}/graph-1-{print_}"
+    entities, mentions, names = (Versioned(spark, f"{home}/{n}", (key,)) for n, key in (("entities", "entity_id"), ("mentions", "entity_id"), ("grams", "gram")))
+    if not names.committed(print_):
+        blocks = lexical_index(spark, d).blocks().where(F.length("term") >= 8)
+        terms = blocks.groupBy("term").agg(F.sum("n").alias("n")).where("n BETWEEN 2 AND 10").select(F.col("term").alias("entity_id"), F.col("term").alias("name"))
+        entities.append(terms, print_)
+        held = blocks.select(F.col("term").alias("entity_id"), F.explode("ids").alias("child_id"))
+        mentions.append(held.join(entities.read().select("entity_id"), "entity_id", "left_semi"), print_)
+        names.append(grams.posted(entities.read()), print_)
+    return entities.read(), mentions.read(), names.read()
+
+
 def questions(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark items as a batch of queries."""
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
