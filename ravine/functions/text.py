@@ -106,7 +106,7 @@ def table_context(table: Column) -> Column:
     """C14: what a Markdown table is about: its first five columns and its number of rows."""
     lines = F.split(F.trim(table), "\n")
     heads = F.filter(F.transform(F.split(lines[0], "\\|"), lambda x: F.trim(x)), lambda x: x != "")
-    rows = F.size(F.filter(F.slice(lines, 3, 1_000_000), lambda x: F.trim(x) != "")).cast("string")
+    rows = F.size(F.filter(F.slice(lines, 3, F.size(lines)), lambda x: F.trim(x) != "")).cast("string")
     more = F.when(F.size(heads) > 5, F.concat(F.lit(", ... ("), F.size(heads).cast("string"), F.lit(" columns)"))).otherwise("")
     named = F.concat(F.lit("Table with columns: "), F.array_join(F.slice(heads, 1, 5), ", "), more, F.lit(". "), rows, F.lit(" rows."))
     return F.when(F.size(lines) < 2, "Table data").when(F.size(heads) > 0, named).otherwise(
@@ -119,7 +119,7 @@ def rows_to_markdown(rows: Column) -> Column:
     width = F.array_max(F.transform(rows, lambda r: F.size(r)))
     line = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), " | "), F.lit(" |"))
     rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
-    body = F.transform(F.slice(rows, 2, 1_000_000), line)
+    body = F.transform(F.slice(rows, 2, F.size(rows)), line)
     return F.when(F.size(rows) > 0, F.array_join(F.concat(F.array(line(rows[0]), rule), body), "\n")).otherwise("")
 
 

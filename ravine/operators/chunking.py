@@ -61,11 +61,13 @@ _TABLE = re.compile(r"(?:\|[^\n]+\|\n)+")
 def split_keeping_tables(text: str, size: int = 800, overlap: int = 100) -> list[str]:
     """Like split_text(), but no Markdown table is cut: while the text is split, a sign that holds no separator stands for it."""
     tables = _TABLE.findall(text)
-    if not tables or "\ue000" in text:
+    if not tables:
         return split_text(text, size, overlap)
-    number = iter(range(len(tables)))
-    signs = _TABLE.sub(lambda m: f"\ue000{next(number)}\ue001", text)
-    back = lambda c: re.sub("\ue000(\\d+)\ue001", lambda m: tables[int(m[1])], c)
+    number, held = iter(range(len(tables))), set(text)
+    # a private-use character that the text does not hold; 137,000 of them
+    sign = next(c for c in map(chr, [*range(0xE000, 0xF900), *range(0xF0000, 0x10FFFE)]) if c not in held)
+    signs = _TABLE.sub(lambda m: f"{sign}{next(number)}{sign}", text)
+    back = lambda c: re.sub(f"{sign}(\\d+){sign}", lambda m: tables[int(m[1])], c)
     return [back(c) for c in split_text(signs, size, overlap)]
 
 

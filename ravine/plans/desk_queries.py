@@ -600,7 +600,7 @@ ORACLE_SQL["truncate_if_longer"] = "SELECT vec_id AS child_id, 1.0::DOUBLE AS cu
 
 @query
 def fallback_scan(s: SparkSession, d: str) -> DataFrame:
-    """V5: inner products without normalisation, over all rows."""
+    """V5: inner products without normalisation, over all rows of the query's own collection (label)."""
     asked = si.asked_vectors(s, d).select("query_id", "label", vx.doubles(F.col("embedding")).alias("asked"))
     met = si.vectors(s, d).join(asked, "label").select("query_id", "child_id", _r(vx.dot(F.col("asked"), vx.doubles(F.col("embedding")))).alias("score"))
     return lexical.top(met, "score", 5)

@@ -157,7 +157,7 @@ sp AS (SELECT q.vec_id AS query_id, v.vec_id AS child_id, list_inner_product(q.e
 sr AS (SELECT query_id, child_id, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, child_id) AS rank, round(sim, 6) AS score FROM sp),
 sem AS (SELECT * FROM sr WHERE rank <= 50),
 kw AS (SELECT query_id, string_split(keywords, ' ') AS ks FROM ({ORACLE_SQL["keyword_extract"]}) WHERE keywords <> ''), k1 AS (SELECT query_id, len(ks) AS n, unnest(ks) AS word FROM kw),
-te AS (SELECT term FROM p WHERE length(term) >= 8 GROUP BY term HAVING count(*) BETWEEN 2 AND 10),
+te AS (SELECT term FROM p WHERE length(term) >= 12 GROUP BY term HAVING count(*) BETWEEN 2 AND 10),
 kt AS (SELECT DISTINCT query_id, n, term FROM k1 JOIN te ON contains(term, lower(word))),
 kr AS (SELECT query_id, doc_id AS child_id, count(*) AS m, any_value(n) AS n, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, doc_id) AS rank FROM kt JOIN p USING (term) GROUP BY 1, 2),
 kin AS (SELECT query_id, child_id, rank, round(m / n, 6) AS score FROM kr WHERE rank <= 20)"""
@@ -400,3 +400,6 @@ WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM g)
 SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS events FROM s GROUP BY user_id, n"""
 ORACLE_SQL["stream_kpis"] = "SELECT epoch(date_trunc('day', ts))::BIGINT AS start_s, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
+ORACLE_SQL["committed_customers"] = ORACLE_SQL["upsert_customers"]
+ORACLE_SQL["ingest_status_commits"] = """
+SELECT source, CASE WHEN coalesce(length(trim(text)), 0) > 0 THEN 'completed' ELSE 'failed' END AS status, count(*) AS n FROM documents GROUP BY 1, 2"""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from uuid import uuid4
 
@@ -16,6 +15,7 @@ from ravine.operators import boundaries, chunking, fusion, graph, ingest, kpi, l
 from ravine.plans import stand_ins as si
 from ravine.sources import files, leads
 from ravine.sources.tables import deleted, table, updated, upserted
+from ravine.sources.versions import Versioned, fingerprint, shared_folder
 from ravine.streaming import events as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -797,14 +797,40 @@ def event_sessions(s: SparkSession, d: str) -> DataFrame:
     return out.select("user_id", F.unix_micros("start").alias("start_us"), "events")
 
 
+def _home(s: SparkSession, name: str) -> str:
+    return f"{shared_folder(s)}/{name}-{uuid4().hex}"
+
+
+@query
+def committed_customers(s: SparkSession, d: str) -> DataFrame:
+    """S15 by commits: as upsert_customers, each change one commit that a rerun does not repeat."""
+    c = table(s, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    t = Versioned(s, f"{shared_folder(s)}/customers-1-{fingerprint(s, f'{d}/customer.parquet')}", ("c_custkey",))
+    t.upsert(c, "load")
+    t.upsert(c.where("c_mktsegment = 'BUILDING'").withColumn("c_acctbal", F.lit(0.0)), "building")
+    t.delete(c.where("c_mktsegment = 'FURNITURE'").select("c_custkey"), "furniture")
+    t.change(c.select("c_custkey"), {"c_acctbal": F.lit(-1.0)}, "negative", where=F.col("c_acctbal") < 0)
+    return t.read()
+
+
+@query
+def ingest_status_commits(s: SparkSession, d: str) -> DataFrame:
+    """Documents from pending to processing to completed or failed, each step a commit; empty ones fail."""
+    docs = table(s, d, "documents").select("doc_id", "source", (F.coalesce(F.length(F.trim("text")), F.lit(0)) > 0).alias("usable"))
+    docs = docs.dropDuplicates(["doc_id"])
+    t = Versioned(s, f"{shared_folder(s)}/statuses-1-{fingerprint(s, f'{d}/documents.parquet')}", ("doc_id",))
+    t.upsert(docs.select("doc_id", "source", F.lit("pending").alias("status")), "register")
+    t.change(docs.select("doc_id"), {"status": F.lit("processing")}, "start", where=F.col("status") == "pending")
+    t.change(docs.where("usable").select("doc_id"), {"status": F.lit("completed")}, "finish", where=F.col("status") == "processing")
+    t.change(docs.where("not usable").select("doc_id"), {"status": F.lit("failed")}, "fail", where=F.col("status") == "processing")
+    return t.read().groupBy("source", "status").agg(F.count("*").alias("n"))
+
+
 @query
 def stream_kpis(s: SparkSession, d: str) -> DataFrame:
     """KPIs by day, computed by a stream over the events' file and collected in a table."""
     events = s.readStream.schema(s.read.parquet(f"{d}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(d)
     daily = streams.windowed(events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 day", "value", by=["event_type"])
-    named = s.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not named and not s.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    home = f"{named or tempfile.mkdtemp(prefix='spark-stream-')}/kpis-{uuid4().hex}"
+    home = _home(s, "kpis")
     streams.drained(daily, lambda batch, _: batch.write.mode("overwrite").parquet(f"{home}/table"), f"{home}/checkpoint", "complete")
     return s.read.schema(daily.schema).parquet(f"{home}/table").select(F.unix_timestamp("start").alias("start_s"), "event_type", "events", _r("total", 4).alias("total"))

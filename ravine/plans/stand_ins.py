@@ -42,15 +42,15 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(entities, mentions, grams of the names) of the chunks: terms of eight characters or more that two to ten chunks hold.
+    """(entities, mentions, grams of the names) of the chunks: terms of twelve characters or more that two to ten chunks hold.
 
     They are tables beside the stored index, and are made anew with it.
     """
     print_ = fingerprint(spark, f"{d}/documents.parquet")
-    home = f"{shared_folder(spark)}/graph-1-{print_}"
+    home = f"{shared_folder(spark)}/graph-2-{print_}"
     entities, mentions, names = (Versioned(spark, f"{home}/{n}", (key,)) for n, key in (("entities", "entity_id"), ("mentions", "entity_id"), ("grams", "gram")))
     if not names.committed(print_):
-        blocks = lexical_index(spark, d).blocks().where(F.length("term") >= 8)
+        blocks = lexical_index(spark, d).blocks().where(F.length("term") >= 12)
         terms = blocks.groupBy("term").agg(F.sum("n").alias("n")).where("n BETWEEN 2 AND 10").select(F.col("term").alias("entity_id"), F.col("term").alias("name"))
         entities.append(terms, print_)
         held = blocks.select(F.col("term").alias("entity_id"), F.explode("ids").alias("child_id"))
