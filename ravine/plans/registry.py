@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ravine.plans import desk_queries  # noqa: F401  (registers its queries and SQL)
+from ravine.plans import desk_queries, signal_queries  # noqa: F401  (register their queries and SQL)
 from ravine.plans.oracles import ORACLE_SQL
 from ravine.plans.queries import QUERIES
 
