@@ -261,23 +261,3 @@ def regroup(chunks: DataFrame, size: int = 5) -> DataFrame:
     numbered = chunks.withColumn("parent_index", F.floor((F.row_number().over(order) - 1) / size).cast("long"))
     texts = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"])
     return numbered.groupBy("document", "parent_index").agg(F.array_join(texts, "\n\n").alias("text"))
-
-
-def tile_grid(width: int, height: int, size: int = 1024, overlap: int = 128, most: int = 12) -> list[tuple[int, int, int, int]]:
-    """Tiles of an image; larger ones if there would be more than `most`, the last of a row at the edge."""
-    across = lambda span, s: max(1, -(-max(span - overlap, 1) // (s - overlap)))
-    n = across(width, size) * across(height, size)
-    size = int(size * (n / most) ** 0.5) if n > most else size
-    edges = lambda span: dict.fromkeys(max(0, min(i * (size - overlap), span - size)) for i in range(across(span, size)))
-    return [(x, y, min(x + size, width), min(y + size, height)) for y in edges(height) for x in edges(width)]
-
-
-def merge_lines(texts: list[str], least: float = 0.85, back: int = 10) -> str:
-    """Lines of overlapping texts in order, without those like one of the last `back` lines."""
-    from difflib import SequenceMatcher
-
-    out: list[str] = []
-    for line in (x.strip() for t in texts for x in t.split("\n")):
-        if line and not any(SequenceMatcher(None, line.lower(), o.lower()).ratio() >= least for o in out[-back:]):
-            out.append(line)
-    return "\n".join(out)

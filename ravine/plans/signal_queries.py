@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravine.operators import alerts
+from ravine.operators import alerts, scans
 from ravine.plans import stand_ins as si
 from ravine.plans.oracles import ORACLE_SQL
 from ravine.plans.queries import query
+from ravine.sources.tables import table
 
 #: Windows of the queries: events are rarer than a monitor's samples.
 WINDOW, EVERY, HOLD = 6 * 3_600_000, 30 * 60_000, 2 * 3_600_000
@@ -59,3 +60,79 @@ WITH {_RATES}, rules(alert, event_type, most, hold_ms) AS (VALUES {_RULES}),
 n AS (SELECT alert, hold_ms, tick_ms, tick_ms - {EVERY} * row_number() OVER (PARTITION BY alert ORDER BY tick_ms) AS run FROM r JOIN rules USING (event_type) WHERE per_second * 60 > most),
 s AS (SELECT *, min(tick_ms) OVER (PARTITION BY alert, run) AS since_ms FROM n)
 SELECT alert, since_ms, min(tick_ms) FILTER (tick_ms - since_ms >= hold_ms) AS fired_ms, max(tick_ms) AS last_ms, count(*) AS ticks FROM s GROUP BY 1, 2"""
+
+
+_SIZES = "page_id, CAST(100 + length(html) * 7 % 6000 AS INT) AS width, CAST(100 + length(html) * 13 % 9000 AS INT) AS height"
+
+
+@query
+def image_tiles(s: SparkSession, d: str) -> DataFrame:
+    """Tiles of the pages as images, sized by their length, where they are large."""
+    images = table(s, d, "pages").selectExpr(*_SIZES.split(", "))
+    return scans.tiles(images.where(scans.tiled(F.col("width"), F.col("height"))))
+
+
+ORACLE_SQL["image_tiles"] = f"""
+WITH i AS (SELECT {_SIZES} FROM pages), n AS (SELECT *, ceil(width / 896) * ceil(height / 896) AS n FROM i WHERE greatest(width, height) >= 1500),
+s AS (SELECT *, CASE WHEN n > 16 THEN floor(896 * sqrt(n / 16)) ELSE 896 END::INT AS step FROM n),
+r AS (SELECT *, unnest(range(ceil(height / step)::INT)) AS r FROM s), c AS (SELECT *, unnest(range(ceil(width / step)::INT)) AS c FROM r),
+a AS (SELECT *, CASE WHEN c * step + 1024 >= width THEN greatest(0, width - 1024) ELSE c * step END AS x1, CASE WHEN r * step + 1024 >= height THEN greatest(0, height - 1024) ELSE r * step END AS y1 FROM c),
+u AS (SELECT page_id, width, height, x1, y1, min(r * 100 + c) AS o FROM a GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY o) - 1 AS tile FROM u)
+SELECT page_id, width, height, tile, x1, y1, least(x1 + 1024, width) AS x2, least(y1 + 1024, height) AS y2 FROM p WHERE tile < 16"""
+
+
+def tile_readings(s: SparkSession, d: str) -> DataFrame:
+    """(page_id, tile, text, confidence): the lines of each page in at most 16 tiles that share three lines.
+
+    Every second tile misreads `an` and `n,`; confidences go round.
+    """
+    bare = F.regexp_replace("html", r"[\s\p{Z}]+", " ")
+    lines = F.filter(F.transform(F.split(bare, "<[^>]*>"), lambda x: F.trim(x)), lambda x: x != "")
+    pages = table(s, d, "pages").select("page_id", lines.alias("lines")).where("size(lines) > 0").withColumn("step", F.greatest(F.lit(6), F.ceil(F.size("lines") / 16)).cast("int"))
+    cut = pages.select("page_id", "lines", "step", F.explode(F.sequence(F.lit(0), F.ceil(F.size("lines") / F.col("step")).cast("int") - 1)).alias("tile"))
+    text = F.array_join(F.slice("lines", F.col("tile") * F.col("step") + 1, F.col("step") + 3), "\n")
+    wrong = F.replace(F.replace(text, F.lit("an"), F.lit("am")), F.lit("n,"), F.lit("n."))
+    return cut.select("page_id", "tile", F.when(F.col("tile") % 2 == 1, wrong).otherwise(text).alias("text"), F.element_at(F.array(*map(F.lit, (0.875, 0.5, 0.625))), F.col("tile") % 3 + 1).alias("confidence"))
+
+
+@query
+def tile_texts_joined(s: SparkSession, d: str) -> DataFrame:
+    """C23, concat."""
+    return scans.merged(tile_readings(s, d), "page_id", "concat").select("page_id", F.md5("text").alias("text_md5"), F.round("confidence", 6).alias("confidence"), "tiles")
+
+
+ORACLE_SQL["tile_texts_joined"] = r"""
+WITH l AS (SELECT page_id, list_filter(list_transform(string_split_regex(regexp_replace(html, '[\s\p{Z}]+', ' ', 'g'), '<[^>]*>'), lambda x: trim(x)), lambda x: x <> '') AS ls FROM pages),
+s AS (SELECT *, greatest(6, ceil(len(ls) / 16))::INT AS step FROM l WHERE len(ls) > 0), c AS (SELECT *, unnest(range(ceil(len(ls) / step)::INT)) AS tile FROM s),
+t AS (SELECT page_id, tile, array_to_string(ls[tile * step + 1 : tile * step + step + 3], chr(10)) AS text, [0.875::DOUBLE, 0.5, 0.625][tile % 3 + 1] AS confidence FROM c)
+SELECT page_id, md5(string_agg(CASE WHEN tile % 2 = 1 THEN replace(replace(text, 'an', 'am'), 'n,', 'n.') ELSE text END, chr(10) || chr(10) ORDER BY tile)) AS text_md5, round(avg(confidence), 6) AS confidence, count(*) AS tiles
+FROM t GROUP BY 1"""
+
+
+@query
+def tile_texts_without_repeats(s: SparkSession, d: str) -> DataFrame:
+    """C23, fuzzy; no SQL has its measure of similarity."""
+    return scans.merged(tile_readings(s, d), "page_id", "fuzzy")
+
+
+@query
+def tile_texts_by_vote(s: SparkSession, d: str) -> DataFrame:
+    """C23, vote; no SQL has its measure of similarity."""
+    return scans.merged(tile_readings(s, d), "page_id", "vote")
+
+
+@query
+def reading_escalation(s: SparkSession, d: str) -> DataFrame:
+    """Documents as pages, whose readings get better by mode; every ninth reading fails."""
+    modes = F.explode(F.array(*map(F.lit, scans.MODES))).alias("mode")
+    read = table(s, d, "documents").select("doc_id", "n_chars", modes).withColumn("place", F.array_position(F.array(*map(F.lit, scans.MODES)), F.col("mode")))
+    sure = (F.col("n_chars") * 31 % 97 + F.col("place") * 20) / F.lit(200.0)
+    error = F.when((F.col("doc_id") + F.col("place")) % 9 == 0, "timeout")
+    rows = read.select("doc_id", "mode", F.when(error.isNull(), sure).otherwise(0.0).alias("confidence"), F.concat("mode", F.lit(" reading")).alias("text"), error.alias("error"))
+    return scans.escalated(rows, "doc_id").select("doc_id", "mode", F.round("confidence", 6).alias("confidence"), "error", "retry_count")
+
+
+ORACLE_SQL["reading_escalation"] = """
+WITH r AS (SELECT doc_id, m, (doc_id + m) % 9 = 0 AS bad, CASE WHEN (doc_id + m) % 9 = 0 THEN 0 ELSE (n_chars * 31 % 97 + m * 20) / 200.0::DOUBLE END AS c FROM documents, (VALUES (3), (4), (5)) v(m)),
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY NOT bad AND c >= 0.6::DOUBLE DESC, CASE WHEN NOT bad AND c >= 0.6::DOUBLE THEN m ELSE -m END) AS n FROM r)
+SELECT doc_id, ['base', 'large', 'gundam'][m - 2] AS mode, round(c, 6) AS confidence, CASE WHEN bad THEN 'timeout' END AS error, m - 3 AS retry_count FROM p WHERE n = 1"""

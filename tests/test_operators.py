@@ -141,13 +141,6 @@ def test_parents_and_children(spark):
     assert all(text[r.start : r.end] == r.text for r in p)
 
 
-def test_tiles_and_lines():
-    tiles = chunking.tile_grid(3000, 2000)
-    assert max(t[2] for t in tiles) == 3000 and max(t[3] for t in tiles) == 2000 and len(set(tiles)) == len(tiles) <= 12
-    assert chunking.tile_grid(500, 400) == [(0, 0, 500, 400)]
-    assert chunking.merge_lines(["first line\nsecond line", "Second line.\nthird"]) == "first line\nsecond line\nthird"
-
-
 def test_pages_and_headings(spark):
     pages = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(p).alias("page")) for a, b, p in ((0, 10, 1), (10, 20, 2))))
     assert [value(spark, chunking.page_at(pages, F.lit(x))) for x in (0, 10, 15, 99)] == [1, 1, 2, 1]
