@@ -1,11 +1,12 @@
-"""Queries on metrics and on scanned pages, each beside its SQL."""
+"""Queries on metrics, on scanned pages and through table functions of SQL, each beside its SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravine.operators import alerts, scans
+from ravine.operators import alerts, scans, sql_functions
+from ravine.plans import oracles as sql
 from ravine.plans import stand_ins as si
 from ravine.plans.oracles import ORACLE_SQL
 from ravine.plans.queries import query
@@ -136,3 +137,34 @@ ORACLE_SQL["reading_escalation"] = """
 WITH r AS (SELECT doc_id, m, (doc_id + m) % 9 = 0 AS bad, CASE WHEN (doc_id + m) % 9 = 0 THEN 0 ELSE (n_chars * 31 % 97 + m * 20) / 200.0::DOUBLE END AS c FROM documents, (VALUES (3), (4), (5)) v(m)),
 p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY NOT bad AND c >= 0.6::DOUBLE DESC, CASE WHEN NOT bad AND c >= 0.6::DOUBLE THEN m ELSE -m END) AS n FROM r)
 SELECT doc_id, ['base', 'large', 'gundam'][m - 2] AS mode, round(c, 6) AS confidence, CASE WHEN bad THEN 'timeout' END AS error, m - 3 AS retry_count FROM p WHERE n = 1"""
+
+
+def _asked(s: SparkSession, d: str, call: str) -> DataFrame:
+    """Every question answered by a table function."""
+    sql_functions.register(s, si.lexical_index(s, d), si.hashed_vectors(s, d))
+    return s.sql(f"SELECT query_id, a.* FROM {{questions}} q, LATERAL {call} a", questions=si.questions(s, d))
+
+
+@query
+def lexical_search_function(s: SparkSession, d: str) -> DataFrame:
+    """lexical_search() of SQL."""
+    return _asked(s, d, "lexical_search(q.text, 10)")
+
+
+ORACLE_SQL["lexical_search_function"] = f"WITH {sql._BM25} SELECT query_id, child_id, score, rank FROM br WHERE rank <= 10"
+
+
+@query
+def hybrid_search_function(s: SparkSession, d: str) -> DataFrame:
+    """hybrid_search() of SQL."""
+    return _asked(s, d, "hybrid_search(q.text, 20)")
+
+
+ORACLE_SQL["hybrid_search_function"] = f"""
+WITH {sql._BM25}, qv AS {sql._hashed("item_id", "benchmark").replace("::FLOAT::DOUBLE", "")}, dv AS {sql._hashed("doc_id", "documents")},
+near AS (SELECT qv.id AS query_id, dv.id AS child_id, round(sum(qv.x * dv.x), 6) AS score FROM qv JOIN dv USING (dim) GROUP BY 1, 2),
+sr AS (SELECT query_id, child_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, child_id) AS rank FROM near WHERE score <> 0),
+fused AS (SELECT query_id, child_id, l.rank AS lexical_rank, s.rank AS semantic_rank, round(coalesce(0.7::DOUBLE / (60 + l.rank), 0) + coalesce(0.8::DOUBLE / (60 + s.rank), 0), 9) AS score
+  FROM (SELECT * FROM br WHERE rank <= 50) l FULL JOIN (SELECT * FROM sr WHERE rank <= 50) s USING (query_id, child_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, child_id) AS rank FROM fused)
+SELECT query_id, child_id, score, rank, lexical_rank, semantic_rank FROM r WHERE rank <= 20"""

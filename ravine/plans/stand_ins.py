@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravine.operators import grams
+from ravine.operators import boundaries, grams
 from ravine.operators.index import LexicalIndex
 from ravine.operators.vector_index import VectorIndex
 from ravine.sources.tables import table
@@ -37,6 +37,15 @@ def vector_index(spark: SparkSession, d: str) -> VectorIndex:
     return index
 
 
+def hashed_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks' vectors by the feature-hashing embedder, stored under the documents' fingerprint."""
+    print_ = fingerprint(spark, f"{d}/documents.parquet")
+    held = Versioned(spark, f"{shared_folder(spark)}/hashed-1-{print_}", ("child_id",))
+    if not held.committed(print_):
+        held.append(boundaries.embedded(chunks(spark, d), boundaries.hashing_embedder(64)).select("child_id", "embedding"), print_)
+    return held.read()
+
+
 def vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("child_id"), "embedding", "label")
 
