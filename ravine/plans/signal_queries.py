@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from ravine.plans import stand_ins as si
 from ravine.plans.oracles import ORACLE_SQL
 from ravine.plans.queries import query
 from ravine.sources.tables import table
+from ravine.sources.versions import shared_folder
+from ravine.streaming.queues import queued
 
 #: Windows of the queries: events are rarer than a monitor's samples.
 WINDOW, EVERY, HOLD = 6 * 3_600_000, 30 * 60_000, 2 * 3_600_000
@@ -168,3 +172,20 @@ fused AS (SELECT query_id, child_id, l.rank AS lexical_rank, s.rank AS semantic_
   FROM (SELECT * FROM br WHERE rank <= 50) l FULL JOIN (SELECT * FROM sr WHERE rank <= 50) s USING (query_id, child_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, child_id) AS rank FROM fused)
 SELECT query_id, child_id, score, rank, lexical_rank, semantic_rank FROM r WHERE rank <= 20"""
+
+
+@query
+def fanout_stream(s: SparkSession, d: str) -> DataFrame:
+    """T5, T6, as fanout_bounded, with the queues as state of a stream over the events."""
+    schema = table(s, d, "events").schema
+    events = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).select("event_id", F.col("event_type").alias("channel"))
+    first = table(s, d, "events").groupBy("user_id").agg(F.min("event_type").alias("first"))
+    subs = first.select(F.col("user_id").alias("subscriber"), F.when(F.col("user_id") % 50 == 0, "all").otherwise(F.col("first")).alias("channel"))
+    home = f"{shared_folder(s)}/queues-{uuid4().hex}"
+    got = queued(events, subs)
+    stream = got.writeStream.option("checkpointLocation", f"{home}/state").trigger(availableNow=True).format("parquet").start(f"{home}/rows")
+    stream.awaitTermination()
+    return s.read.schema(got.schema).parquet(f"{home}/rows").where("event_id is not null").select("subscriber", "event_id", "place")
+
+
+ORACLE_SQL["fanout_stream"] = ORACLE_SQL["fanout_bounded"]
