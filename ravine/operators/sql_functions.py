@@ -61,9 +61,13 @@ def register(
         f"""
         WITH asked AS (SELECT explode(array_distinct({_TERMS.format("lexical_search.query")})) AS term),
         weights AS (SELECT term, ln(1 + ({chunks} - df + 0.5D) / (df + 0.5D)) AS idf FROM search_terms JOIN asked USING (term)),
-        hits AS (SELECT idf, explode(arrays_zip(ids, tfs, lengths)) AS p FROM search_blocks JOIN weights USING (term)),
-        scored AS (SELECT p.ids AS child_id, round(sum(idf * p.tfs * {k1 + 1}D / (p.tfs + {k1}D * ({1 - b}D + {b}D * p.lengths / {mean!r}D))), {places}) AS score FROM hits GROUP BY p.ids),
-        ranked AS (SELECT child_id, score, row_number() OVER (ORDER BY score DESC, child_id) AS rank FROM scored WHERE score > 0)
+        -- a question meets whole blocks, so its text goes through the shuffle once for a range; ranges give their own best
+        met AS (SELECT range, collect_list(struct(idf, ids, tfs, lengths)) AS blocks FROM search_blocks JOIN weights USING (term) GROUP BY range),
+        opened AS (SELECT range, explode(blocks) AS b FROM met),
+        hits AS (SELECT range, b.idf AS idf, explode(arrays_zip(b.ids, b.tfs, b.lengths)) AS p FROM opened),
+        scored AS (SELECT range, p.ids AS child_id, round(sum(idf * p.tfs * {k1 + 1}D / (p.tfs + {k1}D * ({1 - b}D + {b}D * p.lengths / {mean!r}D))), {places}) AS score FROM hits GROUP BY range, p.ids),
+        near AS (SELECT child_id, score, row_number() OVER (PARTITION BY range ORDER BY score DESC, child_id) AS place FROM scored WHERE score > 0),
+        ranked AS (SELECT child_id, score, row_number() OVER (ORDER BY score DESC, child_id) AS rank FROM near WHERE place <= lexical_search.k)
         SELECT child_id, score, rank FROM ranked WHERE rank <= lexical_search.k""",
     )
     _function(
