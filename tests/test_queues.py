@@ -52,3 +52,16 @@ def test_takes_make_room(spark, tmp_path):
     got = run(spark, tmp_path, subs, 3, takes=True).collect()
     assert sorted((r.event_id, r.place) for r in got if r.event_id is not None) == [(0, 1), (1, 2), (2, 3), (5, 4), (6, 5)]
     assert sorted(r.dropped for r in got if r.dropped is not None) == [2, 5]
+
+
+def test_few_events_reach_the_subscribers(spark, tmp_path):
+    """The shuffle to the subscribers has a channel's first events and a count, not every event for every subscriber."""
+    subs = spark.createDataFrame([(f"s{i}", "a") for i in range(40)], "subscriber string, channel string")
+    add(spark, tmp_path, [(i, "a") for i in range(500)])
+    out = queued(spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in")), subs, None, 5)
+    q = out.writeStream.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).format("parquet").start(str(tmp_path / "out"))
+    assert q.awaitTermination(120)
+    got = spark.read.schema("subscriber string, event_id long, place long, dropped long").parquet(str(tmp_path / "out"))
+    assert got.where("event_id < 5").count() == 200 and got.where("dropped = 495").count() == 40
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.count("MapInPandas") == 2
