@@ -200,3 +200,15 @@ def test_quality(spark):
     got = kpi.ranking_quality(ranked, relevant, 4).first()
     best = 1 + 1 / math.log2(3) + 0.5
     assert math.isclose(got.ndcg, (1 / math.log2(3) + 1 / math.log2(5)) / best) and got.mrr == 0.5 and got.precision == 0.5 and math.isclose(got.recall, 2 / 3)
+
+
+def test_cover_density_places_only_whole_matches(spark):
+    """A query's common words bring no places of chunks that lack another of its words."""
+    from ravine.operators import lexical
+
+    chunks = spark.createDataFrame([(i, "the " * 50) for i in range(20)] + [(99, "the red the house")], "child_id long, text string")
+    asked = spark.createDataFrame([(1, "the red house")], "query_id long, text string")
+    got = lexical.cover_density(asked, chunks)
+    assert [(r.child_id, r.score) for r in got.collect()] == [(99, 1.0)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "whole-" in str(got.inputFiles())
