@@ -109,12 +109,13 @@ def prometheus(rows: DataFrame, name: str, labels: list[str], value: str) -> Dat
     return rows.select(F.concat(F.lit(name + "{"), pairs, F.lit("} "), F.col(value).cast("string")).alias("line"))
 
 
-def ranking_quality(ranked: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
+def ranking_quality(ranked: DataFrame, relevant: DataFrame, k: int = 10, sizes: DataFrame | None = None) -> DataFrame:
     """By query, NDCG, reciprocal rank, precision and recall at k.
 
-    ranked (query_id, child_id, rank), relevant (query_id, child_id).
+    ranked (query_id, child_id, rank), relevant (query_id, child_id). sizes (query_id, relevant): how
+    many are relevant to each query, where that is known; relevant then needs only those that are ranked.
     """
-    sizes = relevant.groupBy("query_id").agg(F.count("*").alias("relevant"))
+    sizes = relevant.groupBy("query_id").agg(F.count("*").alias("relevant")) if sizes is None else sizes
     hits = ranked.where(F.col("rank") <= k).join(relevant.withColumn("hit", F.lit(1)), ["query_id", "child_id"], "left")
     gain = F.when(F.col("hit") == 1, 1 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)
     sums = hits.groupBy("query_id").agg(F.sum(gain).alias("dcg"), F.count("hit").alias("hits"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"))

@@ -58,3 +58,9 @@ def test_tables_of_suppliers_are_not_kept_for_each_document(spark):
     """A nation's table is joined by nation: no join by document carries it."""
     plan = QUERIES["tables_kept_whole"](spark, D)._jdf.queryExecution().optimizedPlan().toString()
     assert not any("Join" in line and line.count("document_id") > 1 for line in plan.splitlines())
+
+
+def test_relevant_pairs_are_not_made(spark):
+    """Labels are counted; no join of the vectors with the queries by label alone."""
+    plan = QUERIES["ndcg_mrr_recall"](spark, D)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [label") == 1
