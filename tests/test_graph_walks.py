@@ -96,6 +96,44 @@ def test_paths(spark, world, most):
     assert chunks == {(s, t, c) for (s, t), (_, path) in want.items() for e, c in mentions if f"e:{e}" in path}
 
 
+@pytest.mark.parametrize("hops,k", [(1, 1), (2, 1), (3, 2)])
+def test_neighborhood_past_hubs(spark, world, hops, k):
+    """Nodes of three or five entities and more are hubs here."""
+    test_neighborhood(spark, world, hops, k)
+
+
+@pytest.mark.parametrize("hub", [0, 1, 3])
+@pytest.mark.parametrize("most", [1, 2, 3, 4])
+def test_paths_past_hubs(spark, world, most, hub, monkeypatch):
+    plain = graph.paths
+    monkeypatch.setattr(graph, "paths", lambda *a, **k: plain(*a, **k, hub=hub))
+    test_paths(spark, world, most)
+
+
+@pytest.mark.parametrize("search", ["paths", "neighborhood"])
+def test_a_hub_is_not_expanded_for_each_start(spark, monkeypatch, search):
+    n, sizes, plain = 150, [], graph.split_join
+
+    def counted(*a):
+        out = plain(*a)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "split_join", counted)
+    leaves = spark.range(n).select(F.col("id").cast("string").alias("src"))
+    relations = leaves.select("src", F.lit("N").alias("dst"), F.lit("R").alias("relation_type"))
+    mentions = leaves.select(F.col("src").alias("entity_id"), (F.col("src").cast("long") * 10).alias("child_id"))
+    if search == "paths":
+        pairs = leaves.select(F.concat(F.lit("e:"), "src").alias("src"), F.lit("e:0").alias("dst"))
+        got = graph.paths(pairs, graph.bipartite(relations, mentions), 4)
+        assert {(r.src, r.distance) for r in got.collect()} == {(f"e:{i}", 2 if i else 0) for i in range(n)}
+    else:
+        got = graph.neighborhood(leaves.withColumnRenamed("src", "start"), relations, mentions, 2, 3)
+        near = {i: [10 * j for j in range(4) if j != i][:3] for i in range(n)}
+        assert sorted((int(r.start), r.child_id) for r in got.collect()) == sorted((i, c) for i in near for c in near[i])
+    assert max(sizes) < 10 * n
+
+
 def test_keywords_are_contained(spark):
     """Containment and not equality; five keywords of each query in the fallback."""
     entities = spark.createDataFrame([("1", "Acme Corp"), ("2", "Acmeville"), ("3", "Corporate"), ("4", None)], "entity_id string, name string")
