@@ -7,7 +7,9 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,10 +17,24 @@ from ravine.functions import fixed
 from ravine.functions import text as tx
 
 
+#: Bytes of text that a worker holds as Python objects at a time, with the chunks made of it.
+HELD = 1 << 20
+
+
 def _size(text: str) -> int:
     return len(text) // 4
 
 
+def _few(batches: Iterator[pa.RecordBatch], most: int = HELD) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about `most` bytes of text, one long text at least."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False)
+        part = (np.cumsum(sizes, dtype=np.int64) - sizes) // most
+        starts = np.flatnonzero(np.r_[True, np.diff(part) != 0]) if len(part) else []
+        for start, end in zip(starts, [*starts[1:], len(part)]):
+            yield b.slice(start, end - start)
+
+
 def split_text(text: str, size: int = 800, overlap: int = 100, separators: list[str] | None = None) -> list[str]:
     """Chunks of about `size` estimated tokens, cut at the coarsest separators that do.
 
@@ -137,7 +153,7 @@ def _nested(docs: DataFrame, parent: int, parent_overlap: int, child: int, child
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _few(batches):
             rows = []
             for x in b.column("text"):
                 text = x.as_py() or ""
@@ -184,7 +200,7 @@ def page_chunks(pages: DataFrame, size: int = 1000, overlap: int = 200, least: i
     kinds = [pages.schema[c].dataType.simpleString() for c in ("document_id", "page_number")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _few(batches):
             rows, contents, types = [], [], []
             for i, (text, tables, scanned) in enumerate(zip(*(b.column(c).to_pylist() for c in ("text", "tables", "is_scanned")))):
                 found, text = [(t, "table") for t in tables or []], text or ""
@@ -246,7 +262,7 @@ def flat_chunks(docs: DataFrame, size: int = 1000, overlap: int = 200, least: in
     kind = docs.schema["document_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _few(batches):
             rows = [window_chunks(x.as_py() or "", size, overlap, least) for x in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("document_id"), pa.array(rows, pa.list_(pa.string()))], names=["document_id", "chunks"])
 

@@ -212,3 +212,14 @@ def test_cover_density_places_only_whole_matches(spark):
     assert [(r.child_id, r.score) for r in got.collect()] == [(99, 1.0)]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan and "whole-" in str(got.inputFiles())
+
+
+def test_chunks_are_made_of_a_few_texts_at_a_time():
+    """A batch is cut by bytes of text; nulls and long texts keep their places."""
+    import pyarrow as pa
+
+    texts = ["a" * 300, None, "b" * 5000, "", "c" * 900, "d" * 900]
+    batch = pa.RecordBatch.from_pydict({"document_id": list(range(6)), "text": texts})
+    parts = list(chunking._few([batch, batch.slice(0, 0)], 1000))
+    assert [x for p in parts for x in p.column("text").to_pylist()] == texts and len(parts) > 2
+    assert all(sum(len(x or "") for x in p.column("text").to_pylist()[:-1]) <= 1000 for p in parts)
