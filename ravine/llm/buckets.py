@@ -24,22 +24,35 @@ BANDS, ROWS = 20, 6
 MEMBERS, WORDS = 1024, 1_500_000
 #: Shingles whose minima are taken together.
 _STEP = 1 << 17
+#: Shingles hashed together, which a processor's cache holds.
+_CACHED = 1 << 14
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
 
 
 def shingle_hashes(one: np.ndarray, width: int) -> np.ndarray:
     """64-bit hashes of the shingles of width words, in order, from the words' hashes; fewer words than that make one."""
     width = min(width, len(one))
     n = len(one) - width + 1
-    total = np.full(n, width, np.uint64)
-    for k in range(width):
-        total = total * np.uint64(0x9E3779B97F4A7C15) + one[k : k + n]
-        total ^= total >> np.uint64(32)
-    total *= np.uint64(0xD6E8FEB86659FD93)
-    return total ^ (total >> np.uint64(29))
+    out, other = np.full(n, width, np.uint64), np.empty(min(n, _CACHED), np.uint64)
+    for s in range(0, n, _CACHED):
+        total = out[s : s + _CACHED]
+        spare = other[: len(total)]
+        for k in range(s, s + width):
+            total *= np.uint64(0x9E3779B97F4A7C15)
+            total += one[k : k + len(total)]
+            total ^= np.right_shift(total, np.uint64(32), out=spare)
+        total *= np.uint64(0xD6E8FEB86659FD93)
+        total ^= np.right_shift(total, np.uint64(29), out=spare)
+    return out
+
+
+def shingles_of(one: np.ndarray, starts: list[int], sizes: list[int], width: int) -> list[np.ndarray]:
+    """shingle_hashes() of texts whose words' hashes lie in one, made together."""
+    whole = shingle_hashes(one, width) if len(one) >= width else one
+    return [whole[s : s + n - width + 1] if n >= width else shingle_hashes(one[s : s + n], width) for s, n in zip(starts, sizes)]
 
 
 def digest(words: list[bytes]) -> tuple[int, int]:

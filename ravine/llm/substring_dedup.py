@@ -21,15 +21,18 @@ these places end at one that stays.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravine.llm.buckets import band_keys, digest, name, shingle_hashes, similar_links, units, word_hashes
+from ravine.llm.buckets import band_keys, digest, name, shingle_hashes, shingles_of, similar_links, units, word_hashes
 from ravine.llm.common import discard, lowered_words, packed, slabs, stored, unpacked
 from ravine.llm.components import components
 
@@ -39,6 +42,8 @@ PASSAGE, WINDOW = 32, 19
 _SAME = re.compile(b"\x01{%d,}" % PASSAGE)
 #: Words of a block in which the surroundings of a first occurrence are fetched.
 _BLOCK = 64
+#: Texts, and bytes of texts but for the last one, whose words are hashed together.
+_ROWS, _BYTES = 256, 1 << 20
 
 
 def paragraphs(text: str | None, min_words: int) -> list[tuple[int, list[bytes]]]:
@@ -47,47 +52,61 @@ def paragraphs(text: str | None, min_words: int) -> list[tuple[int, list[bytes]]
     return [(i, w) for i, w in lines if len(w) >= min_words]
 
 
-def passage_samples(one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, hash) of the sampled shingles of PASSAGE words, from the words' hashes."""
-    if len(one) < PASSAGE:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    total = shingle_hashes(one, PASSAGE)
-    near = np.lib.stride_tricks.sliding_window_view(total, min(WINDOW, len(total)))
-    at = np.unique(near.argmin(axis=1) + np.arange(len(near)))
+def leftmost_minima(values: np.ndarray, window: int) -> np.ndarray:
+    """Where the least of each window of values lies first; fewer values make one window."""
+    window, span = min(window, len(values)), 1
+    at = np.arange(len(values))
+    while span < window:
+        step = min(span, window - span)
+        left, right = at[:-step], at[step:]
+        at = np.where(values[right] < values[left], right, left)
+        span += step
+    return at
+
+
+def passage_samples(total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of the sampled shingles of PASSAGE words, from all their hashes."""
+    at = leftmost_minima(total, WINDOW)
+    at = at[np.append(True, at[1:] != at[:-1])] if len(at) else at
     return at, total[at]
 
 
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        size, at = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False))), 0
+        while at < b.num_rows:
+            cut = int(np.clip(np.searchsorted(size, size[at] + _BYTES), at + 1, at + _ROWS))
+            yield b.slice(at, cut - at)
+            at = cut
+
+
 def _scanned(docs: DataFrame, min_words: int, shingle: int) -> DataFrame:
     """docs (doc_id, hash, text) read once: a row for each paragraph, and one (at, key) for each sample."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, hash long, paragraph int, start int, words int, high long, low long, bands array<long>, at int, key long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                found, halves, hashes, places, keys, many = [], [], [], [], [], []
-                for i, x in enumerate(part.column("text")):
-                    lines = [lowered_words(y) for y in (x.as_py() or "").split("\n")]
-                    one, start = word_hashes([w for y in lines for w in y]), 0
-                    for n, w in enumerate(lines):
-                        if len(w) >= min_words:
-                            found.append((i, n, start, len(w)))
-                            halves.append(digest(w))
-                            hashes.append(shingle_hashes(one[start : start + len(w)], shingle))
-                        start += len(w)
-                    at, key = passage_samples(one)
-                    places.append(at)
-                    keys.append(key)
-                    many.append(len(at))
-                rows, numbers, starts, words = np.array(found, np.int32).reshape(-1, 4).T
-                high, low = np.array(halves, np.uint64).reshape(-1, 2).T.copy().view(np.int64)
-                bands = band_keys(hashes) if hashes else np.empty((0, 1), np.uint64)
-                offsets = np.arange(len(found) + 1, dtype=np.int32) * bands.shape[1]
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.view(np.int64).ravel()))
-                at, key = np.concatenate(places).astype(np.int32), np.concatenate(keys).astype(np.uint64).view(np.int64)
-                yield rows_of(part, rows, [numbers, starts, words, high, low, lists, None, None])
-                yield rows_of(part, np.repeat(np.arange(part.num_rows), many), [None] * 6 + [at, key])
+        for part in _portions(batches):
+            words, texts, found, halves = [], [0], [], []
+            for i, x in enumerate(part.column("text").cast(pa.binary())):
+                for n, line in enumerate((x.as_py() or b"").lower().split(b"\n")):
+                    w = line.split()
+                    if len(w) >= min_words:
+                        found.append((i, n, len(words), len(w)))
+                        halves.append(digest(w))
+                    words += w
+                texts.append(len(words))
+            one = word_hashes(words)
+            rows, numbers, starts, many = np.array(found, np.int32).reshape(-1, 4).T
+            high, low = np.array(halves, np.uint64).reshape(-1, 2).T.copy().view(np.int64)
+            bands = band_keys(shingles_of(one, starts, many, shingle)) if found else np.empty((0, 1), np.uint64)
+            offsets = np.arange(len(found) + 1, dtype=np.int32) * bands.shape[1]
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.view(np.int64).ravel()))
+            whole = shingle_hashes(one, PASSAGE) if len(one) >= PASSAGE else one[:0]
+            places, keys = zip(*(passage_samples(whole[s : max(e - PASSAGE + 1, s)]) for s, e in zip(texts, texts[1:])))
+            at, key = np.concatenate(places).astype(np.int32), np.concatenate(keys).view(np.int64)
+            yield rows_of(part, rows, [numbers, starts - np.array(texts, np.int32)[rows], many, high, low, lists, None, None])
+            yield rows_of(part, np.repeat(np.arange(part.num_rows), [len(x) for x in places]), [None] * 6 + [at, key])
 
     types = [pa.int32()] * 3 + [pa.int64()] * 2 + [pa.list_(pa.int64()), pa.int32(), pa.int64()]
 
@@ -99,6 +118,13 @@ def _scanned(docs: DataFrame, min_words: int, shingle: int) -> DataFrame:
     return docs.select("doc_id", "hash", "text").mapInArrow(run, schema)
 
 
+def _shingle_sets(texts: list[str], shingle: int) -> list[np.ndarray]:
+    words = [lowered_words(x) for x in texts]
+    sizes = [len(w) for w in words]
+    one = word_hashes([x for w in words for x in w])
+    return [np.unique(x) for x in shingles_of(one, list(accumulate(sizes[:-1], initial=0)), sizes, shingle)]
+
+
 def _unit_links(shingle: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for slab in slabs(batches, "unit"):
@@ -107,7 +133,7 @@ def _unit_links(shingle: int, threshold: float):
             cuts = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
             for s, e in zip(cuts, [*cuts[1:], len(unit)]):
                 if e - s > 1:
-                    sets = [np.unique(shingle_hashes(word_hashes(lowered_words(x)), shingle)) for x in texts[s:e]]
+                    sets = [x for k in range(s, e, _ROWS) for x in _shingle_sets(texts[k : min(k + _ROWS, e)], shingle)]
                     links = [(names[s + a], names[s + b]) for a, b in similar_links(sets, threshold)]
                     a, b = zip(*links) if links else ((), ())
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
@@ -223,8 +249,10 @@ def passages(docs: DataFrame, scanned: DataFrame, gone: DataFrame) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, starts, many, kept = [], [], [], []
-            for i, (x, hits, gone) in enumerate(zip(b.column("text"), b.column("hits"), b.column("gone"))):
-                for holder, s, e in _repeats(_left(x.as_py(), gone.as_py()), hits.as_py()):
+            ends, fields = b.column("hits").offsets.to_pylist(), b.column("hits").values.flatten()
+            for i, (x, gone) in enumerate(zip(b.column("text"), b.column("gone"))):
+                hits = zip(*(f.slice(ends[i], ends[i + 1] - ends[i]).to_pylist() for f in fields))
+                for holder, s, e in _repeats(_left(x.as_py(), gone.as_py(), b" "), hits):
                     rows.append(i)
                     starts.append(s)
                     many.append(e - s)
@@ -240,31 +268,34 @@ def passages(docs: DataFrame, scanned: DataFrame, gone: DataFrame) -> DataFrame:
     return out
 
 
-def _left(text: str, gone: list[dict] | None) -> list[bytes]:
+def _left(text: str, gone: list[dict] | None, blank: bytes = b"") -> list[bytes]:
     """The text's words, in lower case; those of removed paragraphs are blank, which no word is."""
     words = lowered_words(text)
     for g in gone or ():
-        words[g["start"] : g["start"] + g["words"]] = [b""] * g["words"]
+        words[g["start"] : g["start"] + g["words"]] = [blank] * g["words"]
     return words
 
 
-def _repeats(words: list[bytes], hits: list[dict]) -> list[tuple]:
+def _repeats(words: list[bytes], hits: Iterable[tuple]) -> list[tuple]:
     """(holder, start, end) stretches, one after another, of words that equal the holder's, cut from stretches of PASSAGE words or more.
 
-    hits are the blocks of the holders' words beside the ranges in which they are to be compared.
+    hits are (holder's id and hash, shift, start, end, block, data): the blocks of the holders' words beside the
+    ranges in which they are to be compared. The words' blanks are others than the holders'. Of equal
+    stretches the one of the smallest holder is taken.
     """
     ranges: dict[tuple, dict[int, bytes]] = {}
-    for h in hits:
-        ranges.setdefault((h["f_id"], h["f_hash"], h["shift"], h["start"], h["end"]), {})[h["block"]] = h["data"]
+    for *key, block, data in hits:
+        ranges.setdefault(tuple(key), {})[block] = data
     found = []
     for (holder, _, shift, start, end), blocks in ranges.items():
-        base = min(blocks) * _BLOCK
-        theirs = [w for k in range(min(blocks), max(blocks) + 1) for w in blocks[k].split(b" ")]
+        first = min(blocks)
+        base = first * _BLOCK
+        theirs = b" ".join([blocks[k] for k in range(first, first + len(blocks))]).split(b" ")
         low = max(start, base + shift, 0)
-        same = bytes(a == b != b"" for a, b in zip(words[low:end], theirs[low - shift - base :]))
+        same = bytes(map(eq, words[low:end], theirs[low - shift - base :]))
         found += [(low + m.start(), low + m.end(), holder) for m in _SAME.finditer(same)]
     out, at = [], 0
-    found.sort(key=lambda r: r[:2])
+    found.sort(key=lambda r: (*r[:2], r[2] is not None, r[2]))
     i = 0
     while i < len(found):
         # of the stretches that begin where the one before ends, or earlier, the one that ends last
