@@ -110,6 +110,43 @@ def test_paths_past_hubs(spark, world, most, hub, monkeypatch):
     test_paths(spark, world, most)
 
 
+def string_walk(edges, start, most, back):
+    """By node, the path whose steps are least as strings."""
+    best, frontier = {start: [start]}, {start: [start]}
+    for _ in range(most):
+        step = {}
+        for node, path in frontier.items():
+            for to in set(edges.get(node, ())) - set(best):
+                own = [to, *path] if back else [*path, to]
+                step[to] = min(step.get(to, own), own, key=">".join)
+        best |= step
+        frontier = step
+    return best
+
+
+@pytest.mark.parametrize("hub", [1, 64])
+def test_paths_by_strings(spark, hub):
+    """c:1 comes before c:12, but c:12> before c:1>; whole paths are compared node by node."""
+    rng = random.Random(5)
+    mentions = sorted({(f"{rng.randrange(1, 25)}", rng.choice([1, 12, 121, 2, 21, 3])) for _ in range(45)})
+    edges = {}
+    for e, c in mentions:
+        edges.setdefault(f"e:{e}", set()).add(f"c:{c}")
+        edges.setdefault(f"c:{c}", set()).add(f"e:{e}")
+    pairs = list(itertools.product([e for e in sorted(edges) if e[0] == "e"], repeat=2))
+    none, met = spark.createDataFrame([], "src string, dst string"), spark.createDataFrame(mentions, "entity_id string, child_id long")
+    found = graph.paths(spark.createDataFrame(pairs, "src string, dst string"), graph.bipartite(none, met), 4, hub=hub, sign=">")
+    got = {(r.src, r.dst): r.path for r in found.collect()}
+    want = {}
+    for s, t in pairs:
+        a, b = string_walk(edges, s, 2, False), string_walk(edges, t, 2, True)
+        ways = [a[x] + b[x][1:] for x in set(a) & set(b) if x == t or len(a[x]) == 3]
+        if ways:
+            want[s, t] = min(ways, key=lambda p: (len(p), p))
+    assert got == want
+    assert sum(path != walk(edges, s, 4)[t] for (s, t), path in want.items()) > 10
+
+
 @pytest.mark.parametrize("search", ["paths", "neighborhood"])
 def test_a_hub_is_not_expanded_for_each_start(spark, monkeypatch, search):
     n, sizes, plain = 150, [], graph.split_join
