@@ -223,3 +223,13 @@ def test_chunks_are_made_of_a_few_texts_at_a_time():
     parts = list(chunking._few([batch, batch.slice(0, 0)], 1000))
     assert [x for p in parts for x in p.column("text").to_pylist()] == texts and len(parts) > 2
     assert all(sum(len(x or "") for x in p.column("text").to_pylist()[:-1]) <= 1000 for p in parts)
+
+
+def test_cover_density_does_not_depend_on_the_order_of_covers(spark):
+    """The same covers the other way round have the same sum, so the smaller id comes first."""
+    gaps = [5, 1, 7, 8, 1]  # added as they come 1.4027777777777777, from the end 1.402777777777778
+    text = lambda gs: "alpha " + " ".join("x " * g + ("beta", "alpha")[i % 2] for i, g in enumerate(gs))
+    asked = spark.createDataFrame([(1, "alpha beta")], "query_id int, text string")
+    chunks = spark.createDataFrame([(1, text(gaps)), (2, text(gaps[::-1]))], "child_id int, text string")
+    first, second = lexical.cover_density(asked, chunks).orderBy("rank").collect()
+    assert (first.child_id, second.child_id) == (1, 2) and first.score == second.score
