@@ -25,6 +25,9 @@ Scorer = Callable[[list[tuple[str, str]]], list[float | None]]
 EMBED_BATCH = 20
 #: Candidates of a query that a scorer sees, and the score of one that it leaves out.
 CANDIDATES, LEFT_OUT = 100, 0.5
+#: Terms, and characters of one, whose places a worker of the hashing embedder remembers.
+REMEMBERED, SHORT = 1 << 17, 32
+_TERM = re.compile(r"[^\W_]+")
 
 
 def hashing_embedder(dims: int = 64) -> Embedder:
@@ -34,12 +37,23 @@ def hashing_embedder(dims: int = 64) -> Embedder:
     of the ninth digit's parity (even: plus). Vectors have unit length; a text without terms is zero.
     """
 
+    places: dict[str, int] = {}  # twice the dimension, and 1 more for minus
+
+    def place(term: str) -> int:
+        digest = hashlib.md5(term.encode()).digest()
+        found = 2 * (int.from_bytes(digest[:4], "big") % dims) + (digest[4] >> 4) % 2
+        if len(places) >= REMEMBERED:
+            places.clear()
+        if len(term) <= SHORT:
+            places[term] = found
+        return found
+
     def embed(texts: list[str]) -> list[list[float]]:
         out = np.zeros((len(texts), dims))
         for row, text in zip(out, texts):
-            for term in re.findall(r"[^\W_]+", text.lower()):
-                digits = hashlib.md5(term.encode()).hexdigest()
-                row[int(digits[:8], 16) % dims] += 1 - 2 * (int(digits[8], 16) % 2)
+            found = [p if (p := places.get(term)) is not None else place(term) for term in _TERM.findall(text.lower())]
+            both = np.bincount(np.array(found, np.int64), minlength=2 * dims)
+            row += both[::2] - both[1::2]
         size = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, size, out=out, where=size > 0).tolist()
 

@@ -25,6 +25,8 @@ from ravine.functions import fixed
 from ravine.operators.index import LexicalIndex
 from ravine.sources.versions import stored
 
+#: Vectors that a question is compared with first, for a bound below which none can be among the best.
+SEEDS = 4096
 _TERMS = r"filter(split(lower({}), '[^\\p{{L}}\\p{{N}}]+'), t -> t <> '')"
 _SEARCH = "TABLE(child_id BIGINT, score DOUBLE, rank INT)"
 
@@ -48,7 +50,14 @@ def register(
     mean = length / chunks if chunks else 1.0
     index.blocks().createOrReplaceTempView("search_blocks")
     stored(index.blocks().groupBy("term").agg(F.sum("n").alias("df")), "terms").createOrReplaceTempView("search_terms")
-    vectors.createOrReplaceTempView("search_vectors")
+    # components as columns, so that a product is compiled code and no loop over an array
+    squares = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+    laid = vectors.where(F.size("embedding") == dims).select("child_id", F.sqrt(squares).alias("size"), *(F.get("embedding", F.lit(i)).alias(f"v{i}") for i in range(dims)))
+    units = stored(laid.where("size > 0"), "vectors")
+    units.createOrReplaceTempView("search_vectors")
+    # one row with some of the vectors, the same ones each time
+    some = units.orderBy(F.xxhash64("child_id"), "child_id").limit(SEEDS).select("size", F.array(*(f"v{i}" for i in range(dims))).alias("v"))
+    stored(some.agg(F.collect_list(F.struct("size", "v")).alias("seeds")), "seeds").createOrReplaceTempView("search_seeds")
     digits = "cast(conv(substr(md5(t), {}), 16, 10) AS BIGINT)"
     hashed = f"transform({_TERMS.format('text')}, t -> struct({digits.format('1, 8')} % {dims} AS d, 1 - 2 * ({digits.format('9, 1')} % 2) AS s))"
     # a transform of one element names what its body uses many times
@@ -70,15 +79,20 @@ def register(
         ranked AS (SELECT child_id, score, row_number() OVER (ORDER BY score DESC, child_id) AS rank FROM near WHERE place <= lexical_search.k)
         SELECT child_id, score, rank FROM ranked WHERE rank <= lexical_search.k""",
     )
+    parts = [f"v{i} * q{i}" for i in range(dims)]
+    dot = " + ".join(f"({' + '.join(parts[i : i + 16])})" for i in range(0, dims, 16))
+    similarity = f"round(({dot}) / size, {places})"
+    seed = "aggregate(zip_with(s.v, q, (x, y) -> x * y), 0D, (a, x) -> a + x)"
     _function(
         spark,
         f"semantic_search(query STRING, k INT) RETURNS {_SEARCH}",
         f"""
         WITH asked AS (SELECT hashed_embedding(semantic_search.query) AS q),
-        near AS (SELECT child_id, aggregate(zip_with(embedding, q, (x, y) -> x * y), 0D, (a, x) -> a + x) AS dot,
-            sqrt(aggregate(embedding, 0D, (a, x) -> a + cast(x AS DOUBLE) * x)) AS size FROM search_vectors, asked),
-        scored AS (SELECT child_id, round(dot / size, {places}) AS score FROM near WHERE size > 0),
-        ranked AS (SELECT child_id, score, row_number() OVER (ORDER BY score DESC, child_id) AS rank FROM scored WHERE score <> 0)
+        -- what is under the k-th best of some vectors, sums' last digits apart, is not among the k best of all
+        near AS (SELECT q, sort_array(filter(transform(seeds, s -> round({seed} / s.size, {places})), x -> x <> 0), false) AS best FROM asked, search_seeds),
+        bound AS (SELECT {", ".join(f"q[{i}] AS q{i}" for i in range(dims))}, coalesce(get(best, semantic_search.k - 1) - {2 * 10.0**-places!r}D, -2D) AS least FROM near),
+        scored AS (SELECT /*+ BROADCAST(bound) */ child_id, {similarity} AS score FROM bound, search_vectors WHERE {similarity} >= least AND {similarity} <> 0),
+        ranked AS (SELECT child_id, score, row_number() OVER (ORDER BY score DESC, child_id) AS rank FROM scored)
         SELECT child_id, score, rank FROM ranked WHERE rank <= semantic_search.k""",
     )
     part = f"coalesce({{}}D / ({fixed.RRF_K} + {{}}), 0D)"
