@@ -6,6 +6,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -81,12 +82,22 @@ def split_keeping_tables(text: str, size: int = 800, overlap: int = 100) -> list
         return split_text(text, size, overlap)
     number, held = iter(range(len(tables))), set(text)
     # a private-use character that the text does not hold; 137,000 of them
-    sign = next(c for c in map(chr, [*range(0xE000, 0xF900), *range(0xF0000, 0x10FFFE)]) if c not in held)
+    sign = next(c for c in map(chr, chain(range(0xE000, 0xF900), range(0xF0000, 0x10FFFE))) if c not in held)
     signs = _TABLE.sub(lambda m: f"{sign}{next(number)}{sign}", text)
     back = lambda c: re.sub(f"{sign}(\\d+){sign}", lambda m: tables[int(m[1])], c)
     return [back(c) for c in split_text(signs, size, overlap)]
 
 
+def reference(key: Column) -> Column:
+    """A Markdown table of one row that stands for a long one kept elsewhere: no text is cut in a table, so the cuts are the same."""
+    return F.concat(F.lit("| table "), key.cast("string"), F.lit(" |"))
+
+
+def put_back(text: Column, key: Column, table: Column) -> Column:
+    """text with the table, without its last line end, in the place of its reference; the text may hold no such row of its own."""
+    return F.replace(text, reference(key), table)
+
+
 def pack_words(text: str, most: int, separators: tuple[str, ...] = ("\n\n", "\n", ". ", " ")) -> list[str]:
     """Chunks of at most `most` estimated tokens; separators go at chunk edges and pieces are trimmed.
 
@@ -138,11 +149,11 @@ def window_chunks(text: str, size: int = 1000, overlap: int = 200, least: int =
     return out
 
 
-def _nested(docs: DataFrame, parent: int, parent_overlap: int, child: int, child_overlap: int) -> DataFrame:
-    """(document_id, parents): each parent's text, place, children and (J18) the last Markdown heading that begins at or before it."""
+def _nested(docs: DataFrame, parent: int, parent_overlap: int, child: tuple[int, int] | None) -> DataFrame:
+    """(document_id, parents): each parent's text, place, (J18) the last Markdown heading that begins at or before it, and its children of that size and overlap, if asked for."""
     kind = docs.schema["document_id"].dataType.simpleString()
     children = pa.list_(pa.struct([("text", pa.string()), ("start", pa.int64())]))
-    parents = pa.list_(pa.struct([("text", pa.string()), ("start", pa.int64()), ("heading", pa.string()), ("children", children)]))
+    parents = pa.list_(pa.struct([("text", pa.string()), ("start", pa.int64()), ("heading", pa.string()), *([("children", children)] if child else [])]))
 
     def located(whole: str, pieces: list[str]) -> list[tuple[str, int]]:
         """Trimmed pieces with their places; a piece is looked for from where the one before begins."""
@@ -161,12 +172,12 @@ def _nested(docs: DataFrame, parent: int, parent_overlap: int, child: int, child
                 heads = [(m.start(), m[1].strip(" ")) for m in _HEADING.finditer(text)]
                 above = lambda s: heads[n - 1][1] if (n := bisect_right(heads, s, key=lambda h: h[0])) else None  # noqa: E731, B023
                 rows.append([
-                    {"text": p, "start": s, "heading": above(s), "children": [{"text": c, "start": o} for c, o in located(p, split_text(p, child, child_overlap))]}
+                    {"text": p, "start": s, "heading": above(s)} | ({"children": [{"text": c, "start": o} for c, o in located(p, split_text(p, *child))]} if child else {})
                     for p, s in found
                 ])
             yield pa.RecordBatch.from_arrays([b.column("document_id"), pa.array(rows, parents)], names=["document_id", "parents"])
 
-    shape = "array<struct<text:string,start:bigint,heading:string,children:array<struct<text:string,start:bigint>>>>"
+    shape = f"array<struct<text:string,start:bigint,heading:string{',children:array<struct<text:string,start:bigint>>' if child else ''}>>"
     return docs.select("document_id", "text").mapInArrow(run, f"document_id {kind}, parents {shape}")
 
 
@@ -238,15 +249,16 @@ def parents_and_children(
     children: child_id, parent_id, document_id, index_in_parent, text, token_count,
     start_char_offset, end_char_offset, modality, content_hash.
     """
-    nested = _nested(docs, parent, parent_overlap, child, child_overlap)
-    exploded = nested.select("document_id", F.posexplode("parents").alias("n", "p"))
-    exploded = exploded.withColumn("parent_id", F.concat_ws(":", F.col("document_id").cast("string"), F.col("n").cast("string")))
-    parents = exploded.select(
+    def exploded(children: tuple[int, int] | None) -> DataFrame:
+        rows = _nested(docs, parent, parent_overlap, children).select("document_id", F.posexplode("parents").alias("n", "p"))
+        return rows.withColumn("parent_id", F.concat_ws(":", F.col("document_id").cast("string"), F.col("n").cast("string")))
+
+    parents = exploded(None).select(
         "parent_id", "document_id", F.col("n").alias("index_in_document"), F.col("p.text").alias("text"),
         tx.token_estimate(F.col("p.text")).alias("token_count"), F.col("p.start").alias("start"),
         (F.col("p.start") + F.length("p.text")).alias("end"), F.col("p.heading").alias("section_heading"),
     )
-    rows = exploded.select("parent_id", "document_id", F.posexplode("p.children").alias("n", "c"))
+    rows = exploded((child, child_overlap)).select("parent_id", "document_id", F.posexplode("p.children").alias("n", "c"))
     text = F.col("c.text")
     children = rows.select(
         F.concat_ws(":", "parent_id", F.col("n").cast("string")).alias("child_id"), "parent_id", "document_id", F.col("n").alias("index_in_parent"),

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import random
+from itertools import takewhile
 
 from pyspark.sql import functions as F
 
 from ravine.functions import text as tx
 from ravine.operators import chunking, desk, fusion, graph, vector
 from ravine.plans import stand_ins as si
+from ravine.plans.registry import QUERIES
 from ravine.streaming import events as streams
 
 
@@ -103,3 +105,27 @@ def test_plans_from_answers(spark):
 def test_stems(spark):
     row = spark.range(1).select(tx.stemmed_terms(F.lit("Queries of boxes, glass buses; shoes aies s")).alias("t")).first()
     assert row.t == "query boxe glass buse shoes aie "
+
+
+def test_a_reference_is_cut_like_its_table(spark):
+    """Parents around a reference, with the table put back, are the parents around the table itself."""
+    table = "".join(f"| {k} | supplier |\n" for k in range(400))
+    texts = [" ".join(f"word{i}" for i in range(n)) + "." for n in (0, 3, 150, 700)] + ["line\n" * 300, "", "| not a table"]
+    ids = list(enumerate(texts))
+    frame = lambda middle: spark.createDataFrame([(i, f"{t}\n\n{middle}\n{t}") for i, t in ids], "document_id int, text string")
+    parents = lambda df: chunking.parents_and_children(df, parent=200, parent_overlap=20)[0]
+    key = F.lit(7)
+    want = [(r.parent_id, r.text) for r in parents(frame(table)).collect()]
+    short = parents(frame(spark.range(1).select(chunking.reference(key)).first()[0] + "\n"))
+    got = short.select("parent_id", chunking.put_back(F.col("text"), key, F.lit(table.rstrip("\n"))).alias("text")).collect()
+    assert sorted((r.parent_id, r.text) for r in got) == sorted(want) and any(table.rstrip("\n") in t for _, t in want)
+
+
+def test_tables_of_suppliers_are_not_split_with_each_document(spark):
+    """No table of suppliers goes through the splitter, and parents alone are made without children."""
+    plan = QUERIES["tables_kept_whole"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    at = next(i for i, line in enumerate(plan) if "MapInArrow" in line)
+    below = list(takewhile(lambda line: depth(line) > depth(plan[at]), plan[at + 1 :]))
+    assert below and not any("Join" in line or "supplier" in line for line in below)
+    assert not any("children" in line for line in plan)
