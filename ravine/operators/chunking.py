@@ -77,14 +77,18 @@ _TABLE = re.compile(r"(?:\|[^\n]+\|\n)+")
 
 def split_keeping_tables(text: str, size: int = 800, overlap: int = 100) -> list[str]:
     """Like split_text(), but no Markdown table is cut: while the text is split, a sign that holds no separator stands for it."""
-    tables = _TABLE.findall(text)
-    if not tables:
+    if "|" not in text:
         return split_text(text, size, overlap)
-    number, held = iter(range(len(tables))), set(text)
     # a private-use character that the text does not hold; 137,000 of them
-    sign = next(c for c in map(chr, chain(range(0xE000, 0xF900), range(0xF0000, 0x10FFFE))) if c not in held)
-    signs = _TABLE.sub(lambda m: f"{sign}{next(number)}{sign}", text)
-    back = lambda c: re.sub(f"{sign}(\\d+){sign}", lambda m: tables[int(m[1])], c)
+    sign = next(c for c in map(chr, chain(range(0xE000, 0xF900), range(0xF0000, 0x10FFFE))) if c not in text)
+    tables: list[str] = []
+
+    def held(m: re.Match) -> str:
+        tables.append(m[0])
+        return f"{sign}{len(tables) - 1}{sign}"
+
+    signs = _TABLE.sub(held, text)
+    back = lambda c: re.sub(f"{sign}(\\d+){sign}", lambda m: tables[int(m[1])], c) if sign in c else c
     return [back(c) for c in split_text(signs, size, overlap)]
 
 
@@ -95,7 +99,9 @@ def reference(key: Column) -> Column:
 
 def put_back(text: Column, key: Column, table: Column) -> Column:
     """text with the table, without its last line end, in the place of its reference; the text may hold no such row of its own."""
-    return F.replace(text, reference(key), table)
+    # parts joined by the table: replace() would reserve sixteen times the table for each row
+    parts = F.split(text, F.concat(F.lit("\\Q"), reference(key), F.lit("\\E")))
+    return F.call_function("array_join", parts, table)
 
 
 def pack_words(text: str, most: int, separators: tuple[str, ...] = ("\n\n", "\n", ". ", " ")) -> list[str]:

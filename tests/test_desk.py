@@ -129,3 +129,10 @@ def test_tables_of_suppliers_are_not_split_with_each_document(spark):
     below = list(takewhile(lambda line: depth(line) > depth(plan[at]), plan[at + 1 :]))
     assert below and not any("Join" in line or "supplier" in line for line in below)
     assert not any("children" in line for line in plan)
+
+
+def test_a_table_is_put_back_whole_at_every_reference(spark):
+    """Signs of patterns in the text or the table are no patterns, and a text without a reference stays."""
+    df = spark.createDataFrame([("a.*$1 | table 3 | b\n| table 3 |", 3), ("| table 33 |", 3), ("plain", 3), ("", 3)], "text string, key int")
+    got = [r[0] for r in df.select(chunking.put_back(F.col("text"), F.col("key"), F.lit("| $0 \\E |\n| x |"))).collect()]
+    assert got == ["a.*$1 | $0 \\E |\n| x | b\n| $0 \\E |\n| x |", "| table 33 |", "plain", ""]
